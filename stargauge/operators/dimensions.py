@@ -46,9 +46,13 @@ def category_vocabulary(df: DataFrame, k: int = VOCABULARY_SIZE) -> DataFrame:
     return top_k(category_counts(df), "n", "category", k)
 
 
-def first_rows(df: DataFrame, keys: list[str], n: int = 10_000) -> DataFrame:
-    """The first ``n`` rows in key order."""
-    return df.orderBy(*keys).limit(n)
+def first_rows(df: DataFrame, keys: list[str], n: int = 10_000, tasks: int = 2_000) -> DataFrame:
+    """The first ``n`` rows in key order.
+
+    Every task hands on its own first ``n`` rows; merging input partitions into ``tasks``
+    bounds what the last task reads, however many input partitions there are.
+    """
+    return df.coalesce(tasks).orderBy(*keys).limit(n)
 
 
 def category_averages_from_reviews(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stargauge.functions.numeric import map_total
 from stargauge.operators.dimensions import VOCABULARY_SIZE, category_vocabulary
 from stargauge.operators.joins import users_without_average
+from stargauge.sources.staging import stage
 
 # Stars assumed where no category or no category list is known, and the
 # numeric features of the default model.
@@ -63,8 +64,11 @@ def business_category_scores(business: DataFrame, **dimensions: DataFrame) -> Da
     return scored.groupBy("business_id").agg(*[F.avg(name).alias(name) for name in dimensions])
 
 
-def attach_category_scores(df: DataFrame, business: DataFrame, **dimensions: DataFrame) -> DataFrame:
-    return df.join(business_category_scores(business, **dimensions), "business_id", "left")
+def attach_category_scores(
+    df: DataFrame, business: DataFrame, **dimensions: DataFrame
+) -> DataFrame:
+    scores = stage(business_category_scores(business, **dimensions), "category-scores")
+    return df.join(scores, "business_id", "left")
 
 
 def multi_hot_long(df: DataFrame, vocabulary_from: DataFrame, k: int = VOCABULARY_SIZE) -> DataFrame:
@@ -98,7 +102,7 @@ def one_hot_long(train: DataFrame, df: DataFrame, feature: str, key: str = "revi
 
     Works for any number of values, as nothing reaches the driver.
     """
-    seen = train.where(F.col(feature).isNotNull()).select(feature).distinct()
+    seen = stage(train.where(F.col(feature).isNotNull()).select(feature).distinct(), "values")
     return df.select(key, feature).join(seen, feature, "left_semi").select(
         key, F.col(feature).alias("value")
     )
@@ -148,14 +152,14 @@ def moments(df: DataFrame, features: list[str]) -> DataFrame:
 def standardize(
     train: DataFrame, frames: list[DataFrame], features: list[str], suffix: str = "_scaled"
 ) -> list[DataFrame]:
-    """Scale by the training mean and deviation; a constant feature is only centred."""
-    fitted = moments(train, features)
-    stats = fitted.select(F.struct(*fitted.columns)).scalar()
+    """Scale by the training mean and deviation; a constant feature is only centred.
+
+    The moments, one row, are fitted when called.
+    """
+    fitted = moments(train, features).first()
 
     def scaled(name: str) -> Column:
-        spread = stats[f"{name}_std"]
-        divisor = F.when(spread > 0, spread).otherwise(F.lit(1.0))
-        return (F.col(name) - stats[f"{name}_mean"]) / divisor
+        return (F.col(name) - fitted[f"{name}_mean"]) / (fitted[f"{name}_std"] or 1.0)
 
     return [df.withColumns({name + suffix: scaled(name) for name in features}) for df in frames]
 

@@ -67,7 +67,7 @@ def join_pairs(reviews: DataFrame, pairs: DataFrame, how: str = "left") -> DataF
     keys = ["user_id", "business_id"]
     attributes = [c for c in pairs.columns if c not in keys]
     unique = pairs.groupBy(*keys).agg(F.min(F.struct(*attributes)).alias("least"))
-    return reviews.join(unique.select(*keys, "least.*"), keys, how)
+    return reviews.join(stage(unique.select(*keys, "least.*"), "pairs"), keys, how)
 
 
 def attach_recommendation_ids(reviews: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -89,14 +89,14 @@ def missing_user_reviews(
 
 
 def attach_user_averages(df: DataFrame, averages: DataFrame) -> DataFrame:
-    return df.join(averages, "user_id", "left")
+    return df.join(stage(averages, "user-averages"), "user_id", "left")
 
 
 def attach_names(df: DataFrame, names: DataFrame, how: str = "left") -> DataFrame:
     """Attach name averages; ``outer`` also appends the names that no row carries.
 
     The appended names come from an anti-join on the distinct names, because a full outer
-    join could not be split at a frequent name.
+    join could not be split at a frequent name. ``names`` should be a staged table.
     """
     if how != "outer":
         return df.join(names, "bus_name", how)
@@ -118,7 +118,7 @@ def group_businesses(business: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def attach_grouped(df: DataFrame, grouped_businesses: DataFrame) -> DataFrame:
-    return df.join(grouped_businesses, "business_id", "left")
+    return df.join(stage(grouped_businesses, "grouped-businesses"), "business_id", "left")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -28,12 +28,23 @@ COLUMNS = {"featuresCol": FEATURES, "labelCol": LABEL}
 
 
 def least_squares() -> LinearRegression:
-    """Ordinary least squares by the normal equation: one pass over the rows."""
-    return LinearRegression(regParam=0.0, solver="normal", **COLUMNS)
+    """Ordinary least squares."""
+    return _linear(0.0, 0.0)
+
+
+def _linear(reg: float, ratio: float, **more) -> LinearRegression:
+    """A linear model on unscaled penalties.
+
+    Up to 4,096 features, the solver reads the rows once and works on their covariances.
+    """
+    settings = {"solver": "auto", "tol": 1e-10, "maxIter": 1000, **more}
+    return LinearRegression(
+        regParam=reg, elasticNetParam=ratio, standardization=False, **settings, **COLUMNS
+    )
 
 
 def _label_moments(train: DataFrame) -> tuple[int, float]:
-    row = train.agg(F.count(LABEL).alias("n"), F.stddev_samp(LABEL).alias("std")).first()
+    row = train.agg(F.count(LABEL).alias("n"), F.stddev_pop(LABEL).alias("std")).first()
     return row["n"], row["std"]
 
 
@@ -43,28 +54,12 @@ def ridge(train: DataFrame, alpha: float = 1.0) -> LinearRegression:
     The solver divides the label by its deviation, which weakens a squared penalty by it.
     """
     n, std = _label_moments(train)
-    return LinearRegression(
-        regParam=alpha * std / n,
-        elasticNetParam=0.0,
-        standardization=False,
-        solver="l-bfgs",
-        tol=1e-10,
-        maxIter=500,
-        **COLUMNS,
-    )
+    return _linear(alpha * std / n, 0.0)
 
 
 def lasso(alpha: float = 1.0) -> LinearRegression:
     """Minimise ``|y - Xw|^2 / 2n + alpha |w|``."""
-    return LinearRegression(
-        regParam=alpha,
-        elasticNetParam=1.0,
-        standardization=False,
-        solver="l-bfgs",
-        tol=1e-10,
-        maxIter=500,
-        **COLUMNS,
-    )
+    return _linear(alpha, 1.0)
 
 
 def elastic_net(train: DataFrame, alpha: float = 1.0, l1_ratio: float = 0.5) -> LinearRegression:
@@ -72,27 +67,24 @@ def elastic_net(train: DataFrame, alpha: float = 1.0, l1_ratio: float = 0.5) ->
     _, std = _label_moments(train)
     l1 = alpha * l1_ratio
     l2 = alpha * (1 - l1_ratio) * std
-    return LinearRegression(
-        regParam=l1 + l2,
-        elasticNetParam=l1 / (l1 + l2) if l1 + l2 else 0.0,
-        standardization=False,
-        solver="l-bfgs",
-        tol=1e-10,
-        maxIter=500,
-        **COLUMNS,
-    )
+    return _linear(l1 + l2, l1 / (l1 + l2) if l1 + l2 else 0.0)
 
 
 def largest_penalty(train: DataFrame) -> float:
-    """The smallest lasso penalty that leaves no feature: ``max |cov(x, y)|``."""
-    label = F.col(LABEL).cast("double")
+    """The smallest lasso penalty that leaves no feature: ``max |cov(x, y)|``.
+
+    The covariances come from the plain feature means and those weighted by the label, which
+    is shifted to be positive.
+    """
+    low = train.agg(F.min(LABEL)).first()[0]
+    weight = (F.col(LABEL) - low + 1).cast("double")
     row = train.agg(
         Summarizer.mean(F.col(FEATURES)).alias("plain"),
-        Summarizer.mean(F.col(FEATURES), label).alias("weighted"),
-        F.avg(label).alias("label"),
+        Summarizer.mean(F.col(FEATURES), weight).alias("weighted"),
+        F.avg(weight).alias("weight"),
     ).first()
     gaps = zip(row["weighted"].toArray(), row["plain"].toArray(), strict=True)
-    return max(abs(row["label"] * (weighted - plain)) for weighted, plain in gaps)
+    return max(abs(row["weight"] * (weighted - plain)) for weighted, plain in gaps)
 
 
 def lasso_cv(
@@ -128,14 +120,7 @@ def boosted_trees(rounds: int = 100, depth: int = 3, rate: float = 0.1) -> GBTRe
 def gradient_linear(train: DataFrame, alpha: float = 0.001, iterations: int = 800) -> LinearRegression:
     """Iteratively fitted linear model with a squared penalty ``alpha |w|^2 / 2``."""
     _, std = _label_moments(train)
-    return LinearRegression(
-        regParam=alpha * std,
-        elasticNetParam=0.0,
-        standardization=False,
-        solver="l-bfgs",
-        maxIter=iterations,
-        **COLUMNS,
-    )
+    return _linear(alpha * std, 0.0, solver="l-bfgs", tol=1e-6, maxIter=iterations)
 
 
 def univariate_line(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -188,7 +188,8 @@ _KEYED_SQL = """
     SELECT review_id, max_by(stars, sequence) AS stars, max(sequence) AS sequence
     FROM (SELECT concat_ws('-', l_orderkey, l_linenumber) AS review_id,
                  CAST((CAST(l_quantity AS INT) - 1) % 5 + 1 AS BIGINT) AS stars,
-                 l_partkey * 1000000 + l_suppkey AS sequence FROM lineitem)
+                 (l_partkey * 10000 + l_suppkey) * 100000000
+                     + CAST(round(l_extendedprice * 100) AS BIGINT) AS sequence FROM lineitem)
     GROUP BY review_id"""
 
 
@@ -197,7 +198,8 @@ def keyed_reviews(w: Warehouse) -> DataFrame:
     return w.table("lineitem").selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber) AS review_id",
         "cast((cast(l_quantity AS int) - 1) % 5 + 1 AS bigint) AS stars",
-        "l_partkey * 1000000 + l_suppkey AS sequence",
+        "(l_partkey * 10000 + l_suppkey) * 100000000"
+        " + cast(round(l_extendedprice * 100) AS bigint) AS sequence",
     )
 
 
