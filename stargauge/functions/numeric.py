@@ -49,12 +49,13 @@ def both(conditions: list[Column]) -> Column:
     return reduce(lambda left, right: left & right, conditions)
 
 
-def fold_bucket(key: Column, fold: Column) -> Column:
-    """A uniform integer in [0, 2^32) that depends on the fold and the row key only."""
-    digest = F.md5(F.concat_ws("|", fold.cast("string"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-
-
 def held_out(key: Column, fold: Column, share: float) -> Column:
-    """Whether a row belongs to a fold's hold-out of about ``share`` of all rows."""
-    return fold_bucket(key, fold) < F.lit(int(share * 2**32)).cast("bigint")
+    """Whether a row belongs to a fold's hold-out of about ``share`` of all rows.
+
+    The first 32 bits of a hash of fold and key are compared with the share, as hexadecimal
+    text, which sorts like the numbers do.
+    """
+    if share >= 1:
+        return F.lit(True)
+    digest = F.md5(F.concat_ws("|", fold.cast("string"), key.cast("string")))
+    return digest < F.lit(f"{int(share * 2**32):08x}")

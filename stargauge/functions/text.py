@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space at which review text is cut into words.
+# The white space at which review text is cut into words. One-byte characters
+# are listed singly and the rest sits behind a range check, which the matcher tests fastest.
 WHITESPACE = (
-    r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]+"
 )
 
 ZIP_LENGTH = 5
@@ -36,15 +37,20 @@ def categories_or_missing(categories: Column) -> Column:
     )
 
 
-def words(text: Column, normalize: bool = False) -> Column:
-    """Whitespace-separated words of the whole text.
+def split_words(text: Column, normalize: bool = False) -> Column:
+    """The text cut at white space; the first and last piece may be empty.
 
     Case and punctuation are kept unless ``normalize`` asks for lower-case words without
     leading and trailing punctuation.
     """
-    parts = F.split(F.lower(text) if normalize else text, WHITESPACE)
-    if normalize:
-        parts = F.transform(
-            parts, lambda word: F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", "")
-        )
-    return F.filter(parts, lambda word: word != "")
+    if not normalize:
+        return F.split(text, WHITESPACE)
+    return F.transform(
+        F.split(F.lower(text), WHITESPACE),
+        lambda word: F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", ""),
+    )
+
+
+def words(text: Column, normalize: bool = False) -> Column:
+    """Whitespace-separated words of the whole text."""
+    return F.filter(split_words(text, normalize), lambda word: word != "")

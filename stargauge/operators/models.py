@@ -147,10 +147,8 @@ def with_folds(df: DataFrame, folds: int, share: float, key: str = KEY) -> DataF
 
     Folds are independent random hold-outs, decided by a hash of fold and key.
     """
-    out = F.filter(
-        F.sequence(F.lit(0), F.lit(folds - 1)), lambda fold: held_out(F.col(key), fold, share)
-    )
-    return df.withColumn("fold", F.explode(out))
+    every = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    return every.where(held_out(F.col(key), F.col("fold"), share))
 
 
 def cross_validate(

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stargauge.functions.text import words
+from stargauge.functions.text import split_words
 from stargauge.operators.sizing import broadcast_if_small
 
 
 def review_words(
     reviews: DataFrame, key: str = "review_id", text: str = "text", normalize: bool = False
 ) -> DataFrame:
-    """One row per word; a review without words keeps one row with a NULL word."""
-    return reviews.select(key, F.explode_outer(words(F.col(text), normalize)).alias("term"))
+    """One row per piece of text between white space.
+
+    Pieces may be empty, and a missing text gives one NULL piece; neither is ever a term.
+    """
+    pieces = split_words(F.col(text), normalize)
+    return reviews.select(key, F.explode_outer(pieces).alias("term"))
+
+
+def _terms(lexicon: DataFrame) -> DataFrame:
+    return lexicon.where(F.col("term") != "")
 
 
 def lexicon_hits(
@@ -25,7 +33,7 @@ def lexicon_hits(
 ) -> DataFrame:
     """Each word that the lexicon knows, with its score."""
     spoken = review_words(reviews, key, text, normalize)
-    return spoken.join(broadcast_if_small(lexicon), "term", "inner")
+    return spoken.join(broadcast_if_small(_terms(lexicon)), "term", "inner")
 
 
 def sentiment_scores(
@@ -37,14 +45,15 @@ def sentiment_scores(
 ) -> DataFrame:
     """Score of every review, 0 where no word is known.
 
-    The outer explode and the left join keep each review, so nothing has to be joined back.
+    The explode and the left join keep each review, so nothing has to be joined back.
     With a small lexicon the words are never shuffled: all words of a review lie in one
     partition and are summed there. With a large one, the words are counted per review before
     they are shuffled to the lexicon.
     """
     spoken = review_words(reviews, key, text, normalize)
-    side = broadcast_if_small(lexicon)
-    if side is lexicon:
+    terms = _terms(lexicon)
+    side = broadcast_if_small(terms)
+    if side is terms:
         spoken = spoken.groupBy(key, "term").agg(F.count("*").alias("times"))
     else:
         spoken = spoken.withColumn("times", F.lit(1))

@@ -13,7 +13,7 @@ from stargauge.functions.numeric import map_total
 from stargauge.operators import features as feats
 from stargauge.operators.cleaning import fill_null
 from stargauge.operators.joins import attach_names, join_business, join_user
-from stargauge.operators.models import fit_predict
+from stargauge.operators.models import KEY, LABEL, fit_predict
 from stargauge.plans.dimensions import Dimensions, StagedDimensions
 from stargauge.sources.staging import stage
 
@@ -127,11 +127,16 @@ def model_frames(
     features: list[str] | None = None,
     extra: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Standardised numeric features, and ``extra`` columns as they are, as one vector."""
+    """Standardised numeric features, and ``extra`` columns as they are, as one vector.
+
+    Moments, fits and folds each read the training rows again, so their columns are staged.
+    """
     numeric = features or feats.QUANT_FEATURES
-    scaled = feats.standardize(train, [train, test], numeric)
-    columns = [f"{name}_scaled" for name in numeric] + (extra or [])
-    return tuple(feats.assemble(df, columns) for df in scaled)
+    extra = extra or []
+    rows = stage(train.select(KEY, LABEL, *numeric, *extra), "training-rows")
+    columns = [f"{name}_scaled" for name in numeric] + extra
+    fitted, scored = feats.standardize(rows, [rows, test], numeric)
+    return feats.assemble(fitted, columns), feats.assemble(scored, columns)
 
 
 def train_and_score(
