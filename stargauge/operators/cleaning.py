@@ -21,7 +21,7 @@ UNUSED = {
     ("train", "business"): ("type", "full_address", "neighborhoods", "city"),
     ("train", "user"): ("type",),
     ("train", "checkin"): ("type",),
-    ("test", "review"): ("type",),
+    ("test", "review"): ("type", "date", "text"),
     ("test", "business"): ("type", "full_address", "city"),
     ("test", "user"): ("type",),
     ("test", "checkin"): ("type",),

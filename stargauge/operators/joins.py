@@ -95,14 +95,22 @@ def attach_user_averages(df: DataFrame, averages: DataFrame) -> DataFrame:
 def attach_names(df: DataFrame, names: DataFrame, how: str = "left") -> DataFrame:
     """Attach name averages; ``outer`` also appends the names that no row carries.
 
-    The appended names come from an anti-join on the distinct names, because a full outer
-    join could not be split at a frequent name. ``names`` should be a staged table.
+    ``names`` should be a staged table.
+    """
+    if how == "outer":
+        return append_unseen_names(df.join(names, "bus_name", "left"), names)
+    return df.join(names, "bus_name", how)
+
+
+def append_unseen_names(df: DataFrame, names: DataFrame) -> DataFrame:
+    """Add a row per name that no row carries.
+
+    An anti-join on the distinct names, because a full outer join could not be split at a
+    frequent name.
     """
-    if how != "outer":
-        return df.join(names, "bus_name", how)
     carried = df.where(F.col("bus_name").isNotNull()).select("bus_name").distinct()
     unseen = names.join(carried, "bus_name", "left_anti")
-    return df.join(names, "bus_name", "left").unionByName(unseen, allowMissingColumns=True)
+    return df.unionByName(unseen, allowMissingColumns=True)
 
 
 def group_businesses(business: DataFrame, grouped: DataFrame) -> DataFrame:

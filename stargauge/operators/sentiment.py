@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stargauge.functions.text import split_words
-from stargauge.operators.sizing import broadcast_if_small
+from stargauge.operators.sizing import fits_broadcast
+from stargauge.sources.staging import stage
 
 
 def review_words(
@@ -20,8 +21,15 @@ def review_words(
     return reviews.select(key, F.explode_outer(pieces).alias("term"))
 
 
-def _terms(lexicon: DataFrame) -> DataFrame:
-    return lexicon.where(F.col("term") != "")
+def _side(lexicon: DataFrame) -> tuple[DataFrame, bool]:
+    """The lexicon as a join side, and whether it is broadcast.
+
+    A large one is staged, so that the join can split a word that very many reviews share.
+    """
+    terms = lexicon.where(F.col("term") != "")
+    if fits_broadcast(terms):
+        return F.broadcast(terms), True
+    return stage(terms, "lexicon"), False
 
 
 def lexicon_hits(
@@ -33,7 +41,7 @@ def lexicon_hits(
 ) -> DataFrame:
     """Each word that the lexicon knows, with its score."""
     spoken = review_words(reviews, key, text, normalize)
-    return spoken.join(broadcast_if_small(_terms(lexicon)), "term", "inner")
+    return spoken.join(_side(lexicon)[0], "term", "inner")
 
 
 def sentiment_scores(
@@ -51,11 +59,10 @@ def sentiment_scores(
     they are shuffled to the lexicon.
     """
     spoken = review_words(reviews, key, text, normalize)
-    terms = _terms(lexicon)
-    side = broadcast_if_small(terms)
-    if side is terms:
-        spoken = spoken.groupBy(key, "term").agg(F.count("*").alias("times"))
-    else:
+    side, is_small = _side(lexicon)
+    if is_small:
         spoken = spoken.withColumn("times", F.lit(1))
+    else:
+        spoken = spoken.groupBy(key, "term").agg(F.count("*").alias("times"))
     value = F.coalesce(F.col("score") * F.col("times"), F.lit(0))
     return spoken.join(side, "term", "left").groupBy(key).agg(F.sum(value).alias("score"))

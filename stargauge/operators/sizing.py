@@ -1,4 +1,4 @@
-"""Broadcast decisions that are checked, not assumed."""
+"""Whether a join side may be broadcast: checked, not assumed."""
 
 from __future__ import annotations
 
@@ -14,10 +14,3 @@ def fits_broadcast(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX
     size = F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
     seen = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), size).first()
     return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
-
-
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
-) -> DataFrame:
-    """Hint a broadcast for a proven small side; leave a larger one to a shuffle join."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df

@@ -57,13 +57,13 @@ def write_dimensions(
     dimensions: Dimensions | StagedDimensions, everything: Split, folder: str
 ) -> None:
     """Write the files that the dimension readers expect."""
-    base = folder.rstrip("/")
-    write_dimension(dimensions.review_categories, f"{base}/{readers.REVIEW_CATEGORIES_FILE}")
-    write_dimension(dimensions.business_categories, f"{base}/{readers.BUSINESS_CATEGORIES_FILE}")
-    write_dimension(dimensions.grouped_categories, f"{base}/{readers.GROUPED_CATEGORIES_FILE}")
-    write_dimension(dimensions.names, f"{base}/{readers.NAME_AVERAGES_FILE}")
+    paths = {name: f"{folder.rstrip('/')}/{file}" for name, file in readers.FILES.items()}
+    write_dimension(dimensions.review_categories, paths["review_categories"])
+    write_dimension(dimensions.business_categories, paths["business_categories"])
+    write_dimension(dimensions.grouped_categories, paths["grouped_categories"])
+    write_dimension(dimensions.names, paths["names"])
     grouped = group_businesses(everything.business, dimensions.grouped_categories)
-    write_csv(grouped, f"{base}/{readers.GROUPED_BUSINESSES_FILE}")
+    write_csv(grouped, paths["grouped_businesses"])
 
 
 def read_dimensions(spark: SparkSession, folder: str) -> Dimensions:

@@ -12,7 +12,7 @@ from stargauge.frames import Split
 from stargauge.functions.numeric import map_total
 from stargauge.operators import features as feats
 from stargauge.operators.cleaning import fill_null
-from stargauge.operators.joins import attach_names, join_business, join_user
+from stargauge.operators.joins import append_unseen_names, join_business, join_user
 from stargauge.operators.models import KEY, LABEL, fit_predict
 from stargauge.plans.dimensions import Dimensions, StagedDimensions
 from stargauge.sources.staging import stage
@@ -82,9 +82,7 @@ class ReviewSets:
         return fill_null(df, "calc_total_checkins", F.lit(0).cast("bigint"))
 
     def _all_names(self, df: DataFrame, names: DataFrame) -> DataFrame:
-        if self._names != "outer":
-            return df
-        return attach_names(df.drop(*NAME_COLUMNS), names, "outer")
+        return append_unseen_names(df, names) if self._names == "outer" else df
 
     @cached_property
     def train(self) -> DataFrame:

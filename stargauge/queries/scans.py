@@ -97,7 +97,7 @@ def load_splits(w: Warehouse) -> DataFrame:
         _write_split(w, split, f"{folder}/{readers.SPLIT_PREFIXES[name]}")
     write_csv(
         w.id_lookup,
-        f"{folder}/{readers.ID_LOOKUP_FILE}",
+        f"{folder}/{readers.FILES['lookup']}",
         ["user_id", "business_id", "RecommendationId"],
     )
     splits, lookup = readers.read_splits(w.spark, folder)
@@ -171,7 +171,7 @@ def grouped_businesses(w: Warehouse) -> DataFrame:
 )
 def name_averages(w: Warehouse) -> DataFrame:
     folder = scratch_path(w.spark, "names")
-    write_dimension(w.dimensions.names, f"{folder}/{readers.NAME_AVERAGES_FILE}")
+    write_dimension(w.dimensions.names, f"{folder}/{readers.FILES['names']}")
     read = readers.read_name_averages(w.spark, folder)
     return read.select("bus_name", "bus_name_counts", "total_stars", r6("bus_name_avg"))
 

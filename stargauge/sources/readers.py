@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,18 +12,16 @@ from stargauge import schemas
 from stargauge.frames import Split
 from stargauge.operators.cleaning import last_per_key
 
-# The file-name prefix of each split.
-SPLIT_PREFIXES = {
-    "train": "yelp_training_set",
-    "test": "final_test_set",
-    "old_test": "yelp_test_set",
+# Default file names; every reader that uses them takes others.
+SPLIT_PREFIXES = {"train": "train", "test": "test", "old_test": "old_test"}
+FILES = {
+    "lookup": "id_lookup.csv",
+    "review_categories": "review_categories.csv",
+    "business_categories": "business_categories.csv",
+    "grouped_categories": "grouped_categories.parquet",
+    "grouped_businesses": "grouped_businesses.csv",
+    "names": "name_averages.csv",
 }
-ID_LOOKUP_FILE = "IdLookupTable.csv"
-REVIEW_CATEGORIES_FILE = "top_categories.csv"
-BUSINESS_CATEGORIES_FILE = "top_categories_bus_avg.csv"
-GROUPED_CATEGORIES_FILE = "top_categories_grouped.parquet"
-GROUPED_BUSINESSES_FILE = "all_bus_tops_cats_grouped3.csv"
-NAME_AVERAGES_FILE = "bus_name_avg.csv"
 
 
 def file_order() -> Column:
@@ -56,49 +56,55 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return last_per_key(scored, "term", "line").drop("line")
 
 
-def read_split(spark: SparkSession, folder: str, split: str) -> Split:
-    prefix = f"{folder.rstrip('/')}/{SPLIT_PREFIXES[split]}"
+def read_split(spark: SparkSession, folder: str, prefix: str) -> Split:
+    """The files ``<prefix>_<entity>.json`` of one split."""
+    base = f"{folder.rstrip('/')}/{prefix}"
     return Split(
         **{
-            entity: read_json_lines(spark, f"{prefix}_{entity}.json", schema)
+            entity: read_json_lines(spark, f"{base}_{entity}.json", schema)
             for entity, schema in schemas.ENTITIES.items()
         }
     )
 
 
-def read_splits(spark: SparkSession, folder: str) -> tuple[dict[str, Split], DataFrame]:
-    """All three splits of the four entities, and the id lookup."""
-    splits = {split: read_split(spark, folder, split) for split in SPLIT_PREFIXES}
-    lookup = read_csv_table(spark, f"{folder.rstrip('/')}/{ID_LOOKUP_FILE}", schemas.ID_LOOKUP)
-    return splits, lookup
+def read_splits(
+    spark: SparkSession,
+    folder: str,
+    prefixes: Mapping[str, str] = SPLIT_PREFIXES,
+    lookup: str = FILES["lookup"],
+) -> tuple[dict[str, Split], DataFrame]:
+    """The four entities of every split, and the id lookup."""
+    splits = {split: read_split(spark, folder, prefix) for split, prefix in prefixes.items()}
+    return splits, read_csv_table(spark, f"{folder.rstrip('/')}/{lookup}", schemas.ID_LOOKUP)
 
 
 def read_category_averages(
-    spark: SparkSession, folder: str
+    spark: SparkSession, folder: str, files: Mapping[str, str] = FILES
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Category averages from reviews, from businesses, and per whole category list."""
     base = folder.rstrip("/")
+    grouped = spark.read.schema(schemas.GROUPED_CATEGORY_AVERAGES)
     return (
         read_csv_table(
-            spark, f"{base}/{REVIEW_CATEGORIES_FILE}", schemas.REVIEW_CATEGORY_AVERAGES
+            spark, f"{base}/{files['review_categories']}", schemas.REVIEW_CATEGORY_AVERAGES
         ),
         read_csv_table(
-            spark, f"{base}/{BUSINESS_CATEGORIES_FILE}", schemas.BUSINESS_CATEGORY_AVERAGES
-        ),
-        spark.read.schema(schemas.GROUPED_CATEGORY_AVERAGES).parquet(
-            f"{base}/{GROUPED_CATEGORIES_FILE}"
+            spark, f"{base}/{files['business_categories']}", schemas.BUSINESS_CATEGORY_AVERAGES
         ),
+        grouped.parquet(f"{base}/{files['grouped_categories']}"),
     )
 
 
-def read_grouped_businesses(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{folder.rstrip('/')}/{GROUPED_BUSINESSES_FILE}"
-    return read_csv_table(spark, path, schemas.GROUPED_BUSINESSES)
+def read_grouped_businesses(
+    spark: SparkSession, folder: str, name: str = FILES["grouped_businesses"]
+) -> DataFrame:
+    return read_csv_table(spark, f"{folder.rstrip('/')}/{name}", schemas.GROUPED_BUSINESSES)
 
 
-def read_name_averages(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{folder.rstrip('/')}/{NAME_AVERAGES_FILE}"
-    return read_csv_table(spark, path, schemas.NAME_AVERAGES)
+def read_name_averages(
+    spark: SparkSession, folder: str, name: str = FILES["names"]
+) -> DataFrame:
+    return read_csv_table(spark, f"{folder.rstrip('/')}/{name}", schemas.NAME_AVERAGES)
 
 
 def read_keyed_reviews(spark: SparkSession, path: str, sequence: str | None = None) -> DataFrame:

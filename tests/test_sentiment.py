@@ -27,7 +27,7 @@ def test_scores(spark):
 
 
 def test_scores_with_a_lexicon_too_large_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(sentiment, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(sentiment, "fits_broadcast", lambda df: False)
     assert values(sentiment.sentiment_scores(*frames(spark))) == SCORES
 
 
@@ -42,4 +42,3 @@ def test_broadcast_bounds(spark):
     assert not sizing.fits_broadcast(rows, max_rows=9)
     assert not sizing.fits_broadcast(rows, max_bytes=20)
     assert sizing.fits_broadcast(rows.limit(0))
-    assert sizing.broadcast_if_small(rows, max_rows=9) is rows
