@@ -15,7 +15,7 @@ from stargauge.operators.cleaning import fill_null
 from stargauge.operators.joins import append_unseen_names, join_business, join_user
 from stargauge.operators.models import KEY, LABEL, fit_predict
 from stargauge.plans.dimensions import Dimensions, StagedDimensions
-from stargauge.sources.staging import stage
+from stargauge.sources.staging import stage, stage_all
 
 
 NAME_COLUMNS = ["bus_name_counts", "total_stars", "bus_name_avg"]
@@ -31,17 +31,18 @@ def wide_business(
 
     ``how="full"`` also keeps check-ins of businesses without a record.
     """
-    grouped = dimensions.grouped_categories.select(
+    known = dimensions.ready()
+    grouped = known.grouped_categories.select(
         "bus_categories",
         F.col("cat_counts").alias("grp_cat_counts"),
         F.col("cat_avg_stars").alias("grp_cat_avg_stars"),
     )
     scores = feats.business_category_scores(
         business,
-        calc_cat_avg=dimensions.review_categories,
-        calc_cat_avg_bus_avg=dimensions.business_categories,
+        calc_cat_avg=known.review_categories,
+        calc_cat_avg_bus_avg=known.business_categories,
     )
-    named = business.join(dimensions.names, "bus_name", "left")
+    named = business.join(known.names, "bus_name", "left")
     grouped_too = named.join(grouped, "bus_categories", "left")
     return _with_totals(grouped_too.join(scores, "business_id", "left"), checkin, how)
 
@@ -108,14 +109,13 @@ class ReviewSets:
     @cached_property
     def master(self) -> DataFrame:
         wide = wide_business(self._all.business, self._all.checkin, self._dimensions, "full")
-        business = stage(wide, "all-business")
         averages = feats.computed_user_averages(
             self._train.review, self._test.review, self._train.user
         )
-        user = stage(wide_user(self._all.user, averages), "all-users")
-        known = join_business(self._test.review, business, "left")
+        staged = stage_all({"business": wide, "user": wide_user(self._all.user, averages)})
+        known = join_business(self._test.review, staged["business"], "left")
         return self._all_names(
-            self._filled(join_user(known, user, "left")), self._dimensions.names
+            self._filled(join_user(known, staged["user"], "left")), self._dimensions.names
         )
 
 
