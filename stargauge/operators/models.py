@@ -17,6 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stargauge.concurrent import side_by_side
 from stargauge.functions.numeric import held_out, rmse
 from stargauge.operators.features import assemble
 from stargauge.operators.joins import union_all
@@ -152,26 +153,31 @@ def with_folds(df: DataFrame, folds: int, share: float, key: str = KEY) -> DataF
 
 
 def cross_validate(
-    df: DataFrame, estimator: Estimator, folds: int = 5, share: float = 0.15
+    df: DataFrame,
+    estimator: Estimator,
+    folds: int = 5,
+    share: float = 0.15,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Hold-out size and RMSE of every fold."""
+    spark = df.sparkSession
     rows = df.select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def predictions(fold: int) -> DataFrame:
+        out = held_out(F.col(KEY), F.lit(fold), share)
+        scored = estimator.copy().fit(rows.where(~out)).transform(rows.where(out))
+        return scored.select(F.lit(fold).alias("fold"), LABEL, "prediction")
+
     try:
-        predictions = []
-        for fold in range(folds):
-            out = held_out(F.col(KEY), F.lit(fold), share)
-            model = estimator.fit(rows.where(~out))
-            scored = model.transform(rows.where(out))
-            predictions.append(scored.select(F.lit(fold).alias("fold"), LABEL, "prediction"))
         scores = (
-            union_all(predictions)
+            union_all(side_by_side(spark, predictions, range(folds), parallelism))
             .groupBy("fold")
             .agg(F.count("*").alias("n"), rmse(F.col(LABEL), F.col("prediction")).alias("rmse"))
             .collect()
         )
     finally:
         rows.unpersist()
-    return df.sparkSession.createDataFrame(sorted(scores), "fold int, n bigint, rmse double")
+    return spark.createDataFrame(sorted(scores), "fold int, n bigint, rmse double")
 
 
 def mean_score(scores: DataFrame) -> DataFrame:
@@ -229,25 +235,27 @@ def forward_selection(
     estimator: Callable[[], Estimator] = least_squares,
     folds: int = 3,
     share: float = 0.2,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Add the feature that lowers the mean RMSE most, until no feature lowers it."""
+    spark = df.sparkSession
     rows = df.select(KEY, LABEL, *candidates).persist(StorageLevel.MEMORY_AND_DISK)
     chosen: list[str] = []
     history: list[tuple[int, str, float]] = []
+
+    def score(name: str) -> tuple[float, str]:
+        frame = assemble(rows, [*chosen, name], FEATURES)
+        scores = cross_validate(frame, estimator(), folds, share, parallelism=1)
+        return mean_score(scores).first()["mean_rmse"], name
+
     try:
         while len(chosen) < len(candidates):
-            scored = []
-            for name in candidates:
-                if name in chosen:
-                    continue
-                frame = assemble(rows, [*chosen, name], FEATURES)
-                score = mean_score(cross_validate(frame, estimator(), folds, share))
-                scored.append((score.first()["mean_rmse"], name))
-            best, name = min(scored)
+            left = [name for name in candidates if name not in chosen]
+            best, name = min(side_by_side(spark, score, left, parallelism))
             if history and best >= history[-1][2]:
                 break
             chosen.append(name)
             history.append((len(chosen), name, best))
     finally:
         rows.unpersist()
-    return df.sparkSession.createDataFrame(history, "step int, feature string, mean_rmse double")
+    return spark.createDataFrame(history, "step int, feature string, mean_rmse double")

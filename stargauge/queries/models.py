@@ -153,6 +153,5 @@ def subset_to_subset(w: Warehouse) -> DataFrame:
 @query("m17_forward_selection")
 def forward_selection(w: Warehouse) -> DataFrame:
     train = subset(w.subset_sources, "all_5_8_train")
-    candidates = ["bus_stars", "user_average_stars", "calc_cat_avg"]
-    steps = ops.forward_selection(train, candidates, folds=2)
+    steps = ops.forward_selection(train, QUANT_FEATURES, folds=2)
     return steps.select("step", "feature", r6("mean_rmse"))

@@ -8,11 +8,10 @@ what the runtime needs to split a skewed key.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
-from pyspark.util import inheritable_thread_target
 
+from stargauge.concurrent import side_by_side
 from stargauge.sources.scratch import scratch_path
 
 
@@ -23,11 +22,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def stage_all(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Stage independent tables at the same time, so that their jobs share the executors."""
-    if len(frames) < 2:
-        return {label: stage(df, label) for label, df in frames.items()}
+    """Stage independent tables at the same time."""
+    if not frames:
+        return {}
     spark = next(iter(frames.values())).sparkSession
-    with ThreadPoolExecutor(len(frames)) as pool:
-        target = inheritable_thread_target(spark)(stage)
-        running = {label: pool.submit(target, df, label) for label, df in frames.items()}
-        return {label: staged.result() for label, staged in running.items()}
+    labels = list(frames)
+    staged = side_by_side(spark, lambda label: stage(frames[label], label), labels)
+    return dict(zip(labels, staged, strict=True))

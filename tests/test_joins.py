@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
 from stargauge.frames import Split
 from stargauge.operators import joins as ops
+from stargauge.operators import sentiment
+from stargauge.operators.benchmarks import known_stars
 from stargauge.operators.features import computed_user_averages
 
 REVIEW = "review_id string, user_id string, business_id string"
@@ -104,20 +109,33 @@ def test_combine_fills_absent_columns_with_null(spark):
     assert both.user.count() == 2, "a bag union keeps repeats"
 
 
-def test_hot_keys_are_split_at_runtime(spark, warehouse):
-    """A business and a user that hold a third of the reviews, without broadcasts."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    }
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
+@contextmanager
+def settings(spark, **values):
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
         spark.conf.set(key, value)
     try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+NO_BROADCAST = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+SMALL_SKEW = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def test_hot_keys_are_split_at_runtime(spark, warehouse):
+    """A business and a user that hold a third of the reviews, without broadcasts."""
+    with settings(spark, **NO_BROADCAST, **SMALL_SKEW):
         n = F.col("id")
         hot = (n % 3) == 0
         many = spark.range(0, 60_000, numPartitions=8).select(
@@ -133,6 +151,40 @@ def test_hot_keys_are_split_at_runtime(spark, warehouse):
         plan = joined._jdf.queryExecution().executedPlan().toString()
         final = plan.split("== Initial Plan ==")[0]
         assert final.count("SortMergeJoin(skew=true)") == 2
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def test_a_word_in_a_third_of_the_reviews_is_split(spark, monkeypatch):
+    monkeypatch.setattr(sentiment, "fits_broadcast", lambda df: False)
+    with settings(spark, **NO_BROADCAST, **SMALL_SKEW):
+        n = F.col("id")
+        text = F.concat_ws(" ", F.when(n % 3 == 0, F.lit("good")), F.concat(F.lit("w"), n % 9000))
+        texts = spark.range(0, 60_000, numPartitions=8).select(
+            n.alias("review_id"), text.alias("text")
+        )
+        lexicon = spark.createDataFrame([("good", 3), ("w7", 1)], "term string, score int")
+        scored = sentiment.sentiment_scores(texts, lexicon)
+        total = scored.groupBy().sum("score").collect()[0][0]
+        assert total == 3 * 20_000 + 7
+        scored.collect()
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan.split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize(
+    "build",
+    [
+        lambda w: w.sets.train,
+        lambda w: w.sets.test,
+        lambda w: w.sets.master,
+        lambda w: ops.master_set(w.test.review, w.everything),
+        lambda w: ops.missing_user_reviews(w.train.review, w.test.review, w.train.user),
+        lambda w: ops.attach_recommendation_ids(w.test.review, w.id_lookup),
+        lambda w: known_stars(w.test.review, w.train),
+    ],
+)
+def test_both_sides_of_every_review_join_are_plain_shuffles(spark, warehouse, build):
+    with settings(spark, **NO_BROADCAST):
+        plan = build(warehouse).select("*")._jdf.queryExecution().executedPlan().toString()
+    joins = plan.count("SortMergeJoin [")
+    assert joins >= 2
+    assert plan.count("Exchange hashpartitioning") == 2 * joins
