@@ -177,7 +177,7 @@ def recommendation_ids(w: Warehouse) -> DataFrame:
 
 @query(
     "j12_lexicon_probe",
-    """SELECT doc_id AS review_id, term, count(*) AS n, sum(score) AS score
+    """SELECT doc_id AS review_id, term, count(*) AS n, CAST(sum(score) AS BIGINT) AS score
        FROM (SELECT doc_id, unnest(regexp_split_to_array(text,
              '[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'
              )) AS term FROM documents)
