@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ def round_coordinate(value: Column) -> Column:
 
 
 def fill(value: Column, replacement: Column | float) -> Column:
-    return F.coalesce(value, replacement if isinstance(replacement, Column) else F.lit(replacement))
+    return F.coalesce(value, F.lit(replacement))
 
 
 def first_positive(*values: Column, otherwise: Column) -> Column:
@@ -45,10 +43,6 @@ def rmse(truth: Column, prediction: Column) -> Column:
     return F.sqrt(F.avg(F.pow(truth - prediction, F.lit(2))))
 
 
-def both(conditions: list[Column]) -> Column:
-    return reduce(lambda left, right: left & right, conditions)
-
-
 def held_out(key: Column, fold: Column, share: float) -> Column:
     """Whether a row belongs to a fold's hold-out of about ``share`` of all rows.
 

@@ -71,7 +71,9 @@ def attach_category_scores(
     return df.join(scores, "business_id", "left")
 
 
-def multi_hot_long(df: DataFrame, vocabulary_from: DataFrame, k: int = VOCABULARY_SIZE) -> DataFrame:
+def multi_hot_long(
+    df: DataFrame, vocabulary_from: DataFrame, k: int = VOCABULARY_SIZE
+) -> DataFrame:
     """Sparse multi-hot matrix as ``(review_id, category)`` rows, one per 1-entry.
 
     The vocabulary has ``k`` words at most and enters as one array value, so the reviews are
@@ -97,7 +99,9 @@ def multi_hot(
     return model.transform(present), vocabulary
 
 
-def one_hot_long(train: DataFrame, df: DataFrame, feature: str, key: str = "review_id") -> DataFrame:
+def one_hot_long(
+    train: DataFrame, df: DataFrame, feature: str, key: str = "review_id"
+) -> DataFrame:
     """Sparse one-hot matrix as ``(key, value)`` rows; values unseen in training have none.
 
     Works for any number of values, as nothing reaches the driver.

@@ -118,7 +118,9 @@ def boosted_trees(rounds: int = 100, depth: int = 3, rate: float = 0.1) -> GBTRe
     return GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=0, **COLUMNS)
 
 
-def gradient_linear(train: DataFrame, alpha: float = 0.001, iterations: int = 800) -> LinearRegression:
+def gradient_linear(
+    train: DataFrame, alpha: float = 0.001, iterations: int = 800
+) -> LinearRegression:
     """Iteratively fitted linear model with a squared penalty ``alpha |w|^2 / 2``."""
     _, std = _label_moments(train)
     return _linear(alpha * std, 0.0, solver="l-bfgs", tol=1e-6, maxIter=iterations)

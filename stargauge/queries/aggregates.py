@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stargauge.functions.numeric import map_total
 from stargauge.operators import dimensions as dims
 from stargauge.operators import features as feats
 from stargauge.operators.benchmarks import business_user_mean
@@ -13,19 +12,13 @@ from stargauge.operators.cleaning import mean_of
 from stargauge.operators.joins import join_business, join_user
 from stargauge.operators.models import LABEL, cross_validate_benchmark, mean_score
 from stargauge.operators.sentiment import sentiment_scores
-from stargauge.queries.base_sql import held_out
+from stargauge.queries.base_sql import SPACE, held_out
 from stargauge.queries.columns import r6, text_list
 from stargauge.queries.registry import query
 from stargauge.sources.warehouse import Warehouse
 
 c = F.col
 
-SPACE = (
-    "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200A}"
-    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
-)
-
-
 @query(
     "a1_global_mean",
     """SELECT round(avg(rev_stars), 6) AS mean_stars,
@@ -119,8 +112,7 @@ def computed_user_averages(w: Warehouse) -> DataFrame:
 def total_checkins(w: Warehouse) -> DataFrame:
     everything = w.everything
     joined = everything.business.join(everything.checkin, "business_id", "left")
-    total = map_total(c("chk_checkin_info")).alias("calc_total_checkins")
-    return joined.select("business_id", total)
+    return feats.with_total_checkins(joined).select("business_id", "calc_total_checkins")
 
 
 @query(

@@ -157,6 +157,13 @@ BASE = {
 }
 
 
+# The white space at which review text is cut into words, for the SQL engine's matcher.
+SPACE = (
+    r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
+
+
 def held_out(fold: str, share: float, key: str = "review_id") -> str:
     """Hold-out rule of a fold; the hash is the same on both engines."""
     digest = f"substr(md5(concat_ws('|', {fold}, {key})), 1, 8)"

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from stargauge.functions import numeric, text
 from stargauge.operators import cleaning as ops
 from stargauge.operators.benchmarks import known_stars
-from stargauge.operators.features import CATEGORY_FILL, GROUPED_FILL
+from stargauge.operators.features import (
+    CATEGORY_FILL,
+    GROUPED_FILL,
+    attach_category_scores,
+)
 from stargauge.operators.joins import attach_grouped, group_businesses
+from stargauge.operators.subsets import subset
 from stargauge.queries.columns import r6, text_list
 from stargauge.queries.registry import query
 from stargauge.sources.warehouse import Warehouse
@@ -124,8 +129,6 @@ def narrow(w: Warehouse) -> DataFrame:
        LEFT JOIN v_grouped_businesses USING (business_id)""",
 )
 def constant_fill(w: Warehouse) -> DataFrame:
-    from stargauge.operators.features import attach_category_scores
-
     business = w.everything.business
     scored = attach_category_scores(
         business.select("business_id"), business, calc_cat_avg=w.dimensions.review_categories
@@ -183,8 +186,6 @@ def clamped(w: Warehouse) -> DataFrame:
        FROM v_master_set WHERE bus_stars IS NULL AND bus_name_counts = 1""",
 )
 def imputed(w: Warehouse) -> DataFrame:
-    from stargauge.operators.subsets import subset
-
     rows = subset(w.subset_sources, "names_1_test")
     return ops.impute_user_average(rows).select("review_id", r6("user_average_stars"))
 

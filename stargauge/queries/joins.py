@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stargauge.operators import features as feats
 from stargauge.operators import joins as ops
-from stargauge.operators.cleaning import last_per_key
+from stargauge.operators.cleaning import impute_user_average, last_per_key
 from stargauge.operators.features import assemble
 from stargauge.operators.sentiment import lexicon_hits
+from stargauge.queries.base_sql import SPACE
 from stargauge.queries.columns import r6
 from stargauge.queries.registry import query
 from stargauge.queries.scans import _KEYED_SQL, keyed_reviews
@@ -177,11 +179,10 @@ def recommendation_ids(w: Warehouse) -> DataFrame:
 
 @query(
     "j12_lexicon_probe",
-    """SELECT doc_id AS review_id, term, count(*) AS n, CAST(sum(score) AS BIGINT) AS score
-       FROM (SELECT doc_id, unnest(regexp_split_to_array(text,
-             '[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'
-             )) AS term FROM documents)
-       JOIN v_lexicon USING (term) GROUP BY ALL""",
+    f"""SELECT doc_id AS review_id, term, count(*) AS n, CAST(sum(score) AS BIGINT) AS score
+        FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '{SPACE}')) AS term
+              FROM documents)
+        JOIN v_lexicon USING (term) GROUP BY ALL""",
 )
 def lexicon_probe(w: Warehouse) -> DataFrame:
     hits = lexicon_hits(w.review_text, w.lexicon)
@@ -260,8 +261,6 @@ def complementary(w: Warehouse) -> DataFrame:
        WHERE coalesce(user_average_stars, calc_user_avg_stars) IS NOT NULL""",
 )
 def imputed_and_known(w: Warehouse) -> DataFrame:
-    from stargauge.operators.cleaning import impute_user_average
-
     averages = feats.computed_user_averages(w.train.review, w.test.review, w.train.user)
     users = impute_user_average(ops.attach_user_averages(w.everything.user, averages))
     known = users.where(c("user_average_stars").isNotNull())
@@ -276,8 +275,6 @@ def imputed_and_known(w: Warehouse) -> DataFrame:
        FROM v_test_reviews JOIN v_train_business USING (business_id)""",
 )
 def side_by_side(w: Warehouse) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     rows = ops.join_business(w.test.review, w.train.business)
     (flagged,) = feats.one_hot(w.train.business, [rows], "bus_open")
     joined = assemble(flagged, ["bus_stars", "bus_review_count", "bus_open_vector"])

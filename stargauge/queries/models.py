@@ -141,7 +141,9 @@ def fit_and_predict(w: Warehouse) -> DataFrame:
 
 @query(
     "m16_subset_to_subset",
-    _fit_sql(f"(SELECT * FROM v_train_set WHERE {_5_8})", f"(SELECT * FROM v_test_set WHERE {_1_5})"),
+    _fit_sql(
+        f"(SELECT * FROM v_train_set WHERE {_5_8})", f"(SELECT * FROM v_test_set WHERE {_1_5})"
+    ),
 )
 def subset_to_subset(w: Warehouse) -> DataFrame:
     train = subset(w.subset_sources, "all_5_8_train")

@@ -11,7 +11,7 @@ from stargauge.operators import models as ops
 from stargauge.operators.joins import attach_recommendation_ids
 from stargauge.operators.sentiment import sentiment_scores
 from stargauge.plans.modelling import model_frames
-from stargauge.queries.aggregates import SPACE
+from stargauge.queries.base_sql import SPACE
 from stargauge.queries.benchmarks import _FALLBACK, _KNOWN
 from stargauge.queries.columns import r6
 from stargauge.queries.models import _fit_sql

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stargauge.functions.numeric import clamp
@@ -54,12 +54,12 @@ def write_predictions(
     model: str,
     subset: str,
     submission: str,
-    prediction: str | Column | None = None,
+    prediction: str | None = None,
     low: float | None = None,
     high: float | None = None,
 ) -> str:
     """``review_id, stars`` lines from ``predictions_<model>``; unbounded unless asked."""
-    value = prediction if isinstance(prediction, Column) else F.col(prediction or f"predictions_{model}")
+    value = F.col(prediction or f"predictions_{model}")
     path = _submission_path(folder, submission, model, subset)
     return write_csv(df.select(REVIEW_KEY, clamp(value, low, high).alias(PREDICTED)), path)
 
