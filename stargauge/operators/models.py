@@ -226,9 +226,11 @@ def cross_validate_training_mean(df: DataFrame, folds: int = 5, share: float = 0
             F.sum(label * label).alias("squares"),
         )
     )
-    mean = (whole["total"] - F.col("total")) / (whole["n"] - F.col("n"))
+    mean = F.try_divide(whole["total"] - F.col("total"), whole["n"] - F.col("n"))
     error = F.col("squares") - 2 * mean * F.col("total") + F.col("n") * mean * mean
-    return held.select("fold", "n", F.sqrt(error / F.col("n")).alias("rmse"))
+    # Rounding may leave a perfect fold slightly below zero.
+    square = F.when(error > 0, error / F.col("n")).when(error <= 0, F.lit(0.0))
+    return held.select("fold", "n", F.sqrt(square).alias("rmse"))
 
 
 def forward_selection(

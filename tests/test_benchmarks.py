@@ -100,3 +100,10 @@ def test_training_mean_equals_the_mean_outside_the_holdout(spark):
         rmse = (sum((y - mean) ** 2 for y in out) / len(out)) ** 0.5
         assert got[fold][0] == len(out)
         assert abs(got[fold][1] - rmse) < 1e-9
+
+
+def test_training_mean_of_equal_labels_is_exact(spark):
+    same = rated(spark, 200).withColumn("rev_stars", F.lit(3.3))
+    got = models.cross_validate_training_mean(same, 3, 0.2).collect()
+    assert len(got) == 3
+    assert all(row["rmse"] < 1e-6 for row in got)
