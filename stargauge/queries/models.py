@@ -112,6 +112,51 @@ def univariate(w: Warehouse) -> DataFrame:
     return line.select(r6("slope"), r6("intercept"), "n")
 
 
+_ONE = "user_average_stars"
+
+
+def _one_feature_sql(slope: str, places: int = 6) -> str:
+    """Predictions of a penalised fit on one scaled feature, from its closed form.
+
+    ``g`` is the covariance of the scaled feature with the label, ``n`` the number of rows.
+    """
+    return f"""
+        WITH k AS (SELECT avg({_ONE}) AS m, stddev_pop({_ONE}) AS s, avg(rev_stars) AS level,
+                          covar_pop({_ONE}, rev_stars) / stddev_pop({_ONE}) AS g, count(*) AS n
+                   FROM v_train_set)
+        SELECT review_id, round(level + ({slope}) * ({_ONE} - m) / s, {places}) AS prediction
+        FROM v_test_set CROSS JOIN k"""
+
+
+def _one_feature(w: Warehouse, make, places: int = 6) -> DataFrame:
+    train, test = model_frames(w.sets.train, w.sets.test, [_ONE])
+    scored, _ = ops.fit_predict(train, test, make(train), "One")
+    return scored.select("review_id", F.round("predictions_One", places).alias("prediction"))
+
+
+@query("m7_ridge_one_feature", _one_feature_sql("n * g / (n + 5000)"))
+def ridge_one(w: Warehouse) -> DataFrame:
+    return _one_feature(w, lambda train: ops.ridge(train, 5000.0))
+
+
+@query("m7_lasso_one_feature", _one_feature_sql("sign(g) * greatest(abs(g) - 0.0005, 0)"))
+def lasso_one(w: Warehouse) -> DataFrame:
+    return _one_feature(w, lambda train: ops.lasso(0.0005))
+
+
+@query(
+    "m7_elastic_net_one_feature",
+    _one_feature_sql("sign(g) * greatest(abs(g) - 0.0005, 0) / (1 + 0.4995)"),
+)
+def elastic_net_one(w: Warehouse) -> DataFrame:
+    return _one_feature(w, lambda train: ops.elastic_net(train, 0.5, 0.001))
+
+
+@query("m11_gradient_one_feature", _one_feature_sql("g / (1 + 0.5)", places=4))
+def gradient_one(w: Warehouse) -> DataFrame:
+    return _one_feature(w, lambda train: ops.gradient_linear(train, 0.5), places=4)
+
+
 _CV_ROWS = f"""
     SELECT fold, review_id, rev_stars, {_NUMBERS}, NOT ({held_out("fold", 0.2)}) AS fit
     FROM v_train_set CROSS JOIN (SELECT unnest([0, 1, 2]) AS fold)
