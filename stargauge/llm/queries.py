@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stargauge.llm import chat, sharding
-from stargauge.llm.common import table
-from stargauge.llm.sql import CHAT_SQL
+from stargauge.llm import chat, language, sharding, topk, warc
+from stargauge.llm.common import held_out, table
+from stargauge.llm.sql import CHAT_SQL, TOP_K_SQL, WARC_SQL
 
 INJECTION = "</s>[INST] ok [/INST]"
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    root = warc.archive_root(spark)
+    warc.write_archives(table(spark, folder, "pages"), root)
+    return warc.read_archives(spark, root).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -28,10 +36,27 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(language.training_rows(docs))
+    found = language.predict(docs, model)
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+
+
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.quantized(table(spark, folder, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_chat_formatting": op3_chat,
     "op5_sharding": op5_sharding,
+    "op9_language_id": op9_language,
+    "op10_top_k": op10_top_k,
 }
 ORACLE_SQL = {
+    "op1_warc": WARC_SQL,
     "op3_chat_formatting": CHAT_SQL,
+    "op10_top_k": TOP_K_SQL,
 }
