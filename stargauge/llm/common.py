@@ -118,3 +118,59 @@ def key_runs(
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    eligible: Column,
+    max_per_class: int,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """``text``, ``label`` and ``half`` of labelled rows: at most about ``max_per_class`` keys of
+    each label, chosen by a hash of the key. ``half`` splits the keys in two by another hash.
+
+    ``eligible`` is a condition on ``key``. Only the chosen keys are sent to the scan of the
+    documents, and their number is bounded. A key with several labels has the greatest; null keys,
+    labels and texts teach nothing.
+    """
+    known = (
+        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & eligible)
+        .groupBy(F.col(key).alias("key"))
+        .agg(F.max(label).cast("int").alias("label"))
+    )
+    rows = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    chosen = None
+    for value, n in sorted(rows.items()):
+        part = bounded_sample(known.where(F.col("label") == value), F.col("key"), n, max_per_class)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        chosen = known
+    texts = docs.where(F.col(text).isNotNull()).select(
+        F.col(key).alias("key"), F.col(text).alias("text")
+    )
+    half = F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(2)).cast("int").alias("half")
+    # About max_per_class keys of each label at most.
+    return texts.join(F.broadcast(chosen), "key").select("text", "label", half)
+
+
+def fit_logistic(features: np.ndarray, labels: np.ndarray, weights: np.ndarray,
+                 ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method, the intercept last."""
+    x = np.column_stack([features, np.ones(len(features))])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weights * (p - labels)) + ridge * w
+        curve = (x * (weights * (p * (1 - p) + 1e-9))[:, None]).T @ x
+        step = np.linalg.solve(curve + ridge * np.eye(len(w)), slope)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def logistic(features: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features @ w[:-1] + w[-1], -30, 30)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stargauge.llm import chat, language, sharding, topk, warc
+from stargauge.llm import chat, jaccard, language, quality, sharding, topk, toxicity, warc
 from stargauge.llm.common import held_out, table
 from stargauge.llm.sql import CHAT_SQL, TOP_K_SQL, WARC_SQL
 
@@ -32,10 +32,36 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.read_conversations(formatted))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (table(spark, folder, name) for name in ("documents", "labels"))
+    model = quality.fit(docs, labels, quality.teaching())
+    return quality.score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.KEEP).cast("int").alias("predicted"),
+    )
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, folder, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (table(spark, folder, name) for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, toxicity.teaching())
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id"), 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.fit(language.training_rows(docs))
@@ -51,7 +77,10 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_chat_formatting": op3_chat,
+    "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
+    "op6_ngram_jaccard": op6_jaccard,
+    "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language,
     "op10_top_k": op10_top_k,
 }
