@@ -332,3 +332,27 @@ def link_documents(
         (F.coalesce("doc_links", nothing) + F.coalesce(F.col("docs") - 1, nothing)).alias("n_links"),
         F.coalesce("text_links", nothing).alias("n_text_links"),
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of linked documents, with all its columns: that of the smallest key.
+    Rows without n-grams all stay. Of rows that repeat a key and its words one stays."""
+    found = link_documents(docs, key, text)
+    dropped = found.where("doc_id IS NOT NULL AND class_id <> doc_id").select(
+        F.col("doc_id").alias("_copy")
+    )
+    dropped = stage(dropped.distinct(), "jaccard-dropped")
+    kept = docs.join(dropped, docs[key] == dropped["_copy"], "left_anti")
+    repeated = stage(
+        found.where("class_id = doc_id AND n_links > 0")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .select(F.col("doc_id").alias("_copy")),
+        "jaccard-repeated",
+    )
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(repeated, docs[key] == repeated["_copy"], "left_anti")
+    several = kept.join(repeated, docs[key] == repeated["_copy"], "left_semi")
+    return single.unionByName(several.dropDuplicates([key]))

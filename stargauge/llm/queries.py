@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stargauge.llm import chat, jaccard, language, quality, sharding, topk, toxicity, warc
+from stargauge.llm import (
+    chat,
+    decontaminate,
+    jaccard,
+    language,
+    pieces,
+    quality,
+    sharding,
+    topk,
+    toxicity,
+    warc,
+)
 from stargauge.llm.common import held_out, table
-from stargauge.llm.sql import CHAT_SQL, TOP_K_SQL, WARC_SQL
+from stargauge.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, TOP_K_SQL, WARC_SQL
 
+# The folder of public tokenizer files; another one may be named in the environment.
+TOKENIZERS = "/opt/tokenizers"
+MODEL_FILE = "piece_bpe_32k.model"
 INJECTION = "</s>[INST] ok [/INST]"
 
 
+def tokenizer_path() -> str:
+    return os.path.join(os.environ.get("TOKENIZER_FOLDER", TOKENIZERS), MODEL_FILE)
+
+
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     root = warc.archive_root(spark)
     warc.write_archives(table(spark, folder, "pages"), root)
@@ -20,6 +40,19 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids as text, and whether decoding them gives the text back (a null text: an empty one)."""
+    docs = table(spark, folder, "documents")
+    encoded = pieces.encode_and_decode(docs, tokenizer_path())
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "round_trip",
+    )
+
+
 def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -51,6 +84,11 @@ def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_documents(table(spark, folder, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = (table(spark, folder, name) for name in ("documents", "benchmark"))
+    return decontaminate.contaminated(docs, benchmark)
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = (table(spark, folder, name) for name in ("documents", "labels"))
     model = toxicity.fit(docs, labels, toxicity.teaching())
@@ -76,10 +114,12 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_sentencepiece": op2_pieces,
     "op3_chat_formatting": op3_chat,
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_ngram_jaccard": op6_jaccard,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language,
     "op10_top_k": op10_top_k,
@@ -87,5 +127,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc": WARC_SQL,
     "op3_chat_formatting": CHAT_SQL,
+    "op7_decontamination": DECONTAMINATION_SQL,
     "op10_top_k": TOP_K_SQL,
 }

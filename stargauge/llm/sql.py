@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stargauge.llm.chat import END, PLAIN, SEPARATOR, START
+from stargauge.llm.decontaminate import AROUND, LEAST_EQUAL, MASKS, SPAN
 
 CHAT_SQL = rf"""
 WITH turns AS (
@@ -66,3 +67,45 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
 ) WHERE rank <= 5
 """
+
+
+def _decontamination_sql() -> str:
+    def key(mask: str) -> str:
+        return " || '|' || ".join(
+            f"w[i + {at + 1}]" for at in range(SPAN) if mask[at] == "1"
+        )
+
+    keys = ", ".join(f"'{n}|' || {key(mask)}" for n, mask in enumerate(MASKS))
+    words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    return f"""
+WITH docs AS (SELECT doc_id, {words} AS w FROM documents),
+items AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark),
+doc_places AS (SELECT doc_id, w, unnest(range(len(w) - {SPAN - 1})) AS i FROM docs WHERE len(w) >= {SPAN}),
+item_places AS (SELECT item_id, w, unnest(range(len(w) - {SPAN - 1})) AS i FROM items WHERE len(w) >= {SPAN}),
+doc_seeds AS (SELECT doc_id, i, unnest([{keys}]) AS seed FROM doc_places),
+item_seeds AS (SELECT item_id, i, unnest([{keys}]) AS seed FROM item_places),
+hits AS (
+  SELECT d.doc_id, s.item_id, d.i AS place, s.i AS item_place
+  FROM doc_seeds d JOIN item_seeds s ON d.seed = s.seed
+),
+spans AS (
+  SELECT h.*, docs.w AS doc, items.w AS item, least(len(items.w), {AROUND}) AS compared,
+    greatest(0, least(item_place - {(AROUND - SPAN) // 2},
+      len(items.w) - least(len(items.w), {AROUND}))) AS start
+  FROM hits h JOIN docs ON h.doc_id IS NOT DISTINCT FROM docs.doc_id
+    JOIN items ON h.item_id IS NOT DISTINCT FROM items.item_id
+),
+counted AS (
+  SELECT doc_id, item_id, compared, len(list_filter(range(start, start + compared),
+    lambda p: place - item_place + p >= 0
+      AND coalesce(doc[place - item_place + p + 1] = item[p + 1], false))) AS equal
+  FROM spans
+)
+SELECT doc_id, item_id, CAST(max(equal) AS INTEGER) AS equal,
+  CAST(max(compared) AS INTEGER) AS compared, count(*) AS hits
+FROM counted WHERE equal >= ceil(compared * {LEAST_EQUAL})
+GROUP BY doc_id, item_id
+"""
+
+
+DECONTAMINATION_SQL = _decontamination_sql()

@@ -288,7 +288,8 @@ def write_archives(
         F.lit(None).cast("string").alias("payload"),
     )
     placed = rows.unionByName(decisions).withColumn("shard", shard_of("page_id"))
-    dealt = placed.repartition(len(bounds) + 1, "shard").sortWithinPartitions(
+    # One task per shard.
+    dealt = placed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(
         "shard", "page_id", "digest", "kind"
     )
     written = dealt.mapInArrow(_writer(root, roll_bytes), MANIFEST)
