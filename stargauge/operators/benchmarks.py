@@ -58,6 +58,17 @@ def business_user_mean(reviews: DataFrame, train: Split) -> DataFrame:
     return known_stars(reviews, train).select(*KEYS, value)
 
 
+def all_means(reviews: DataFrame, train: Split) -> DataFrame:
+    """Business, user and combined mean of every review, from one join per key."""
+    mean = global_mean(train)
+    return known_stars(reviews, train).select(
+        *KEYS,
+        F.coalesce("bus_stars", mean).alias("benchmark_bus_mean"),
+        F.coalesce("user_average_stars", mean).alias("benchmark_usr_mean"),
+        _fallback(train).alias("benchmark_bus_usr_mean"),
+    )
+
+
 def greater_count_mean(reviews: DataFrame, train: Split) -> DataFrame:
     """The mean with more reviews behind it (a tie goes to the business), else the fallback."""
     counts = F.col("bus_review_count"), F.col("user_review_count")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stargauge.frames import Split
 
@@ -46,13 +47,16 @@ def category_vocabulary(df: DataFrame, k: int = VOCABULARY_SIZE) -> DataFrame:
     return top_k(category_counts(df), "n", "category", k)
 
 
-def first_rows(df: DataFrame, keys: list[str], n: int = 10_000, tasks: int = 2_000) -> DataFrame:
+def first_rows(df: DataFrame, keys: list[str], n: int = 10_000, groups: int = 64) -> DataFrame:
     """The first ``n`` rows in key order.
 
-    Every task hands on its own first ``n`` rows; merging input partitions into ``tasks``
-    bounds what the last task reads, however many input partitions there are.
+    Every task hands on its own first ``n`` rows to one of ``groups`` tasks, and those theirs to
+    the last, which so reads ``groups * n`` rows at most, however many input partitions there are.
     """
-    return df.coalesce(tasks).orderBy(*keys).limit(n)
+    order = Window.partitionBy("_group").orderBy(*keys)
+    grouped = df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    ranked = grouped.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
+    return ranked.drop("_group", "_rank").orderBy(*keys).limit(n)
 
 
 def category_averages_from_reviews(

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import (
-    CountVectorizerModel,
-    OneHotEncoder,
-    StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +24,6 @@ QUANT_FEATURES = [
     "calc_total_checkins",
     "calc_cat_avg",
 ]
-MAX_LABELS = 100_000
 
 
 def computed_user_averages(
@@ -90,13 +84,17 @@ def multi_hot(
     k: int = VOCABULARY_SIZE,
     output: str = "category_vector",
 ) -> tuple[DataFrame, list[str]]:
-    """Binary category vectors, and the vocabulary (``k`` words at most) they refer to."""
+    """Binary category vectors, and the vocabulary (``k`` words at most) they refer to.
+
+    Every row is kept; one without a list has no words.
+    """
     vocabulary = [row["category"] for row in category_vocabulary(vocabulary_from, k).collect()]
+    listed = f"{output}_words"
     model = CountVectorizerModel.from_vocabulary(
-        vocabulary, inputCol="bus_categories", outputCol=output
+        vocabulary, inputCol=listed, outputCol=output
     ).setBinary(True)
-    present = df.where(F.col("bus_categories").isNotNull())
-    return model.transform(present), vocabulary
+    words = F.coalesce("bus_categories", F.array().cast("array<string>"))
+    return model.transform(df.withColumn(listed, words)).drop(listed), vocabulary
 
 
 def one_hot_long(
@@ -115,34 +113,49 @@ def one_hot_long(
 def one_hot(train: DataFrame, frames: list[DataFrame], feature: str) -> list[DataFrame]:
     """One-hot vectors of a text column in ``<feature>_vector``, fitted on ``train`` only.
 
-    A boolean column becomes one 0/1 column. Values unseen in training become all zeros. The
-    indexer keeps its labels on the driver, so their number is checked; ``one_hot_long`` has
-    no such bound.
+    A boolean column becomes one 0/1 column, NULL where it is not known. Values unseen in
+    training, and NULL, become all zeros. Labels are numbered in Spark, in their order, so there
+    may be any number of them; only that number reaches the driver.
     """
     output = f"{feature}_vector"
     if dict(train.dtypes)[feature] == "boolean":
-        assembler = VectorAssembler(inputCols=[f"{feature}_flag"], outputCol=output)
-        flag = F.coalesce(F.col(feature).cast("double"), F.lit(0.0))
-        return [
-            assembler.transform(df.withColumn(f"{feature}_flag", flag)).drop(f"{feature}_flag")
-            for df in frames
-        ]
-    labels = train.select(feature).where(F.col(feature).isNotNull()).distinct()
-    if labels.limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError(f"{feature} has over {MAX_LABELS} values; use one_hot_long")
+        flag = array_to_vector(F.array(F.col(feature).cast("double")))
+        known = F.col(feature).isNotNull()
+        return [df.withColumn(output, F.when(known, flag)) for df in frames]
     index = f"{feature}_index"
-    model = Pipeline(
-        stages=[
-            StringIndexer(
-                inputCol=feature,
-                outputCol=index,
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            ),
-            OneHotEncoder(inputCols=[index], outputCols=[output]),
-        ]
-    ).fit(labels)
-    return [model.transform(df) for df in frames]
+    labels, count = numbered(train.select(feature).where(F.col(feature).isNotNull()), index)
+    # The number after the last label stands for all other values and has no slot.
+    encoder = OneHotEncoder(inputCols=[index], outputCols=[output]).fit(
+        train.sparkSession.range(1).select(F.lit(float(count)).alias(index))
+    )
+    return [
+        encoder.transform(
+            df.join(labels, feature, "left").fillna(float(count), [index])
+        )
+        for df in frames
+    ]
+
+
+def numbered(values: DataFrame, index: str) -> tuple[DataFrame, int]:
+    """The distinct values of a one-column frame with their place in order, and their number.
+
+    Values are sorted across tasks and numbered within each; the driver sees one count per task.
+    """
+    (name,) = values.columns
+    marked = stage(
+        values.distinct().orderBy(name).withColumn("_mark", F.monotonically_increasing_id()),
+        "labels",
+    )
+    task = F.shiftright("_mark", 33)
+    sizes = sorted(tuple(row) for row in marked.groupBy(task).count().collect())
+    before, total = {}, 0
+    for number, size in sizes:
+        before[number], total = total, total + size
+    spark = values.sparkSession
+    starts = spark.createDataFrame(list(before.items()) or [(0, 0)], "_task bigint, _before bigint")
+    place = (F.col("_before") + F.col("_mark").bitwiseAND((1 << 33) - 1)).cast("double")
+    placed = marked.withColumn("_task", task).join(F.broadcast(starts), "_task")
+    return stage(placed.select(name, place.alias(index)), "numbered-labels"), total
 
 
 def moments(df: DataFrame, features: list[str]) -> DataFrame:
@@ -168,9 +181,22 @@ def standardize(
     return [df.withColumns({name + suffix: scaled(name) for name in features}) for df in frames]
 
 
-def assemble(df: DataFrame, columns: list[str], output: str = "features") -> DataFrame:
-    """Put numbers and vectors side by side into one vector; incomplete rows are left out."""
-    assembler = VectorAssembler(inputCols=columns, outputCol=output, handleInvalid="skip")
-    return assembler.transform(df)
+def assemble(
+    df: DataFrame, columns: list[str], output: str = "features", incomplete: str = "error"
+) -> DataFrame:
+    """Put numbers and vectors side by side into one vector, row by row.
+
+    An incomplete row fails and names its empty columns, or, with ``incomplete="null"``, has no
+    vector. Rows are never left out.
+    """
+    missing = F.concat_ws(", ", *[F.when(F.col(name).isNull(), F.lit(name)) for name in columns])
+    if incomplete == "null":
+        kept = VectorAssembler(inputCols=columns, outputCol=output, handleInvalid="keep")
+        return kept.transform(df).withColumn(output, F.when(missing == "", F.col(output)))
+    failed = F.raise_error(F.concat(F.lit("rows without a value in "), missing))
+    # Checked in a column of the assembler, which takes vectors as they are, sparse ones too.
+    first = columns[0]
+    checked = df.withColumn(first, F.when(missing == "", F.col(first)).otherwise(failed))
+    return VectorAssembler(inputCols=columns, outputCol=output).transform(checked)
 
 

@@ -42,14 +42,15 @@ def modelling_set(
 ) -> DataFrame:
     """Reviews with a known business and a known user, and check-ins where there are any."""
     wide = stage(with_checkins(business, checkin), "business")
-    return join_user(join_business(reviews, wide), user)
+    # The narrow user side first: what the business adds is shuffled once.
+    return join_business(join_user(reviews, user), wide)
 
 
 def master_set(reviews: DataFrame, everything: Split) -> DataFrame:
     """Every review, with whatever is known of its business and user."""
     # A check-in may exist for a business without a record.
     wide = stage(everything.business.join(everything.checkin, "business_id", "full"), "business")
-    return join_user(join_business(reviews, wide, "left"), everything.user, "left")
+    return join_business(join_user(reviews, everything.user, "left"), wide, "left")
 
 
 def reattach(matched: DataFrame, reviews: DataFrame, grain: str = "review_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -36,9 +37,10 @@ def least_squares() -> LinearRegression:
 def _linear(reg: float, ratio: float, **more) -> LinearRegression:
     """A linear model on unscaled penalties.
 
-    Up to 4,096 features, the solver reads the rows once and works on their covariances.
+    The solver reads the rows once and works on their covariances, for up to 4,096 features;
+    it is named, so that penalties are scaled for the solver that runs.
     """
-    settings = {"solver": "auto", "tol": 1e-10, "maxIter": 1000, **more}
+    settings = {"solver": "normal", "tol": 1e-10, "maxIter": 1000, **more}
     return LinearRegression(
         regParam=reg, elasticNetParam=ratio, standardization=False, **settings, **COLUMNS
     )
@@ -122,7 +124,8 @@ def gradient_linear(
     train: DataFrame, alpha: float = 0.001, iterations: int = 800
 ) -> LinearRegression:
     """Iteratively fitted linear model with a squared penalty ``alpha |w|^2 / 2``."""
-    _, std = _label_moments(train)
+    # This solver divides the label by its sample deviation.
+    std = train.agg(F.stddev_samp(LABEL)).first()[0]
     return _linear(alpha * std, 0.0, solver="l-bfgs", tol=1e-6, maxIter=iterations)
 
 
@@ -138,11 +141,22 @@ def univariate_line(df: DataFrame, x: str, y: str) -> DataFrame:
 def fit_predict(
     train: DataFrame, test: DataFrame, estimator: Estimator, name: str
 ) -> tuple[DataFrame, Model]:
-    """Fit on ``train`` and put the predictions for ``test`` into ``predictions_<name>``."""
+    """Fit on ``train`` and put the predictions for ``test`` into ``predictions_<name>``.
+
+    Every test row is kept; one without a feature vector has no prediction.
+    """
     model = estimator.fit(train)
-    scored = model.transform(test)
-    added = [c for c in scored.columns if c not in test.columns and c != "prediction"]
-    return scored.drop(*added).withColumnRenamed("prediction", f"predictions_{name}"), model
+    known = F.col(FEATURES).isNotNull()
+    width = getattr(model, "bestModel", model).numFeatures
+    stand_in = array_to_vector(F.array_repeat(F.lit(0.0), width))
+    filled = test.withColumn("_given", F.col(FEATURES)).withColumn(
+        FEATURES, F.when(known, F.col(FEATURES)).otherwise(stand_in)
+    )
+    scored = model.transform(filled)
+    prediction = F.when(F.col("_given").isNotNull(), F.col("prediction"))
+    column = f"predictions_{name}"
+    kept = [F.col("_given").alias(c) if c == FEATURES else F.col(c) for c in test.columns]
+    return scored.select(*kept, prediction.alias(column)), model
 
 
 def with_folds(df: DataFrame, folds: int, share: float, key: str = KEY) -> DataFrame:

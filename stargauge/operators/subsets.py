@@ -197,16 +197,27 @@ class SubsetSources:
     """The frames that subsets are cut from, each built when first asked for.
 
     ``sets`` has ``train``, ``test`` and ``master`` frames with features, ``dimensions`` has
-    ``names`` and ``grouped_categories``.
+    ``names`` and ``grouped_categories``. ``train_where`` is a condition that all subsets of the
+    training set must meet as well, such as ``outliers_out``.
     """
 
-    def __init__(self, train: Split, test: Split, everything: Split, sets, dimensions) -> None:
+    def __init__(
+        self,
+        train: Split,
+        test: Split,
+        everything: Split,
+        sets,
+        dimensions,
+        train_where: Callable[[], Column] | None = None,
+    ) -> None:
         self._train, self._test, self._all = train, test, everything
         self._sets, self._dimensions = sets, dimensions
+        self._train_where = train_where
 
     @property
     def train(self) -> DataFrame:
-        return self._sets.train
+        train = self._sets.train
+        return train.where(self._train_where()) if self._train_where else train
 
     @property
     def test(self) -> DataFrame:
@@ -230,32 +241,40 @@ class SubsetSources:
         extra = stage(wide.drop("bus_name", "bus_categories"), "test-dimensions")
         return self.test.join(extra, "business_id", "left")
 
+    @cached_property
+    def _train_businesses(self) -> DataFrame:
+        return self._checked_in(self._train.business)
+
+    @cached_property
+    def _test_businesses(self) -> DataFrame:
+        return self._checked_in(self._test.business)
+
     def _checked_in(self, business: DataFrame) -> DataFrame:
         return stage(with_checkins(business, self._all.checkin), "business")
 
     @cached_property
     def test_business_train_user(self) -> DataFrame:
-        business = self._checked_in(self._test.business)
+        business = self._test_businesses
         return join_user(join_business(self._test.review, business), self._train.user)
 
     @cached_property
     def train_business_test_user(self) -> DataFrame:
-        business = self._checked_in(self._train.business)
+        business = self._train_businesses
         return join_user(join_business(self._test.review, business), self._test.user)
 
     @cached_property
     def test_business_test_user(self) -> DataFrame:
-        business = self._checked_in(self._test.business)
+        business = self._test_businesses
         return join_user(join_business(self._test.review, business), self._test.user)
 
     @cached_property
     def test_any_user(self) -> DataFrame:
-        business = self._checked_in(self._train.business)
+        business = self._train_businesses
         return join_business(join_user(self._test.review, self._all.user, "left"), business)
 
     @cached_property
     def train_any_user(self) -> DataFrame:
-        business = self._checked_in(self._train.business)
+        business = self._train_businesses
         return join_user(join_business(self._train.review, business), self._train.user, "left")
 
     @cached_property

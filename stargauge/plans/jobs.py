@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields
 
-from pyspark.ml.base import Estimator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.base import Estimator, Model
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stargauge.frames import Split
 from stargauge.operators import benchmarks
 from stargauge.operators.cleaning import clean_splits
-from stargauge.operators.joins import attach_recommendation_ids, combine
-from stargauge.operators.models import least_squares
+from stargauge.operators.joins import attach_recommendation_ids, combine, union_all
+from stargauge.operators.models import cross_validate, least_squares
 from stargauge.operators.subsets import SubsetSources, subset
 from stargauge.plans.dimensions import Dimensions, StagedDimensions
-from stargauge.plans.modelling import ReviewSets, train_and_score
+from stargauge.plans.modelling import ReviewSets, model_frames, train_and_score
 from stargauge.sources.readers import SPLIT_PREFIXES, read_splits
-from stargauge.sources.staging import stage
-from stargauge.sources.writers import write_benchmark, write_predictions
+from stargauge.sources.staging import stage, stage_all
+from stargauge.sources.writers import save_model, write_benchmark, write_predictions
+
+REQUIRED_PREFIXES = {name: SPLIT_PREFIXES[name] for name in ("train", "test")}
 
 
 @dataclass(frozen=True)
@@ -32,59 +35,141 @@ class Workspace:
     dimensions: Dimensions | StagedDimensions
     sets: ReviewSets
     subsets: SubsetSources
+    old_test: Split | None = None
 
 
 def land(split: Split) -> Split:
     """Parse the files once; later scans read only the columns they need."""
-    return Split(
-        **{field.name: stage(getattr(split, field.name), field.name) for field in fields(split)}
-    )
+    return Split(**stage_all({field.name: getattr(split, field.name) for field in fields(split)}))
 
 
 def open_workspace(
     spark: SparkSession,
     folder: str,
-    prefixes: Mapping[str, str] = SPLIT_PREFIXES,
+    prefixes: Mapping[str, str] = REQUIRED_PREFIXES,
     dimensions: Dimensions | None = None,
+    train_where: Callable[[], Column] | None = None,
 ) -> Workspace:
-    """Read and clean the entity files; dimensions are computed unless given."""
+    """Read and clean the entity files; dimensions are computed unless given.
+
+    ``train_where`` (such as ``outliers_out``) limits all training subsets. An old test split is
+    read only if ``prefixes`` names it.
+    """
     splits, lookup = read_splits(spark, folder, prefixes)
-    train, test = clean_splits(land(splits["train"]), land(splits["test"]))
+    landed = {name: land(split) for name, split in splits.items()}
+    train, test = clean_splits(landed["train"], landed["test"])
     everything = combine(train, test)
     known = dimensions or StagedDimensions(train, everything)
     sets = ReviewSets(train, test, everything, known)
-    subsets = SubsetSources(train, test, everything, sets, known)
-    return Workspace(train, test, everything, lookup, known, sets, subsets)
+    subsets = SubsetSources(train, test, everything, sets, known, train_where)
+    old_test = landed.get("old_test")
+    return Workspace(train, test, everything, lookup, known, sets, subsets, old_test)
 
 
-def predict_subset(
+def fit_subset(
     workspace: Workspace,
     train_subset: str,
     test_subset: str,
-    folder: str,
-    submission: str,
     estimator: Estimator | None = None,
     name: str = "LinReg",
-) -> str:
-    """Fit on one named subset, predict another, and write the predictions."""
-    scored, _ = train_and_score(
+    features: list[str] | None = None,
+    extra: list[str] | None = None,
+) -> tuple[DataFrame, Model]:
+    """Fit on one named subset and predict every row of another; also the fitted model."""
+    return train_and_score(
         subset(workspace.subsets, train_subset),
         subset(workspace.subsets, test_subset),
         estimator or least_squares(),
         name,
+        features,
+        extra,
     )
+
+
+def validate_subset(
+    workspace: Workspace,
+    train_subset: str,
+    estimator: Estimator | None = None,
+    features: list[str] | None = None,
+    extra: list[str] | None = None,
+    folds: int = 10,
+    share: float = 0.2,
+) -> DataFrame:
+    """Hold-out size and RMSE of every fold of a training subset."""
+    rows = subset(workspace.subsets, train_subset)
+    frame, _ = model_frames(rows, rows, features, extra)
+    return cross_validate(frame, estimator or least_squares(), folds, share)
+
+
+def predict_subset(
+    workspace: Workspace,
+    train_subset: str,
+    test_subset: str,
+    folder: str,
+    submission: str,
+    estimator: Estimator | None = None,
+    name: str = "LinReg",
+    features: list[str] | None = None,
+    extra: list[str] | None = None,
+    model_folder: str | None = None,
+) -> str:
+    """Fit on one named subset, predict another, and write the predictions.
+
+    The fitted model is saved if a folder for it is given.
+    """
+    scored, model = fit_subset(
+        workspace, train_subset, test_subset, estimator, name, features, extra
+    )
+    if model_folder:
+        save_model(model, model_folder, name)
     return write_predictions(scored, folder, name, test_subset, submission)
 
 
 def submit_benchmarks(workspace: Workspace, folder: str, submission: str) -> list[str]:
     """Write the predictions of the business, user and combined means."""
-    reviews, train = workspace.test.review, workspace.train
-    scored = {
-        "bus_mean": benchmarks.business_mean(reviews, train),
-        "usr_mean": benchmarks.user_mean(reviews, train),
-        "bus_usr_mean": benchmarks.business_user_mean(reviews, train),
-    }
+    means = benchmarks.all_means(workspace.test.review, workspace.train)
+    scored = stage(attach_recommendation_ids(means, workspace.lookup), "benchmarks")
     return [
-        write_benchmark(attach_recommendation_ids(df, workspace.lookup), folder, name, submission)
-        for name, df in scored.items()
+        write_benchmark(scored, folder, name, submission)
+        for name in ("bus_mean", "usr_mean", "bus_usr_mean")
     ]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Predict the rows of one subset by a model of another."""
+
+    train_subset: str
+    test_subset: str
+    features: list[str] | None = None
+    extra: list[str] | None = None
+    estimator: Estimator | None = None
+
+
+def predict_all(workspace: Workspace, rules: list[Rule]) -> DataFrame:
+    """One row per test review: the prediction of the first rule that has one for it, else the
+    mean of its business, of its user or of all reviews."""
+    key = F.col("review_id")
+    found = [
+        fit_subset(
+            workspace, rule.train_subset, rule.test_subset, rule.estimator, "rule",
+            rule.features, rule.extra,
+        )[0].select(key, F.lit(place).alias("place"), F.col("predictions_rule").alias("stars"))
+        for place, rule in enumerate(rules)
+    ]
+    fallback = benchmarks.business_user_mean(workspace.test.review, workspace.train).select(
+        key, F.lit(len(rules)).alias("place"), F.col("benchmark_bus_usr_mean").alias("stars")
+    )
+    ranked = union_all([*found, fallback]).where("stars IS NOT NULL")
+    # By columns that a hash aggregate takes: the first place, then its prediction.
+    first = stage(ranked, "ranked-predictions")
+    best = first.groupBy("review_id").agg(F.min("place").alias("place"))
+    chosen = first.join(best, ["review_id", "place"])
+    return chosen.groupBy("review_id").agg(F.min("stars").alias("stars"))
+
+
+def submit_all(workspace: Workspace, rules: list[Rule], folder: str, submission: str) -> str:
+    """Write one whole submission over all test reviews."""
+    return write_predictions(
+        predict_all(workspace, rules), folder, "Rules", "all", submission, prediction="stars"
+    )

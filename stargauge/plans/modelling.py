@@ -92,7 +92,8 @@ class ReviewSets:
         shared = F.col("bus_name_counts") > 1
         informative = {name: F.when(shared, F.col(name)) for name in NAME_COLUMNS}
         business = stage(wide.withColumns(informative), "train-business")
-        known = join_user(join_business(self._train.review, business), self._train.user)
+        # The narrow user side first: what the business adds is shuffled once.
+        known = join_business(join_user(self._train.review, self._train.user), business)
         filled = fill_null(self._filled(known), "calc_cat_avg", self._fill)
         return self._all_names(filled, self._dimensions.names.where(shared))
 
@@ -103,7 +104,7 @@ class ReviewSets:
         )
         scored = self._train.business.join(scores, "business_id", "left")
         business = stage(_with_totals(scored, self._all.checkin), "test-business")
-        known = join_user(join_business(self._test.review, business), self._train.user)
+        known = join_business(join_user(self._test.review, self._train.user), business)
         return fill_null(self._filled(known), "calc_cat_avg", self._fill)
 
     @cached_property
@@ -113,9 +114,9 @@ class ReviewSets:
             self._train.review, self._test.review, self._train.user
         )
         staged = stage_all({"business": wide, "user": wide_user(self._all.user, averages)})
-        known = join_business(self._test.review, staged["business"], "left")
+        known = join_user(self._test.review, staged["user"], "left")
         return self._all_names(
-            self._filled(join_user(known, staged["user"], "left")), self._dimensions.names
+            self._filled(join_business(known, staged["business"], "left")), self._dimensions.names
         )
 
 
@@ -127,14 +128,21 @@ def model_frames(
 ) -> tuple[DataFrame, DataFrame]:
     """Standardised numeric features, and ``extra`` columns as they are, as one vector.
 
-    Moments, fits and folds each read the training rows again, so their columns are staged.
+    ``extra`` may hold numbers, flags and vectors. Training rows must be complete in all of
+    them; test rows that are not have no vector. Moments, fits and folds each read the training
+    rows again, so their columns are staged.
     """
     numeric = features or feats.QUANT_FEATURES
     extra = extra or []
+    flags = [name for name in extra if dict(train.dtypes)[name] == "boolean"]
+    train, test = (
+        df.withColumns({name: F.col(name).cast("double") for name in flags})
+        for df in (train, test)
+    )
     rows = stage(train.select(KEY, LABEL, *numeric, *extra), "training-rows")
     columns = [f"{name}_scaled" for name in numeric] + extra
     fitted, scored = feats.standardize(rows, [rows, test], numeric)
-    return feats.assemble(fitted, columns), feats.assemble(scored, columns)
+    return feats.assemble(fitted, columns), feats.assemble(scored, columns, incomplete="null")
 
 
 def train_and_score(
@@ -143,7 +151,12 @@ def train_and_score(
     estimator: Estimator,
     name: str,
     features: list[str] | None = None,
+    extra: list[str] | None = None,
 ) -> tuple[DataFrame, Model]:
-    """Fit on one review set and predict another."""
-    fitted, scored = model_frames(train, test, features)
+    """Fit on one review set and predict every row of another.
+
+    A test row without a value in one of the features has a NULL prediction: sets that lack an
+    attribute by definition are predicted from ``features`` without it.
+    """
+    fitted, scored = model_frames(train, test, features, extra)
     return fit_predict(fitted, scored, estimator, name)

@@ -192,10 +192,10 @@ def moments(w: Warehouse) -> DataFrame:
 @query(
     "l1_top_categories",
     """SELECT category, cat_count FROM v_review_categories
-       ORDER BY cat_count DESC, category LIMIT 10""",
+       ORDER BY cat_count DESC, category LIMIT 421""",
 )
 def top_categories(w: Warehouse) -> DataFrame:
-    return _from_reviews(w, 10).select("category", "cat_count")
+    return _from_reviews(w, dims.TOP_CATEGORIES).select("category", "cat_count")
 
 
 @query(

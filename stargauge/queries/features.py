@@ -121,7 +121,8 @@ def one_hot_long(w: Warehouse) -> DataFrame:
 
 @query(
     "m2_boolean_flag",
-    """SELECT review_id, CAST(1 AS BIGINT) AS width, CAST(bus_open AS INT) * 1.0::DOUBLE AS flag
+    """SELECT review_id, CASE WHEN bus_open IS NOT NULL THEN CAST(1 AS BIGINT) END AS width,
+              CAST(bus_open AS INT) * 1.0::DOUBLE AS flag
        FROM v_master""",
 )
 def boolean_flag(w: Warehouse) -> DataFrame:
@@ -129,7 +130,9 @@ def boolean_flag(w: Warehouse) -> DataFrame:
     (encoded,) = ops.one_hot(w.train.business, [reviews], "bus_open")
     values = vector_to_array("bus_open_vector")
     return encoded.select(
-        "review_id", F.size(values).cast("bigint").alias("width"), values[0].alias("flag")
+        "review_id",
+        F.when(c("bus_open").isNotNull(), F.size(values)).cast("bigint").alias("width"),
+        values[0].alias("flag"),
     )
 
 
@@ -152,21 +155,21 @@ def multi_hot_long(w: Warehouse) -> DataFrame:
     "m3_multi_hot_vectors",
     """WITH words AS (SELECT category, count(*) AS n
                       FROM (SELECT unnest(bus_categories) AS category FROM v_master)
-                      GROUP BY category ORDER BY n DESC, category LIMIT 10)
-       SELECT business_id, (SELECT count(*) FROM words) AS width,
+                      GROUP BY category ORDER BY n DESC, category LIMIT 450)
+       SELECT review_id, (SELECT count(*) FROM words) AS width,
               CAST(count(DISTINCT words.category) AS DOUBLE) AS ones
-       FROM v_all_business
+       FROM v_master
        LEFT JOIN (SELECT business_id, unnest(bus_categories) AS category FROM v_all_business)
             USING (business_id)
-       LEFT JOIN words USING (category) GROUP BY business_id""",
+       LEFT JOIN words USING (category) GROUP BY review_id""",
 )
 def multi_hot_vectors(w: Warehouse) -> DataFrame:
     master = join_business(w.test.review, w.everything.business, "left")
-    encoded, _ = ops.multi_hot(w.everything.business, master, k=10)
+    encoded, _ = ops.multi_hot(master, master)
     values = vector_to_array("category_vector")
     ones = F.aggregate(values, F.lit(0.0), lambda acc, value: acc + value)
     return encoded.select(
-        "business_id", F.size(values).cast("bigint").alias("width"), ones.alias("ones")
+        "review_id", F.size(values).cast("bigint").alias("width"), ones.alias("ones")
     )
 
 

@@ -13,7 +13,7 @@ from stargauge.plans.modelling import model_frames, train_and_score
 from stargauge.queries.base_sql import held_out, least_squares
 from stargauge.queries.columns import r6
 from stargauge.queries.registry import query
-from stargauge.queries.subsets import _1_5, _5_8
+from stargauge.queries.subsets import _1_5, _5_8, _NAMES_1, _RATED
 from stargauge.sources.warehouse import Warehouse
 
 c = F.col
@@ -69,26 +69,26 @@ def elastic_net(w: Warehouse) -> DataFrame:
 @query("m8_lasso_cv")
 def lasso_cv(w: Warehouse) -> DataFrame:
     train, test = _both(w)
-    estimator = ops.lasso_cv(train, folds=3, penalties=5)
+    estimator = ops.lasso_cv(train)
     return _shown(ops.fit_predict(train, test, estimator, "LassoCV")[0], "LassoCV")
 
 
 @query("m9_forest")
 def forest(w: Warehouse) -> DataFrame:
     train, test = _both(w)
-    return _shown(ops.fit_predict(train, test, ops.forest(50, 5), "RFReg_50")[0], "RFReg_50")
+    return _shown(ops.fit_predict(train, test, ops.forest(), "RFReg_50")[0], "RFReg_50")
 
 
 @query("m10_forest_classifier")
 def forest_classifier(w: Warehouse) -> DataFrame:
     train, test = _both(w)
-    return _shown(ops.fit_predict(train, test, ops.forest_classifier(20, 5), "RFCls")[0], "RFCls")
+    return _shown(ops.fit_predict(train, test, ops.forest_classifier(), "RFCls")[0], "RFCls")
 
 
 @query("m10_boosted_trees")
 def boosted_trees(w: Warehouse) -> DataFrame:
     train, test = _both(w)
-    return _shown(ops.fit_predict(train, test, ops.boosted_trees(10), "GBT")[0], "GBT")
+    return _shown(ops.fit_predict(train, test, ops.boosted_trees(), "GBT")[0], "GBT")
 
 
 @query("m11_gradient_linear")
@@ -159,7 +159,7 @@ def gradient_one(w: Warehouse) -> DataFrame:
 
 _CV_ROWS = f"""
     SELECT fold, review_id, rev_stars, {_NUMBERS}, NOT ({held_out("fold", 0.2)}) AS fit
-    FROM v_train_set CROSS JOIN (SELECT unnest([0, 1, 2]) AS fold)
+    FROM v_train_set CROSS JOIN (SELECT unnest(range(10)) AS fold)
     WHERE {_5_8}"""
 
 
@@ -173,7 +173,7 @@ _CV_ROWS = f"""
 def cross_validation(w: Warehouse) -> DataFrame:
     train = subset(w.subset_sources, "all_5_8_train")
     frame, _ = model_frames(train, train)
-    scores = ops.cross_validate(frame, ops.least_squares(), folds=3, share=0.2)
+    scores = ops.cross_validate(frame, ops.least_squares(), folds=10, share=0.2)
     return scores.select("fold", "n", r6("rmse"))
 
 
@@ -197,8 +197,81 @@ def subset_to_subset(w: Warehouse) -> DataFrame:
     return _shown(scored, "LinReg")
 
 
+def fit_numbers_sql(train: str, test: str, numbers: list[str]) -> str:
+    listed = ", ".join(numbers)
+    rows = f"""SELECT review_id, rev_stars, {listed}, TRUE AS fit, 0 AS fold FROM {train}
+               UNION ALL SELECT review_id, NULL, {listed}, FALSE, 0 FROM {test}"""
+    return f"{least_squares(rows, numbers, 'rev_stars', 'fold')} {_PREDICTED}"
+
+
+def _by_subset(w: Warehouse, train: str, test: str, numbers: list[str]) -> DataFrame:
+    scored, _ = train_and_score(
+        subset(w.subset_sources, train), subset(w.subset_sources, test), ops.least_squares(),
+        "LinReg", numbers,
+    )
+    return _shown(scored, "LinReg")
+
+
+# Cold-start subsets are predicted from what their rows have.
+NAME_NUMBERS = ["bus_review_count", "calc_total_checkins", "bus_name_avg"]
+_USER_NUMBERS = ["user_average_stars", "user_review_count", "calc_total_checkins"]
+_BUSINESS_NUMBERS = ["bus_stars", "bus_review_count", "calc_total_checkins"]
+
+
+@query(
+    "m15_names_1",
+    fit_numbers_sql(
+        "(SELECT * FROM v_train_set WHERE bus_name_counts = 2)",
+        f"(SELECT * FROM v_master_set WHERE {_NAMES_1})",
+        NAME_NUMBERS,
+    ),
+)
+def names_1(w: Warehouse) -> DataFrame:
+    return _by_subset(w, "names_1_train", "names_1_test", NAME_NUMBERS)
+
+
+@query(
+    "m15_user_5",
+    fit_numbers_sql(
+        "(SELECT * FROM v_train_set WHERE user_review_count >= 5)",
+        f"(SELECT * FROM v_master_set WHERE {_RATED} AND bus_stars IS NULL)",
+        _USER_NUMBERS,
+    ),
+)
+def user_5(w: Warehouse) -> DataFrame:
+    return _by_subset(w, "user_5_train", "user_5_test", _USER_NUMBERS)
+
+
+@query(
+    "m15_business_5",
+    fit_numbers_sql(
+        "(SELECT * FROM v_train_set WHERE bus_review_count >= 5)",
+        "(SELECT * FROM v_master_set WHERE bus_review_count >= 5"
+        " AND user_average_stars IS NULL AND bus_stars > 0)",
+        _BUSINESS_NUMBERS,
+    ),
+)
+def business_5(w: Warehouse) -> DataFrame:
+    return _by_subset(w, "business_5_train", "business_5_test", _BUSINESS_NUMBERS)
+
+
+@query(
+    "m15_with_open_flag",
+    fit_numbers_sql(
+        "(SELECT * EXCLUDE (bus_open), CAST(bus_open AS INT) AS bus_open FROM v_train_set)",
+        "(SELECT * EXCLUDE (bus_open), CAST(bus_open AS INT) AS bus_open FROM v_test_set)",
+        [*QUANT_FEATURES, "bus_open"],
+    ),
+)
+def with_open_flag(w: Warehouse) -> DataFrame:
+    scored, _ = train_and_score(
+        w.sets.train, w.sets.test, ops.least_squares(), "LinReg", extra=["bus_open"]
+    )
+    return _shown(scored, "LinReg")
+
+
 @query("m17_forward_selection")
 def forward_selection(w: Warehouse) -> DataFrame:
     train = subset(w.subset_sources, "all_5_8_train")
-    steps = ops.forward_selection(train, QUANT_FEATURES, folds=2)
+    steps = ops.forward_selection(train, QUANT_FEATURES)
     return steps.select("step", "feature", r6("mean_rmse"))

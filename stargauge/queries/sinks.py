@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from stargauge.operators import benchmarks
 from stargauge.operators import models as ops
+from stargauge.operators.features import QUANT_FEATURES
 from stargauge.operators.joins import attach_recommendation_ids
 from stargauge.operators.sentiment import sentiment_scores
+from stargauge.plans import jobs
 from stargauge.plans.modelling import model_frames
 from stargauge.queries.base_sql import SPACE
 from stargauge.queries.benchmarks import _FALLBACK, _KNOWN
 from stargauge.queries.columns import r6
-from stargauge.queries.models import _fit_sql
+from stargauge.queries.models import NAME_NUMBERS, _fit_sql, fit_numbers_sql
 from stargauge.queries.registry import query
+from stargauge.queries.subsets import _1_5, _5_8, _NAMES_1
 from stargauge.sources import writers
 from stargauge.sources.scratch import scratch_path
 from stargauge.sources.warehouse import Warehouse
@@ -112,3 +115,31 @@ def model_round_trip(w: Warehouse) -> DataFrame:
     path = writers.save_model(model, scratch_path(w.spark, "models"), "LinReg")
     scored = writers.load_model(path).transform(test)
     return scored.select("review_id", F.round("prediction", 4).alias("prediction"))
+
+
+_RULES = [
+    jobs.Rule("all_5_8_train", "all_1_5_test"),
+    jobs.Rule("names_1_train", "names_1_test", features=NAME_NUMBERS),
+]
+
+
+@query(
+    "k3_whole_submission",
+    f"""WITH first AS ({fit_numbers_sql(
+            f"(SELECT * FROM v_train_set WHERE {_5_8})",
+            f"(SELECT * FROM v_test_set WHERE {_1_5})", QUANT_FEATURES)}),
+        second AS ({fit_numbers_sql(
+            "(SELECT * FROM v_train_set WHERE bus_name_counts = 2)",
+            f"(SELECT * FROM v_master_set WHERE {_NAMES_1})", NAME_NUMBERS)}),
+        rest AS (SELECT review_id, {_FALLBACK} AS prediction FROM {_KNOWN})
+        SELECT review_id,
+               round(coalesce(first.prediction, second.prediction, rest.prediction), 4) AS stars
+        FROM rest LEFT JOIN first USING (review_id) LEFT JOIN second USING (review_id)""",
+)
+def whole_submission(w: Warehouse) -> DataFrame:
+    work = jobs.Workspace(
+        w.train, w.test, w.everything, w.id_lookup, w.dimensions, w.sets, w.subset_sources
+    )
+    path = jobs.submit_all(work, _RULES, scratch_path(w.spark, "submits"), submission="1")
+    read = _read(w, path, "review_id string, stars double")
+    return read.select("review_id", F.round("stars", 4).alias("stars"))

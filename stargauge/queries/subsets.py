@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stargauge.operators import dimensions as dims
-from stargauge.operators.subsets import SUBSETS, Subset, apply_subset, outliers_out, subset
+from stargauge.operators.subsets import (
+    SUBSETS,
+    Subset,
+    SubsetSources,
+    apply_subset,
+    outliers_out,
+    subset,
+)
 from stargauge.queries.columns import r6
 from stargauge.queries.registry import query
 from stargauge.sources.warehouse import Warehouse
@@ -190,6 +197,20 @@ def tight_outliers(w: Warehouse) -> DataFrame:
     return apply_subset(w.sets.train, _TIGHT).select(*_columns("train"))
 
 
+@query(
+    "f11_all_5_8_train_no_outliers",
+    _sql(
+        SUBSETS["all_5_8_train"],
+        f"{_5_8} AND bus_review_count < 40 AND calc_total_checkins < 60",
+    ),
+)
+def no_outliers(w: Warehouse) -> DataFrame:
+    sources = SubsetSources(
+        w.train, w.test, w.everything, w.sets, w.dimensions, lambda: outliers_out(40, 60)
+    )
+    return subset(sources, "all_5_8_train").select(*_columns("train"))
+
+
 @query(
     "f24_rated_businesses",
     """SELECT business_id, bus_review_count, bus_stars FROM v_all_business

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
@@ -17,7 +18,8 @@ LOOKUP_KEY = "RecommendationId"
 
 
 def _stamp() -> str:
-    return datetime.now(timezone.utc).strftime("%d-%m-%y_%H%M%S")
+    """Sorts by time; the random end keeps runs of one second apart."""
+    return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
 
 
 def write_csv(

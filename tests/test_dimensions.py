@@ -80,6 +80,6 @@ def test_scores_average_the_known_categories(spark):
 
 def test_first_rows_and_best_candidate(spark):
     numbers = spark.range(100, numPartitions=10).withColumnRenamed("id", "n")
-    assert values(dims.first_rows(numbers, ["n"], 3, tasks=4)) == [(0,), (1,), (2,)]
+    assert values(dims.first_rows(numbers, ["n"], 3, groups=4)) == [(0,), (1,), (2,)]
     scores = spark.createDataFrame([("a", 1.0), ("c", 2.0), ("b", 2.0)], "f string, s double")
     assert dims.best_candidate(scores, "s", "f").first()["f"] == "c"
