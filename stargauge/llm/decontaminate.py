@@ -25,34 +25,50 @@ def words(text: Column) -> Column:
 
 
 def _seeds(df: DataFrame) -> DataFrame:
-    """A row per window and mask of ``tokens``, with its ``place`` and ``seed``. Positions are
-    exploded, not tokens, so the array stays in place and all of it is generated code."""
-    windows = F.size("tokens") - SPAN + 1
-    every = F.sequence(F.lit(0), windows * len(MASKS) - 1)
-    rows = df.where(F.size("tokens") >= SPAN).select("*", F.explode(every).alias("number"))
-    rows = rows.withColumn("place", F.expr(f"number div {len(MASKS)}"))
-    seed = None
-    for i, mask in enumerate(MASKS):
-        kept = [F.get("tokens", F.col("place") + at) for at in range(SPAN) if mask[at] == "1"]
-        key = F.xxhash64(F.lit(i), *kept)
-        chosen = F.col("number") % len(MASKS) == i
-        seed = F.when(chosen, key) if seed is None else seed.when(chosen, key)
+    """A row per window and mask of ``tokens``, with its ``place`` and ``seed``.
+
+    Positions are exploded, not tokens. What follows must stay in generated code up to an
+    aggregate or a projection without ``tokens``: rows that leave it are copies, and a copy of the
+    array for every window of a long text would fill the memory.
+    """
+    every = F.sequence(F.lit(0), (F.size("tokens") - SPAN + 1) * len(MASKS) - 1)
+    rows = df.select("*", F.explode(F.when(F.size("tokens") >= SPAN, every)).alias("number"))
+    rows = rows.withColumn("place", F.expr(f"cast(number div {len(MASKS)} AS int)"))
+
+    def key(i: int) -> Column:
+        kept = [at for at in range(SPAN) if MASKS[i][at] == "1"]
+        return F.xxhash64(F.lit(i), *[F.get("tokens", F.col("place") + at) for at in kept])
+
+    which = F.col("number") % len(MASKS)
+    seed = F.when(which == 0, key(0)).when(which == 1, key(1)).otherwise(key(2))
     return rows.withColumn("seed", seed).drop("number")
 
 
-def _equal_around(tokens: Column, item: Column, place: Column, item_place: Column) -> Column:
-    """Words around a hit that are equal place by place, and how many were compared."""
-    size = F.least(F.size(item), F.lit(AROUND))
-    start = F.greatest(
-        F.lit(0), F.least(item_place - (AROUND - SPAN) // 2, F.size(item) - size)
-    )
-    equal = F.aggregate(
-        F.sequence(start, start + size - 1),
-        F.lit(0),
-        lambda n, i: n
-        + F.when(F.get(tokens, place - item_place + i) == F.get(item, i), 1).otherwise(0),
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """Seeds of the items, and which of their words a hit compares: ``compared`` from ``start``."""
+    size = F.least(F.size("tokens"), F.lit(AROUND))
+    last = F.size("tokens") - size
+    start = F.greatest(F.lit(0), F.least(F.col("place") - (AROUND - SPAN) // 2, last))
+    return _seeds(items).select(
+        "item_id",
+        F.col("tokens").alias("item"),
+        F.col("place").alias("item_place"),
+        start.alias("start"),
+        size.alias("compared"),
+        "seed",
     )
-    return F.struct(equal.alias("equal"), size.alias("compared"))
+
+
+def _equal_around(tokens: Column, item: Column) -> Column:
+    """Words around a hit that are equal place by place, written out so that it stays in
+    generated code."""
+    shift = F.col("place") - F.col("item_place")
+    total = F.lit(0)
+    for i in range(AROUND):
+        at = F.col("start") + i
+        equal = (F.lit(i) < F.col("compared")) & (F.get(tokens, shift + at) == F.get(item, at))
+        total = total + F.when(equal, 1).otherwise(0)
+    return total
 
 
 def contaminated(
@@ -63,14 +79,14 @@ def contaminated(
     item_key: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """``doc_id, item_id, equal, compared, hits`` for every document with a passage of an item.
+    """``doc_id, item_id, equal, compared`` for every document with a passage of an item.
 
     A window of ``SPAN`` words hits if the words under one mask are equal. Around each hit
     ``AROUND`` words (a shorter item: all its words) are compared place by place, and at least
     ``LEAST_EQUAL`` of them must be equal, so replaced words do not hide a passage. ``equal`` is
-    the best count, ``hits`` the number of verified hits. Items and documents shorter than
+    the best count. Items and documents shorter than
     ``SPAN`` words have no window and never match; null texts have no words. Null keys are keys
-    like others, repeated rows add hits, not rows. Other columns are not read.
+    like others, repeated rows add nothing. Other columns are not read.
 
     Seeds of the benchmark are broadcast if they pass a check of their size; documents are then
     neither shuffled nor joined again. Otherwise the seeds are joined by shuffle without the
@@ -78,43 +94,35 @@ def contaminated(
     """
     items = benchmark.select(F.col(item_key).alias("item_id"), words(F.col(item_text)).alias("tokens"))
     items = stage(items.where(F.size("tokens") >= SPAN).distinct(), "benchmark-items")
-    seeds = _seeds(items).select(
-        "item_id", F.col("tokens").alias("item"), F.col("place").alias("item_place"), "seed"
-    )
+    seeds = _item_seeds(items)
     read = docs.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("tokens"))
     windows = _seeds(read)
     if fits_broadcast(seeds):
         hits = windows.join(F.broadcast(seeds), "seed")
     else:
-        places = seeds.select("item_id", "item_place", "seed")
         found = stage(
             windows.select("doc_id", "place", "seed")
-            .join(places, "seed")
-            .select("doc_id", "item_id", "place", "item_place"),
+            .join(seeds.drop("item"), "seed")
+            .select("doc_id", "item_id", "place", "item_place", "start", "compared"),
             "benchmark-hits",
         )
         ids = stage(found.select("doc_id").distinct(), "benchmark-hit-documents")
         hit_docs = read.join(ids, read["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        item_tokens = items.select("item_id", F.col("tokens").alias("item"))
         hits = (
             found.alias("f")
             .join(hit_docs.alias("d"), F.expr("f.doc_id <=> d.doc_id"))
             .select("f.*", "d.tokens")
-            .join(items.select("item_id", F.col("tokens").alias("item")), "item_id")
+            .alias("h")
+            .join(item_tokens.alias("i"), F.expr("h.item_id <=> i.item_id"))
+            .select("h.*", "i.item")
         )
-    checked = hits.select(
-        "doc_id",
-        "item_id",
-        _equal_around(
-            F.col("tokens"), F.col("item"), F.col("place"), F.col("item_place")
-        ).alias("around"),
-    ).where(F.col("around.equal") >= F.ceil(F.col("around.compared") * LEAST_EQUAL))
+    equal = _equal_around(F.col("tokens"), F.col("item"))
+    checked = hits.select("doc_id", "item_id", "compared", equal.alias("equal"))
     return (
-        checked.groupBy("doc_id", "item_id")
-        .agg(
-            F.max("around.equal").alias("equal"),
-            F.max("around.compared").alias("compared"),
-            F.count("*").alias("hits"),
-        )
+        checked.where(F.col("equal") >= F.ceil(F.col("compared") * LEAST_EQUAL))
+        .groupBy("doc_id", "item_id")
+        .agg(F.max("equal").alias("equal"), F.max("compared").alias("compared"))
     )
 
 

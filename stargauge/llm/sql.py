@@ -102,7 +102,7 @@ counted AS (
   FROM spans
 )
 SELECT doc_id, item_id, CAST(max(equal) AS INTEGER) AS equal,
-  CAST(max(compared) AS INTEGER) AS compared, count(*) AS hits
+  CAST(max(compared) AS INTEGER) AS compared
 FROM counted WHERE equal >= ceil(compared * {LEAST_EQUAL})
 GROUP BY doc_id, item_id
 """
