@@ -20,7 +20,7 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 MAX_HASHES = 80
 # Members and bytes of sets of one block of a group.
-BLOCK_MEMBERS = 1024
+BLOCK_MEMBERS = 256
 BLOCK_BYTES = 16 * 1024 * 1024
 COLUMNS = 2048
 NO_KEY = -(1 << 63)
