@@ -317,8 +317,8 @@ def encode(
 
     The model file is read once, on the driver. Texts are processed whole, in slices of bounded
     bytes. Null and empty texts have no ids; null keys and repeated rows are kept; other columns
-    are not read. Blanks are the only characters that are rewritten, so decoding gives the text
-    back.
+    are not read. Only blanks are rewritten, so decoding gives the text back, but for a text that
+    has the mark for blanks (U+2581) itself: as with the library, it comes back with blanks.
     """
     vocabulary = load(path)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
