@@ -91,9 +91,16 @@ def largest_penalty(train: DataFrame) -> float:
 
 
 def lasso_cv(
-    train: DataFrame, folds: int = 3, penalties: int = 100, span: float = 1e-3
+    train: DataFrame,
+    folds: int = 3,
+    penalties: int = 100,
+    span: float = 1e-3,
+    fold_column: str = "",
 ) -> CrossValidator:
-    """Lasso with the penalty picked by k-fold validation on a log grid below the largest."""
+    """Lasso with the penalty picked by k-fold validation on a log grid below the largest.
+
+    Folds are random unless a column of the training rows holds them.
+    """
     top = largest_penalty(train)
     steps = max(penalties - 1, 1)
     grid = [top * span ** (i / steps) for i in range(penalties)]
@@ -103,6 +110,7 @@ def lasso_cv(
         estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, grid).build(),
         evaluator=RegressionEvaluator(labelCol=LABEL, metricName="mse"),
         numFolds=folds,
+        foldCol=fold_column,
         seed=0,
         parallelism=4,
     )
@@ -174,10 +182,13 @@ def cross_validate(
     folds: int = 5,
     share: float = 0.15,
     parallelism: int = 4,
+    keep: bool = True,
 ) -> DataFrame:
-    """Hold-out size and RMSE of every fold."""
+    """Hold-out size and RMSE of every fold. ``keep=False`` if the rows are already kept."""
     spark = df.sparkSession
-    rows = df.select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.select(KEY, LABEL, FEATURES)
+    if keep:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def predictions(fold: int) -> DataFrame:
         out = held_out(F.col(KEY), F.lit(fold), share)
@@ -192,7 +203,8 @@ def cross_validate(
             .collect()
         )
     finally:
-        rows.unpersist()
+        if keep:
+            rows.unpersist()
     return spark.createDataFrame(sorted(scores), "fold int, n bigint, rmse double")
 
 
@@ -255,7 +267,10 @@ def forward_selection(
     share: float = 0.2,
     parallelism: int = 4,
 ) -> DataFrame:
-    """Add the feature that lowers the mean RMSE most, until no feature lowers it."""
+    """Add the feature that lowers the mean RMSE most, until no feature lowers it.
+
+    Rows are kept once for all candidates and folds.
+    """
     spark = df.sparkSession
     rows = df.select(KEY, LABEL, *candidates).persist(StorageLevel.MEMORY_AND_DISK)
     chosen: list[str] = []
@@ -263,7 +278,7 @@ def forward_selection(
 
     def score(name: str) -> tuple[float, str]:
         frame = assemble(rows, [*chosen, name], FEATURES)
-        scores = cross_validate(frame, estimator(), folds, share, parallelism=1)
+        scores = cross_validate(frame, estimator(), folds, share, parallelism=1, keep=False)
         return mean_score(scores).first()["mean_rmse"], name
 
     try:

@@ -275,3 +275,120 @@ def forward_selection(w: Warehouse) -> DataFrame:
     train = subset(w.subset_sources, "all_5_8_train")
     steps = ops.forward_selection(train, QUANT_FEATURES)
     return steps.select("step", "feature", r6("mean_rmse"))
+
+
+_CUT = "bus_stars"
+
+
+def _stump_sql(gain: str, left: str, right: str) -> str:
+    """Predictions of one split on ``bus_stars``: at the midpoint of two neighbouring values with
+    the highest gain, the lowest of equals."""
+    return f"""
+        WITH seen AS (SELECT {_CUT} AS x, rev_stars AS y FROM v_train_set),
+        cuts AS (SELECT (x + lead(x) OVER (ORDER BY x)) / 2 AS cut
+                 FROM (SELECT DISTINCT x FROM seen)),
+        sides AS (SELECT cut, x <= cut AS low, y FROM seen CROSS JOIN cuts WHERE cut IS NOT NULL),
+        gains AS ({gain}),
+        best AS (SELECT cut FROM gains ORDER BY round(gain, 9) DESC, cut LIMIT 1),
+        values AS (SELECT (SELECT {left} FROM seen WHERE x <= cut) AS low,
+                          (SELECT {right} FROM seen WHERE x > cut) AS high, cut FROM best)
+        SELECT review_id, CAST(CASE WHEN {_CUT} <= cut THEN low ELSE high END AS DOUBLE)
+            AS prediction
+        FROM v_test_set CROSS JOIN values"""
+
+
+_VARIANCE_GAIN = """SELECT cut, sum(total * total / n) AS gain FROM
+    (SELECT cut, low, count(*) AS n, CAST(sum(y) AS DOUBLE) AS total FROM sides GROUP BY cut, low)
+    GROUP BY cut"""
+_GINI_GAIN = """SELECT cut, sum(squares / n) AS gain FROM
+    (SELECT cut, low, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n * n) AS DOUBLE) AS squares
+     FROM (SELECT cut, low, y, count(*) AS n FROM sides GROUP BY cut, low, y) GROUP BY cut, low)
+    GROUP BY cut"""
+_MEAN = "round(avg(y), 6)"
+_COMMONEST = "mode(y ORDER BY y)"
+
+
+def _stump(w: Warehouse, estimator) -> DataFrame:
+    train, test = model_frames(w.sets.train, w.sets.test, [_CUT])
+    scored, _ = ops.fit_predict(train, test, estimator, "Stump")
+    return scored.select("review_id", r6("predictions_Stump").alias("prediction"))
+
+
+@query("m9_forest_one_split", _stump_sql(_VARIANCE_GAIN, _MEAN, _MEAN))
+def forest_one_split(w: Warehouse) -> DataFrame:
+    return _stump(w, ops.forest(1, 1).setBootstrap(False))
+
+
+@query("m10_classifier_one_split", _stump_sql(_GINI_GAIN, _COMMONEST, _COMMONEST))
+def classifier_one_split(w: Warehouse) -> DataFrame:
+    return _stump(w, ops.forest_classifier(1, 1).setBootstrap(False))
+
+
+@query("m10_boosting_one_round", _stump_sql(_VARIANCE_GAIN, _MEAN, _MEAN))
+def boosting_one_round(w: Warehouse) -> DataFrame:
+    return _stump(w, ops.boosted_trees(1, 1))
+
+
+def _first_step_sql() -> str:
+    """The best single feature: a line per candidate and fold, judged on the rows held out."""
+    return f"""
+        WITH long AS (
+            SELECT fold, review_id, CAST(rev_stars AS DOUBLE) AS y, {held_out("fold", 0.2)} AS out,
+                   unnest([{", ".join(f"'{name}'" for name in QUANT_FEATURES)}]) AS feature,
+                   unnest([{", ".join(f"CAST({name} AS DOUBLE)" for name in QUANT_FEATURES)}]) AS x
+            FROM v_train_set CROSS JOIN (SELECT unnest([0, 1, 2]) AS fold) WHERE {_5_8}),
+        lines AS (SELECT fold, feature, regr_slope(y, x) AS slope, regr_intercept(y, x) AS level
+                  FROM long WHERE NOT out GROUP BY fold, feature),
+        scores AS (SELECT fold, feature, sqrt(avg(pow(y - level - slope * x, 2))) AS rmse
+                   FROM long JOIN lines USING (fold, feature) WHERE out GROUP BY fold, feature)
+        SELECT CAST(1 AS INT) AS step, feature, round(avg(rmse), 6) AS mean_rmse
+        FROM scores GROUP BY feature ORDER BY avg(rmse) LIMIT 1"""
+
+
+@query("m17_first_step", _first_step_sql())
+def first_step(w: Warehouse) -> DataFrame:
+    train = subset(w.subset_sources, "all_5_8_train")
+    steps = ops.forward_selection(train, QUANT_FEATURES)
+    return steps.where("step = 1").select("step", "feature", r6("mean_rmse"))
+
+
+_FOLDS = 3
+_FOLD_SQL = f"CAST(CAST('0x' || substr(md5(review_id), 1, 8) AS BIGINT) % {_FOLDS} AS INT)"
+
+
+def _lasso_cv_sql() -> str:
+    """Penalties of the grid on one scaled feature: the path has a closed form, and the error on
+    the rows held out follows from their sums."""
+    return f"""
+        WITH k AS (SELECT avg({_ONE}) AS m, stddev_pop({_ONE}) AS s FROM v_train_set),
+        seen AS (SELECT ({_ONE} - m) / s AS x, CAST(rev_stars AS DOUBLE) AS y, {_FOLD_SQL} AS fold
+                 FROM v_train_set CROSS JOIN k),
+        whole AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS g, var_pop(x) AS v
+                  FROM seen),
+        grid AS (SELECT i, abs(g) * pow(0.001, i / 99.0) AS penalty
+                 FROM whole CROSS JOIN (SELECT unnest(range(100)) AS i)),
+        fits AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS g, var_pop(x) AS v
+                 FROM seen JOIN (SELECT unnest(range({_FOLDS})) AS fold) f ON seen.fold <> f.fold
+                 GROUP BY f.fold),
+        sums AS (SELECT fold, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx,
+                        sum(x * y) AS xy, sum(y * y) AS yy FROM seen GROUP BY fold),
+        lines AS (SELECT fold, i, penalty, sign(g) * greatest(abs(g) - penalty, 0) / v AS b, mx, my
+                  FROM fits CROSS JOIN grid),
+        errors AS (SELECT i, penalty, avg((yy - 2 * b * xy - 2 * a * sums.y + b * b * xx
+                     + 2 * a * b * sums.x + n * a * a) / n) AS mse
+                   FROM (SELECT *, my - b * mx AS a FROM lines) JOIN sums USING (fold)
+                   GROUP BY i, penalty),
+        best AS (SELECT penalty FROM errors ORDER BY mse, i LIMIT 1)
+        SELECT review_id, round(my + sign(g) * greatest(abs(g) - penalty, 0) / v
+                   * (({_ONE} - m) / s - mx), 5) AS prediction
+        FROM v_test_set CROSS JOIN k CROSS JOIN whole CROSS JOIN best"""
+
+
+@query("m8_lasso_cv_one_feature", _lasso_cv_sql())
+def lasso_cv_one(w: Warehouse) -> DataFrame:
+    train, test = model_frames(w.sets.train, w.sets.test, [_ONE])
+    digits = F.conv(F.substring(F.md5("review_id"), 1, 8), 16, 10).cast("bigint")
+    folded = train.withColumn("fold", (digits % _FOLDS).cast("int"))
+    estimator = ops.lasso_cv(folded, folds=_FOLDS, fold_column="fold")
+    scored, _ = ops.fit_predict(folded, test, estimator, "One")
+    return scored.select("review_id", F.round("predictions_One", 5).alias("prediction"))
