@@ -120,6 +120,19 @@ def key_runs(
         yield pa.Table.from_batches(held)
 
 
+def _known(labels: DataFrame, label: str, eligible: Column, key: str) -> DataFrame:
+    return (
+        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & eligible)
+        .groupBy(F.col(key).alias("key"))
+        .agg(F.max(label).cast("int").alias("label"))
+    )
+
+
+def known_labels(labels: DataFrame, label: str, eligible: Column, key: str = "doc_id") -> list:
+    """Eligible keys per label."""
+    return _known(labels, label, eligible, key).groupBy("label").count().collect()
+
+
 def labelled_sample(
     docs: DataFrame,
     labels: DataFrame,
@@ -136,12 +149,8 @@ def labelled_sample(
     documents, and their number is bounded. A key with several labels has the greatest; null keys,
     labels and texts teach nothing.
     """
-    known = (
-        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & eligible)
-        .groupBy(F.col(key).alias("key"))
-        .agg(F.max(label).cast("int").alias("label"))
-    )
-    rows = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    known = _known(labels, label, eligible, key)
+    rows = {r["label"]: r["count"] for r in known_labels(labels, label, eligible, key)}
     chosen = None
     for value, n in sorted(rows.items()):
         part = bounded_sample(known.where(F.col("label") == value), F.col("key"), n, max_per_class)
@@ -156,19 +165,32 @@ def labelled_sample(
     return texts.join(F.broadcast(chosen), "key").select("text", "label", half)
 
 
-def fit_logistic(features: np.ndarray, labels: np.ndarray, weights: np.ndarray,
-                 ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method, the intercept last."""
+def fit_logistic(
+    features: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: float = 1e-4
+) -> np.ndarray:
+    """Weights of a logistic regression, the intercept last, by Newton's method with halved steps;
+    ``ridge`` is a share of the summed weights, so separable classes have a solution too."""
     x = np.column_stack([features, np.ones(len(features))])
+    penalty = ridge * weights.sum()
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return weights @ (np.logaddexp(0, z) - labels * z) + penalty / 2 * (w @ w)
+
     w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weights * (p - labels)) + ridge * w
-        curve = (x * (weights * (p * (1 - p) + 1e-9))[:, None]).T @ x
-        step = np.linalg.solve(curve + ridge * np.eye(len(w)), slope)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+    value = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (weights * (p - labels)) + penalty * w
+        curve = (x * (weights * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > value:
+            size /= 2
+        new = loss(w - size * step)
+        if size <= 1e-6 or value - new < 1e-9 * max(1.0, value):
             break
+        w, value = w - size * step, new
     return w
 
 

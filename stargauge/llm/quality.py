@@ -15,6 +15,7 @@ from stargauge.llm.common import (
     bounded_sample,
     fit_logistic,
     held_out,
+    known_labels,
     labelled_sample,
     logistic,
     slices,
@@ -23,11 +24,16 @@ from stargauge.llm.common import (
 CHUNK = 2048
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
+# Bytes that any compressed chunk has besides its content.
+FRAME = 9
 # Bounds of the fit.
 DOCS_PER_CLASS = 4_000
 CHUNKS_PER_CLASS = 4_000
 CELLS = 64
 PRIOR = 0.5
+# What short texts are mixed with: so many bytes that compress to this share with either dictionary.
+MIXED_BYTES = 64
+MIXED_SHARE = 0.4
 KEEP = 0.7
 
 
@@ -48,20 +54,24 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 def measures(good: bytes, bad: bytes, texts: list[str | None]) -> np.ndarray:
     """Per text: how much larger it gets with the bad dictionary than with the good one, as a
-    share of the larger size, and its smaller size as a share of its bytes. Whole texts, in chunks
-    that start afresh with the dictionary. Empty and null texts have (0, 1)."""
+    share of the larger size, and its smaller size as a share of its bytes. Whole texts, in equal
+    chunks that start afresh with the dictionary. Both shares are as if ``MIXED_BYTES`` neutral
+    bytes stood in front, so a short text says little; an empty or null one says nothing."""
     with_good, with_bad = _compressor(good), _compressor(bad)
-    out = np.tile([0.0, 1.0], (len(texts), 1))
+    neutral = MIXED_BYTES * MIXED_SHARE
+    out = np.tile([0.0, MIXED_SHARE], (len(texts), 1))
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
         if not data:
             continue
         first = second = 0
-        for at in range(0, len(data), CHUNK):
-            chunk = data[at : at + CHUNK]
-            first += len(with_good.compress(chunk))
-            second += len(with_bad.compress(chunk))
-        out[i] = (second - first) / max(first, second), min(first, second) / len(data)
+        size = -(-len(data) // -(-len(data) // CHUNK))
+        for at in range(0, len(data), size):
+            chunk = data[at : at + size]
+            first += len(with_good.compress(chunk)) - FRAME
+            second += len(with_bad.compress(chunk)) - FRAME
+        difference = (second - first) / (max(first, second) + neutral)
+        out[i] = difference, (min(first, second) + neutral) / (len(data) + MIXED_BYTES)
     return out
 
 
@@ -157,11 +167,13 @@ def fit(
     if table["label"].nunique() < 2:
         return None
     positive = (table["label"] == 1).to_numpy().astype(float)
-    counts = table["n"].to_numpy(float)
-    # Both labels weigh alike.
-    sums = np.where(positive == 1, counts[positive == 1].sum(), counts[positive == 0].sum())
-    weights = fit_logistic(_inputs(table[["d", "s"]].to_numpy()), positive,
-                           counts / sums * counts.sum() / 2)
+    # The sample may hold a larger share of the rarer label than there is.
+    shares = {r["label"]: r["count"] for r in known_labels(labels, label, eligible, key)}
+    held = {value: table["n"][table["label"] == value].sum() for value in (0, 1)}
+    weigh = table["label"].map({v: shares[v] / held[v] for v in (0, 1)}).to_numpy(float)
+    weights = fit_logistic(
+        _inputs(table[["d", "s"]].to_numpy()), positive, weigh * table["n"].to_numpy(float)
+    )
     return Model(good, bad, weights)
 
 

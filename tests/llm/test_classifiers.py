@@ -135,7 +135,9 @@ def test_sizes_cover_whole_texts(quality_model):
     head = clean_text(1, 2000)
     plain, spoilt = quality.measures(good, bad, [head, head + " " + noise(5) * 40])
     assert spoilt[0] < plain[0]
-    assert quality.measures(good, bad, ["", None]).tolist() == [[0.0, 1.0], [0.0, 1.0]]
+    assert quality.measures(good, bad, ["", None]).tolist() == [
+        [0.0, quality.MIXED_SHARE]
+    ] * 2
 
 
 def test_quality_of_awkward_rows(spark, quality_model):
