@@ -128,10 +128,10 @@ def one_hot_long(w: Warehouse) -> DataFrame:
 def boolean_flag(w: Warehouse) -> DataFrame:
     reviews = join_business(w.test.review, w.everything.business, "left")
     (encoded,) = ops.one_hot(w.train.business, [reviews], "bus_open")
-    values = vector_to_array("bus_open_vector")
+    values = F.when(c("bus_open").isNotNull(), vector_to_array("bus_open_vector"))
     return encoded.select(
         "review_id",
-        F.when(c("bus_open").isNotNull(), F.size(values)).cast("bigint").alias("width"),
+        F.when(values.isNotNull(), F.size(values)).cast("bigint").alias("width"),
         values[0].alias("flag"),
     )
 

@@ -57,3 +57,42 @@ def test_written_dimensions_replace_computed_ones(spark, folder, workspace, tmp_
     again = jobs.open_workspace(spark, folder, dimensions=known)
     columns = ["review_id", "calc_cat_avg", "bus_name_counts", "grp_cat_counts"]
     assert values(again.sets.master, *columns) == values(workspace.sets.master, *columns)
+
+
+def test_whole_submission_has_every_review_once(spark, workspace, tmp_path):
+    rules = [
+        jobs.Rule("all_5_8_train", "all_1_5_test"),
+        jobs.Rule("names_1_train", "names_1_test", ["bus_review_count", "bus_name_avg"]),
+    ]
+    path = jobs.submit_all(workspace, rules, str(tmp_path), submission="9")
+    read = spark.read.schema("review_id string, stars double").option("header", True).csv(path)
+    reviews = workspace.test.review
+    assert read.where("stars IS NULL").count() == 0
+    assert read.count() == read.select("review_id").distinct().count() == reviews.count()
+
+
+def test_numbers_with_zip_and_category_vectors(workspace):
+    from stargauge.operators import features as ops
+    from stargauge.operators import models
+    from stargauge.plans.modelling import train_and_score
+
+    train, test = workspace.sets.train, workspace.sets.test
+    (train, test) = ops.one_hot(train, [train, test], "bus_zip_code")
+    (train, _), (test, _) = (ops.multi_hot(df, workspace.sets.train) for df in (train, test))
+    extra = ["bus_open", "bus_zip_code_vector", "category_vector"]
+    scored, model = train_and_score(
+        train, test, models.ridge(train, 10.0), "Ridge", extra=extra
+    )
+    assert scored.count() == test.count()
+    assert scored.where("predictions_Ridge IS NULL").count() == 0
+    assert model.numFeatures > len(ops.QUANT_FEATURES) + 1
+
+
+def test_validation_and_a_saved_model(spark, workspace, tmp_path):
+    scores = jobs.validate_subset(workspace, "all_5_8_train", folds=3).collect()
+    assert [row["fold"] for row in scores] == [0, 1, 2] and all(row["rmse"] > 0 for row in scores)
+    jobs.predict_subset(
+        workspace, "all_5_8_train", "all_1_5_test", str(tmp_path / "out"), submission="9",
+        model_folder=str(tmp_path / "models"),
+    )
+    assert len(list((tmp_path / "models").iterdir())) == 1
