@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,13 +13,32 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 * 1024 * 1024
+SLICE_BYTES = 1024 * 1024
+# Settings under which tables are handed to Python: bytes of one batch.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, in a session that hands its rows to Python in batches of few bytes: two
+    tasks of an executor hold a batch each, on both sides."""
+    df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+def _give_back() -> None:
+    """Return what a finished task no longer uses; its worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim:
+        trim(0)
+
+
 def bounded_sample(df: DataFrame, key: Column, rows: int, max_rows: int, seed: int = 0) -> DataFrame:
     """About ``max_rows`` of the ``rows`` rows, chosen by a hash of ``key``: the same ones on
     every run and for any partitioning. For fitting only."""
@@ -48,6 +69,7 @@ def slices(
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    _give_back()
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stargauge.llm.common import code_points, distinct_words, slices
+from stargauge.llm.common import code_points, distinct_words, slices, small_batches
 from stargauge.llm.components import components
 from stargauge.sources.staging import stage
 
@@ -252,7 +252,7 @@ def link_documents(
     keyed = docs.select(
         F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("id"), F.col(text).alias("text")
     )
-    features = stage(keyed.mapInArrow(_featurize(bands, rows), FEATURES), "jaccard-features")
+    features = stage(small_batches(keyed).mapInArrow(_featurize(bands, rows), FEATURES), "jaccard-features")
     classes = stage(
         features.where("n > 0")
         .groupBy("high", "low", "n")
@@ -304,7 +304,7 @@ def link_documents(
     wanted = stage(tasks.select(F.col("rep").alias("id")).distinct(), "jaccard-wanted")
     # Rows that repeat a key have one set each; the least stands for the key.
     sets = (
-        keyed.join(wanted, "id", "left_semi")
+        small_batches(keyed.join(wanted, "id", "left_semi"))
         .mapInArrow(_sets, SETS)
         .groupBy("rep")
         .agg(F.min("grams").alias("grams"))

@@ -19,6 +19,7 @@ from stargauge.llm.common import (
     held_out,
     segment_sums,
     slices,
+    small_batches,
 )
 
 UNDETERMINED = "und"
@@ -111,7 +112,7 @@ def fit(
         sample = part if sample is None else sample.unionByName(part)
     if sample is None:
         return Model([], np.zeros((1 << GRAM_BITS, 0)))
-    counted = sample.select("lang", "text").mapInArrow(_count, COUNTS)
+    counted = small_batches(sample.select("lang", "text")).mapInArrow(_count, COUNTS)
     found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows)
     counts = np.full((1 << GRAM_BITS, len(languages)), SMOOTHING)
@@ -207,7 +208,7 @@ def predict(
                 names=["doc_id", "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {key_type}, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(run, f"doc_id {key_type}, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.35) -> DataFrame:
@@ -220,7 +221,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", least: float =
             kept = (np.array(names) != UNDETERMINED) & (scores >= least)
             yield part.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def training_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stargauge.llm.common import code_points, slices
+from stargauge.llm.common import code_points, slices, small_batches
 
 BLANK = "▁"
 # Longer segments are merged one by one with a heap, so that a text without blanks stays cheap.
@@ -335,7 +335,9 @@ def encode(
                 names=["doc_id", "n_tokens", "ids"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {key_type}, n_tokens bigint, ids array<int>")
+    return small_batches(rows).mapInArrow(
+        run, f"doc_id {key_type}, n_tokens bigint, ids array<int>"
+    )
 
 
 def encode_and_decode(
@@ -362,7 +364,7 @@ def encode_and_decode(
                 names=["doc_id", "n_tokens", "ids", "decoded", "round_trip"],
             )
 
-    return rows.mapInArrow(
+    return small_batches(rows).mapInArrow(
         run,
         f"doc_id {key_type}, n_tokens bigint, ids array<int>, decoded string, round_trip boolean",
     )
@@ -388,4 +390,4 @@ def decode(
                     [part.column(0), pa.array(found, pa.string())], names=["doc_id", "text"]
                 )
 
-    return rows.mapInArrow(run, f"doc_id {key_type}, text string")
+    return small_batches(rows).mapInArrow(run, f"doc_id {key_type}, text string")

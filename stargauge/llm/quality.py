@@ -19,6 +19,7 @@ from stargauge.llm.common import (
     labelled_sample,
     logistic,
     slices,
+    small_batches,
 )
 
 CHUNK = 2048
@@ -156,7 +157,7 @@ def fit(
             )
 
     check = sample if small else sample.where("half = 1")
-    measured = check.select("text", "label").mapInArrow(
+    measured = small_batches(check.select("text", "label")).mapInArrow(
         cells, "label int, x int, y int, difference double, share double"
     )
     table = (
@@ -199,7 +200,7 @@ def score(
                 [part.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"]
             )
 
-    return rows.mapInArrow(run, f"doc_id {key_type}, score double")
+    return small_batches(rows).mapInArrow(run, f"doc_id {key_type}, score double")
 
 
 def teaching(key: str = "doc_id") -> Column:

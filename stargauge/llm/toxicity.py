@@ -19,6 +19,7 @@ from stargauge.llm.common import (
     labelled_sample,
     logistic,
     slices,
+    small_batches,
 )
 from stargauge.llm.language import letters_only
 
@@ -264,7 +265,7 @@ def fit(
                 names=["label", "x", "y"],
             )
 
-    counted = sample.select("text", "label").mapInArrow(bins, "label int, x int, y int")
+    counted = small_batches(sample.select("text", "label")).mapInArrow(bins, "label int, x int, y int")
     table = counted.groupBy("label", "x", "y").count().toPandas()
     values = (table[["x", "y"]].to_numpy() + 0.5) / BINS * 2 * SPREAD - SPREAD
     positive = (table["label"] == 1).to_numpy().astype(float)
@@ -349,7 +350,7 @@ def score(
                 [part.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"]
             )
 
-    return rows.mapInArrow(run, f"doc_id {key_type}, score double")
+    return small_batches(rows).mapInArrow(run, f"doc_id {key_type}, score double")
 
 
 def civil(docs: DataFrame, model: Model | None, text: str = "text", limit: float = 0.5) -> DataFrame:
@@ -360,7 +361,7 @@ def civil(docs: DataFrame, model: Model | None, text: str = "text", limit: float
         for part in slices(batches, place):
             yield part.filter(pa.array(scores(model, part.column(place)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def teaching(key: str = "doc_id") -> Column:

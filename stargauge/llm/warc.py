@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stargauge.llm.common import bounded_sample
+from stargauge.llm.common import bounded_sample, small_batches
 from stargauge.sources.scratch import scratch_path
 from stargauge.sources.staging import stage
 
@@ -292,7 +292,7 @@ def write_archives(
     dealt = placed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(
         "shard", "page_id", "digest", "kind"
     )
-    written = dealt.mapInArrow(_writer(root, roll_bytes), MANIFEST)
+    written = small_batches(dealt).mapInArrow(_writer(root, roll_bytes), MANIFEST)
     written.write.parquet(f"{root}/_pending", mode="error")
     pending = spark.read.schema(MANIFEST).parquet(f"{root}/_pending")
     pending.mapInArrow(_commit(root), MANIFEST).write.parquet(f"{root}/_manifest", mode="error")
