@@ -35,7 +35,16 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def category_counts(df: DataFrame) -> DataFrame:
-    return value_counts(exploded(df, "bus_categories", "category"), "category")
+    """Rows per category. Rows are counted per business first, where there is one, so that one
+    list a business is taken apart."""
+    keys = [name for name in ("business_id", "bus_categories") if name in df.columns]
+    per_list = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return (
+        exploded(per_list, "bus_categories", "category", "n")
+        .where(F.col("category").isNotNull())
+        .groupBy("category")
+        .agg(F.sum("n").alias("n"))
+    )
 
 
 def top_k(df: DataFrame, count: str, key: str, k: int) -> DataFrame:

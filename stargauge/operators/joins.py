@@ -103,13 +103,17 @@ def attach_names(df: DataFrame, names: DataFrame, how: str = "left") -> DataFram
     return df.join(names, "bus_name", how)
 
 
-def append_unseen_names(df: DataFrame, names: DataFrame) -> DataFrame:
+def append_unseen_names(
+    df: DataFrame, names: DataFrame, carriers: DataFrame | None = None
+) -> DataFrame:
     """Add a row per name that no row carries.
 
     An anti-join on the distinct names, because a full outer join could not be split at a
-    frequent name.
+    frequent name. ``carriers`` is a smaller frame with the same names, such as the businesses
+    of the rows; without it ``df`` is read twice.
     """
-    carried = df.where(F.col("bus_name").isNotNull()).select("bus_name").distinct()
+    named = df if carriers is None else carriers
+    carried = named.where(F.col("bus_name").isNotNull()).select("bus_name").distinct()
     unseen = names.join(carried, "bus_name", "left_anti")
     return df.unionByName(unseen, allowMissingColumns=True)
 

@@ -82,8 +82,15 @@ class ReviewSets:
     def _filled(self, df: DataFrame) -> DataFrame:
         return fill_null(df, "calc_total_checkins", F.lit(0).cast("bigint"))
 
-    def _all_names(self, df: DataFrame, names: DataFrame) -> DataFrame:
-        return append_unseen_names(df, names) if self._names == "outer" else df
+    def _all_names(
+        self, df: DataFrame, names: DataFrame, reviews: DataFrame, business: DataFrame
+    ) -> DataFrame:
+        """A name is known per business, so only the ids of ``reviews`` are read again."""
+        if self._names != "outer":
+            return df
+        seen = reviews.select("business_id").distinct()
+        carriers = business.join(seen, "business_id", "left_semi")
+        return append_unseen_names(df, names, carriers)
 
     @cached_property
     def train(self) -> DataFrame:
@@ -95,7 +102,10 @@ class ReviewSets:
         # The narrow user side first: what the business adds is shuffled once.
         known = join_business(join_user(self._train.review, self._train.user), business)
         filled = fill_null(self._filled(known), "calc_cat_avg", self._fill)
-        return self._all_names(filled, self._dimensions.names.where(shared))
+        reviews = self._train.review.join(
+            self._train.user.select("user_id"), "user_id", "left_semi"
+        )
+        return self._all_names(filled, self._dimensions.names.where(shared), reviews, business)
 
     @cached_property
     def test(self) -> DataFrame:
@@ -115,8 +125,9 @@ class ReviewSets:
         )
         staged = stage_all({"business": wide, "user": wide_user(self._all.user, averages)})
         known = join_user(self._test.review, staged["user"], "left")
+        filled = self._filled(join_business(known, staged["business"], "left"))
         return self._all_names(
-            self._filled(join_business(known, staged["business"], "left")), self._dimensions.names
+            filled, self._dimensions.names, self._test.review, staged["business"]
         )
 
 
