@@ -140,12 +140,6 @@ def test_unseen_labels_have_no_slot(spark):
         assert values(got) == [("a", [1.0, 0.0]), ("z", [0.0, 0.0]), (None, [0.0, 0.0])]
 
 
-def test_too_many_labels_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(feats, "MAX_LABELS", 1)
-    train = spark.createDataFrame([("b",), ("a",)], "zip string")
-    with pytest.raises(ValueError, match="one_hot_long"):
-        feats.one_hot(train, [train], "zip")
-
 
 def test_multi_hot_is_binary_and_bounded(spark):
     df = spark.createDataFrame(
