@@ -158,7 +158,7 @@ def _merge_rounds(
     owner = np.repeat(np.arange(len(starts)), sizes)
     begin = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
     length = np.ones(len(begin), np.int64)
-    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(owner[:0], begin[:0], length[:0])]
     while len(begin):
         size = length[:-1] + length[1:]
         pair = (owner[:-1] == owner[1:]) & (size <= depth)

@@ -38,6 +38,11 @@ def test_equals_the_library(library, vocabulary):
     assert encoded(texts, vocabulary) == [library.encode(text or "") for text in texts]
 
 
+@pytest.mark.parametrize("text", TEXTS)
+def test_a_text_alone_in_its_slice(text, library, vocabulary):
+    assert encoded([text], vocabulary) == [library.encode(text or "")]
+
+
 def test_equals_the_library_on_documents(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r["doc_id"]: r["ids"] for r in pieces.encode(docs, tokenizer_path()).collect()}
