@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stargauge.llm.common import code_points, distinct_words, slices, small_batches
@@ -25,9 +25,9 @@ BLOCK_BYTES = 16 * 1024 * 1024
 COLUMNS = 2048
 NO_KEY = -(1 << 63)
 
-FEATURES = "id bigint, high bigint, low bigint, n bigint, bands array<bigint>"
-SETS = "rep bigint, grams binary"
-FOUND = "rep bigint, root bigint, text_links bigint, doc_links bigint"
+FEATURES = "id bigint, mark binary, high bigint, low bigint, n bigint, bands array<bigint>"
+SETS = "high bigint, low bigint, n bigint, grams binary"
+FOUND = "code bigint, root bigint, text_links bigint, doc_links bigint"
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD6E8FEB86659FD93)
@@ -119,21 +119,26 @@ def _signatures(grams: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
     return out
 
 
+def _fingerprints(grams: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
+    """``high``, ``low`` and ``n`` of every set; equal sets have equal ones."""
+    sums = np.zeros((2, len(grams) + 1), np.uint64)
+    np.cumsum(_mix(grams * _A), dtype=np.uint64, out=sums[0, 1:])
+    np.cumsum(_mix(grams ^ _B), dtype=np.uint64, out=sums[1, 1:])
+    high, low = sums[:, starts[1:]] - sums[:, starts[:-1]]
+    return [pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(np.diff(starts))]
+
+
 def _featurize(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             grams, starts = gram_sets(part.column(1))
             keys = _signatures(grams, starts, bands, rows)
-            sums = np.zeros((2, len(grams) + 1), np.uint64)
-            np.cumsum(_mix(grams * _A), dtype=np.uint64, out=sums[0, 1:])
-            np.cumsum(_mix(grams ^ _B), dtype=np.uint64, out=sums[1, 1:])
-            high, low = sums[:, starts[1:]] - sums[:, starts[:-1]]
             flat = pa.array(keys.view(np.int64).ravel())
             offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)),
-                 pa.array(np.diff(starts)), pa.ListArray.from_arrays(offsets, flat)],
-                names=["id", "high", "low", "n", "bands"],
+                [part.column(0), part.column(2), *_fingerprints(grams, starts),
+                 pa.ListArray.from_arrays(offsets, flat)],
+                names=["id", "mark", "high", "low", "n", "bands"],
             )
 
     return run
@@ -146,7 +151,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = pa.Array.from_buffers(
             pa.binary(), len(starts) - 1, [None, offsets, pa.py_buffer(grams.tobytes())]
         )
-        yield pa.RecordBatch.from_arrays([part.column(0), packed], names=["rep", "grams"])
+        yield pa.RecordBatch.from_arrays(
+            [*_fingerprints(grams, starts), packed], names=["high", "low", "n", "grams"]
+        )
 
 
 def similar(
@@ -177,7 +184,7 @@ def similar(
 def _verify(similarity: float):
     def run(rows: pa.Table) -> pa.Table:
         pivot, i, j = (rows.column(name)[0].as_py() for name in ("pivot", "i", "j"))
-        ids = rows.column("rep").to_numpy()
+        ids = rows.column("code").to_numpy()
         order = np.argsort(ids, kind="stable")
         rows, ids = rows.take(order), ids[order]
         block = rows.column("block").to_numpy()
@@ -220,49 +227,49 @@ def _verify(similarity: float):
 
 
 _FOUND_TYPES = pa.schema(
-    [("rep", pa.int64()), ("root", pa.int64()), ("text_links", pa.int64()), ("doc_links", pa.int64())]
+    [("code", pa.int64()), ("root", pa.int64()), ("text_links", pa.int64()), ("doc_links", pa.int64())]
 )
 
 
-def link_documents(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    similarity: float = SIMILARITY,
-    recall: float = RECALL,
-) -> DataFrame:
-    """``doc_id, class_id, copy_id, n_links, n_text_links`` of every row.
+def _mark(text: Column) -> Column:
+    """Tells rows apart that share a key but not the text."""
+    return F.unhex(F.sha1(text))
 
-    Two documents are linked if the Jaccard similarity of their sets of word 5-grams is at least
-    ``similarity``. ``n_links`` counts the other documents a row is linked to, ``n_text_links``
-    the different sets among them, ``copy_id`` is the smallest key with an equal set and
-    ``class_id`` the smallest key that links lead to. Copies are one row from the start and are
-    never paired with each other.
 
-    Bands and rows are chosen so that a pair at the threshold is found with probability
-    ``recall``. The members of a band's bucket form the group of its smallest key, groups are cut
-    into blocks of bounded size, and each pair of blocks is compared by full sets in one task that
-    returns one row per member, so no list of pairs is ever made and no candidate is dropped. A
-    pair that several groups hold counts in the first.
+def _linked(
+    docs: DataFrame, key: str, text: str, similarity: float, recall: float
+) -> tuple[DataFrame, DataFrame]:
+    """``id, mark, high, low, n`` of every row, and of every class of rows with an equal set its
+    smallest key ``rep``, its rows ``docs``, its links, and ``least``: key and mark of the first
+    row of all classes that links lead to.
 
-    Null and wordless texts have no n-grams and no links. Null keys are one key; rows that repeat
-    a key count as documents of their own. Other columns are not read.
-    """
+    A class is known by its set, as ``code``; keys may repeat and only name rows in the result."""
     bands, rows = bands_and_rows(similarity, recall, MAX_HASHES)
     keyed = docs.select(
-        F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("id"), F.col(text).alias("text")
+        F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("id"),
+        F.col(text).alias("text"),
+        _mark(F.col(text)).alias("mark"),
     )
     features = stage(small_batches(keyed).mapInArrow(_featurize(bands, rows), FEATURES), "jaccard-features")
-    classes = stage(
+    classes = (
         features.where("n > 0")
         .groupBy("high", "low", "n")
-        .agg(F.min("id").alias("rep"), F.count("*").alias("docs"), F.first("bands").alias("bands")),
-        "jaccard-classes",
+        .agg(
+            F.min(F.struct("id", "mark")).alias("first"),
+            # The key under which a text of the class is read again: a known one, if there is one.
+            F.min(F.when(F.col("id") != NO_KEY, F.col("id"))).alias("known"),
+            F.count("*").alias("docs"),
+            F.first("bands").alias("bands"),
+        )
+    )
+    # Codes are fixed by being written.
+    classes = stage(
+        classes.withColumn("code", F.monotonically_increasing_id()), "jaccard-classes"
     )
-    hashed = classes.select("rep", "n", "docs", F.explode("bands").alias("band"))
+    hashed = classes.select("code", "n", "docs", F.explode("bands").alias("band"))
     buckets = stage(
         hashed.groupBy("band")
-        .agg(F.min("rep").alias("pivot"), F.count("*").alias("size"))
+        .agg(F.min("code").alias("pivot"), F.count("*").alias("size"))
         .where("size > 1")
         .drop("size"),
         "jaccard-buckets",
@@ -270,9 +277,9 @@ def link_documents(
     # At most one pivot per band.
     members = stage(
         hashed.join(buckets, "band")
-        .groupBy("rep", "n", "docs")
+        .groupBy("code", "n", "docs")
         .agg(F.sort_array(F.collect_set("pivot")).alias("pivots"))
-        .select("rep", "n", "docs", "pivots", F.explode("pivots").alias("pivot")),
+        .select("code", "n", "docs", "pivots", F.explode("pivots").alias("pivot")),
         "jaccard-members",
     )
     first = F.col("pivots")[0]
@@ -293,66 +300,141 @@ def link_documents(
     groups = stage(groups.select("pivot", parts.cast("int").alias("parts")), "jaccard-groups")
     tasks = (
         members.join(groups, "pivot")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
     )
     tasks = stage(
-        tasks.select("pivot", "i", "j", "rep", "block", "docs", "pivots"), "jaccard-tasks"
+        tasks.select("pivot", "i", "j", "code", "block", "docs", "pivots"), "jaccard-tasks"
     )
-    wanted = stage(tasks.select(F.col("rep").alias("id")).distinct(), "jaccard-wanted")
-    # Rows that repeat a key have one set each; the least stands for the key.
+    wanted = stage(
+        classes.join(tasks.select("code").distinct(), "code", "left_semi").select(
+            "code", "high", "low", "n", F.coalesce("known", F.lit(NO_KEY)).alias("id")
+        ),
+        "jaccard-wanted",
+    )
+    # Rows that share a wanted key are read along; the sets that no task names fall away below.
+    # The keys are a table of their own, whose small size the planner knows.
+    ids = stage(wanted.select("id").distinct(), "jaccard-wanted-keys")
+    texts = keyed.select("id", "text").join(ids, "id", "left_semi")
     sets = (
-        small_batches(keyed.join(wanted, "id", "left_semi"))
+        small_batches(texts)
         .mapInArrow(_sets, SETS)
-        .groupBy("rep")
+        .groupBy("high", "low", "n")
         .agg(F.min("grams").alias("grams"))
     )
     found = stage(
-        tasks.join(sets, "rep").groupBy("pivot", "i", "j").applyInArrow(_verify(similarity), FOUND),
+        tasks.join(wanted.drop("id"), "code")
+        .join(sets, ["high", "low", "n"])
+        .select("pivot", "i", "j", "code", "block", "docs", "pivots", "grams")
+        .groupBy("pivot", "i", "j")
+        .applyInArrow(_verify(similarity), FOUND),
         "jaccard-found",
     )
-    joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    joined = stage(
+        components(found.select(F.col("code").alias("a"), F.col("root").alias("b"))),
+        "jaccard-components",
+    )
+    # Staged, so that the join of a large component starts from two plain shuffles.
+    least = stage(
+        joined.join(classes.select("code", "first"), F.col("node") == F.col("code"))
+        .groupBy("component")
+        .agg(F.min("first").alias("least")),
+        "jaccard-least",
+    )
     links = (
-        found.groupBy("rep")
+        found.groupBy("code")
         .agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
-        .join(joined, F.col("rep") == F.col("node"), "left")
-        .select("rep", "text_links", "doc_links", "component")
+        .join(joined, F.col("code") == F.col("node"))
+        .select("code", "text_links", "doc_links", "component")
+        .join(least, "component")
+        .drop("component")
     )
+    nothing = F.lit(0).cast("bigint")
     per_class = stage(
-        classes.select("high", "low", "n", "rep", "docs").join(links, "rep", "left"),
+        classes.join(links, "code", "left").select(
+            "high",
+            "low",
+            "n",
+            "docs",
+            F.col("first")["id"].alias("rep"),
+            F.coalesce("least", "first").alias("least"),
+            F.coalesce("text_links", nothing).alias("text_links"),
+            F.coalesce("doc_links", nothing).alias("doc_links"),
+        ),
         "jaccard-per-class",
     )
+    return features.drop("bands"), per_class
+
+
+def link_documents(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+) -> DataFrame:
+    """``doc_id, class_id, copy_id, n_links, n_text_links`` of every row.
+
+    Two documents are linked if the Jaccard similarity of their sets of word 5-grams is at least
+    ``similarity``. ``n_links`` counts the other documents a row is linked to, ``n_text_links``
+    the different sets among them, ``copy_id`` is the smallest key with an equal set and
+    ``class_id`` the smallest key that links lead to. Copies are one row from the start and are
+    never paired with each other.
+
+    Bands and rows are chosen so that a pair at the threshold is found with probability
+    ``recall``. The members of a band's bucket form the group of its smallest code, groups are cut
+    into blocks of bounded size, and each pair of blocks is compared by full sets in one task that
+    returns one row per member, so no list of pairs is ever made and no candidate is dropped. A
+    pair that several groups hold counts in the first.
+
+    Null and wordless texts have no n-grams and no links. Null keys are one key, the smallest;
+    rows that repeat a key count as documents of their own, each with the links of its own text.
+    Other columns are not read.
+    """
+    features, per_class = _linked(docs, key, text, similarity, recall)
     nothing = F.lit(0).cast("bigint")
     return features.join(per_class, ["high", "low", "n"], "left").select(
         F.when(F.col("id") != NO_KEY, F.col("id")).alias("doc_id"),
-        F.coalesce("component", "rep", "id").alias("class_id"),
+        F.coalesce(F.col("least")["id"], "id").alias("class_id"),
         F.coalesce("rep", "id").alias("copy_id"),
-        (F.coalesce("doc_links", nothing) + F.coalesce(F.col("docs") - 1, nothing)).alias("n_links"),
+        F.coalesce(F.col("doc_links") + F.col("docs") - 1, nothing).alias("n_links"),
         F.coalesce("text_links", nothing).alias("n_text_links"),
     )
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of linked documents, with all its columns: that of the smallest key.
-    Rows without n-grams all stay. Of rows that repeat a key and its words one stays."""
-    found = link_documents(docs, key, text)
-    dropped = found.where("doc_id IS NOT NULL AND class_id <> doc_id").select(
-        F.col("doc_id").alias("_copy")
+    """One row of each group of linked documents, with all its columns: that of the smallest key,
+    a null key being the smallest. Rows without n-grams all stay. Where several rows have that key,
+    one of them stays. A row goes or stays by its key and text, never with others of its key."""
+    features, per_class = _linked(docs, key, text, SIMILARITY, RECALL)
+    grouped = per_class.where("docs > 1 OR text_links > 0").select("high", "low", "n", "least")
+    found = stage(
+        features.join(grouped, ["high", "low", "n"]).select(
+            F.col("id").alias("_id"),
+            F.col("mark").alias("_mark"),
+            (F.struct("id", "mark") == F.col("least")).alias("first"),
+        ),
+        "jaccard-grouped",
+    )
+    same = (F.coalesce(docs[key].cast("bigint"), F.lit(NO_KEY)) == F.col("_id")) & (
+        _mark(docs[text]) == F.col("_mark")
+    )
+    dropped = stage(
+        found.where("NOT first").select("_id", "_mark").distinct(), "jaccard-dropped"
     )
-    dropped = stage(dropped.distinct(), "jaccard-dropped")
-    kept = docs.join(dropped, docs[key] == dropped["_copy"], "left_anti")
+    kept = docs.join(dropped, same, "left_anti")
     repeated = stage(
-        found.where("class_id = doc_id AND n_links > 0")
-        .groupBy("doc_id")
+        found.where("first")
+        .groupBy("_id", "_mark")
         .agg(F.count("*").alias("n"))
         .where("n > 1")
-        .select(F.col("doc_id").alias("_copy")),
+        .select("_id", "_mark"),
         "jaccard-repeated",
     )
     if repeated.isEmpty():
         return kept
-    single = kept.join(repeated, docs[key] == repeated["_copy"], "left_anti")
-    several = kept.join(repeated, docs[key] == repeated["_copy"], "left_semi")
-    return single.unionByName(several.dropDuplicates([key]))
+    single = kept.join(repeated, same, "left_anti")
+    several = kept.join(repeated, same, "left_semi")
+    return single.unionByName(several.dropDuplicates([key, text]))

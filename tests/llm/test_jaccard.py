@@ -124,3 +124,25 @@ def test_components_of_chains_and_stars(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in components.components(df).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+
+
+A, B, C, D = (" ".join(f"{name}{i}" for i in range(60)) for name in "abcd")
+SHARED_KEYS = [
+    (3, A), (7, A), (7, B),
+    (None, C), (None, D), (None, C + " more"), (10, C), (11, C + " other"), (12, D + " more"),
+    (20, A + " more"), (21, A + " more"), (21, D + " other"),
+]
+
+
+def test_rows_that_share_a_key_have_the_links_of_their_own_text(spark):
+    assert found(documents(spark, SHARED_KEYS)) == brute_force(SHARED_KEYS)
+    rng = random.Random(8)
+    rows = [(rng.choice([None, None, rng.randrange(40)]), text) for _, text in near_copies(25, 12)]
+    assert found(documents(spark, rows)) == brute_force(rows)
+
+
+def test_one_of_each_group_stays_where_keys_are_shared(spark):
+    kept = jaccard.one_of_each(documents(spark, SHARED_KEYS)).collect()
+    texts = [r["text"] for r in kept]
+    assert sorted(text[0] for text in texts) == ["a", "b", "c", "d"]
+    assert {(r["doc_id"], r["text"][0]) for r in kept} == {(3, "a"), (7, "b"), (None, "c"), (None, "d")}
