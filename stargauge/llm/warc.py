@@ -47,9 +47,10 @@ RECORDS = (
 
 def revisits(pages: DataFrame, key: str, payload: str, least: int = REVISIT_BYTES) -> DataFrame:
     """Key, digest and the key of the response, for every page that repeats a payload of at least
-    ``least`` bytes. Of equal payloads the greatest key is the response. Digests are counted
-    before the shuffle; the join back starts from two staged tables, so that a digest with a third
-    of all pages is split at run time."""
+    ``least`` bytes. Of equal payloads the greatest key is the response; where none of the pages
+    has a key, all are responses, as there is no key to refer to. Digests are counted before the
+    shuffle; the join back starts from two staged tables, so that a digest with a third of all
+    pages is split at run time."""
     bytes_ = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     keys = stage(
         pages.select(F.col(key).alias("page_id"), F.sha1(bytes_).alias("digest"),
@@ -61,7 +62,7 @@ def revisits(pages: DataFrame, key: str, payload: str, least: int = REVISIT_BYTE
     groups = keys.groupBy("digest").agg(
         F.max("page_id").alias("refers_to"), F.count("*").alias("copies")
     )
-    groups = stage(groups.where("copies > 1").drop("copies"), "warc-copies")
+    groups = stage(groups.where("copies > 1 AND refers_to IS NOT NULL").drop("copies"), "warc-copies")
     return keys.join(groups, "digest").where("page_id IS NULL OR page_id <> refers_to").distinct()
 
 

@@ -96,3 +96,20 @@ def test_a_damaged_archive_is_refused(spark, tmp_path):
     os.path.exists(f"{tmp_path}/a/.{name}.crc") and os.remove(f"{tmp_path}/a/.{name}.crc")
     with pytest.raises(Exception, match="does not hold"):
         warc.read_archives(spark, root).collect()
+
+
+def test_a_payload_of_pages_without_keys_is_written(spark, tmp_path):
+    lone = "<p>" + "page without a key " * 100
+    rows = [(None, "http://a/x", lone), (None, "http://a/y", lone), (None, "http://a/z", BIG), (1, None, BIG)]
+    root, manifest = archive(spark, tmp_path, "a", pages={"rows": rows})
+    found = warc.read_archives(spark, root).collect()
+    got = sorted((r["target_uri"], r["record_type"], r["refers_to"]) for r in found)
+    assert got == [
+        ("http://a/x", "response", None),
+        ("http://a/y", "response", None),
+        ("http://a/z", "revisit", 1),
+        ("urn:page:1", "response", None),
+    ]
+    assert sum(r["records"] for r in manifest.collect()) == len(rows)
+    text = b"".join(gzip.decompress(data) for data in contents(tmp_path, "a").values())
+    assert text.count(lone.encode()) == 2 and b"None" not in text
