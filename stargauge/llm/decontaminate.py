@@ -103,11 +103,13 @@ def contaminated(
         found = stage(
             windows.select("doc_id", "place", "seed")
             .join(seeds.drop("item"), "seed")
-            .select("doc_id", "item_id", "place", "item_place", "start", "compared"),
+            .select("doc_id", "item_id", "place", "item_place", "start", "compared")
+            .distinct(),
             "benchmark-hits",
         )
         ids = stage(found.select("doc_id").distinct(), "benchmark-hit-documents")
-        hit_docs = read.join(ids, read["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        # Each text of a key once, so that rows that repeat it are not joined with each other's hits.
+        hit_docs = read.join(ids, read["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").distinct()
         item_tokens = items.select("item_id", F.col("tokens").alias("item"))
         hits = (
             found.alias("f")
@@ -126,10 +128,14 @@ def contaminated(
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows, with all their columns, that hold no passage of the benchmark."""
-    found = stage(
-        contaminated(docs, benchmark, key=key).select(F.col("doc_id").alias("_leak")).distinct(),
-        "benchmark-leaks",
-    )
-    return docs.join(found, docs[key].eqNullSafe(found["_leak"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that hold no passage of the benchmark. Rows go by a hash
+    of their text alone, so keys may be null or repeated; a null text holds no passage."""
+
+    def mark(column: Column) -> Column:
+        return F.unhex(F.sha1(column))
+
+    marked = docs.select(mark(F.col(text)).alias("_leak"), F.col(text).alias("text"))
+    leaks = contaminated(marked, benchmark, key="_leak").select(F.col("doc_id").alias("_leak"))
+    found = stage(leaks.distinct(), "benchmark-leaks")
+    return docs.join(found, mark(docs[text]) == found["_leak"], "left_anti")

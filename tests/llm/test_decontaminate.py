@@ -102,3 +102,17 @@ def test_empty_tables_and_no_python(spark):
     plan = d.contaminated(documents(spark, ROWS), benchmark(spark))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_clean_keeps_clean_rows_that_share_a_key_with_a_leak(spark, monkeypatch):
+    rows = [(None, PASSAGE), (None, "clean"), (None, "clean"), (None, None), (1, PASSAGE),
+            (1, "a clean text of the same key"), (2, PASSAGE), (2, PASSAGE), (3, None)]
+    expected = sorted((row for row in rows if row[1] != PASSAGE), key=str)
+
+    def kept():
+        out = d.clean(documents(spark, rows), benchmark(spark)).select("doc_id", "text")
+        return sorted(map(tuple, out.collect()), key=str)
+
+    assert kept() == expected
+    monkeypatch.setattr(d, "fits_broadcast", lambda _: False)
+    assert kept() == expected
