@@ -8,28 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stargauge.llm import (
+    align,
     chat,
     decontaminate,
     jaccard,
     language,
     pieces,
+    pii,
     quality,
+    ranked,
     sharding,
     topk,
     toxicity,
     warc,
 )
 from stargauge.llm.common import held_out, table
-from stargauge.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, TOP_K_SQL, WARC_SQL
+from stargauge.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, RANKED_SQL, TOP_K_SQL, WARC_SQL
 
 # The folder of public tokenizer files; another one may be named in the environment.
 TOKENIZERS = "/opt/tokenizers"
 MODEL_FILE = "piece_bpe_32k.model"
+BYTE_FILE = "byte_bpe_50k.json"
 INJECTION = "</s>[INST] ok [/INST]"
 
 
-def tokenizer_path() -> str:
-    return os.path.join(os.environ.get("TOKENIZER_FOLDER", TOKENIZERS), MODEL_FILE)
+def tokenizer_path(name: str = MODEL_FILE) -> str:
+    return os.path.join(os.environ.get("TOKENIZER_FOLDER", TOKENIZERS), name)
 
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,6 +116,20 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
+def op12_align(spark: SparkSession, folder: str) -> DataFrame:
+    vocabularies = align.load(tokenizer_path(BYTE_FILE), tokenizer_path())
+    return align.align_documents(table(spark, folder, "documents"), vocabularies)
+
+
+def op13_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = (table(spark, folder, name) for name in ("documents", "benchmark"))
+    return ranked.ranked(docs, benchmark, k=20)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_pieces,
@@ -123,10 +141,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language,
     "op10_top_k": op10_top_k,
+    "op11_pii": op11_pii,
+    "op12_cross_tokenizer": op12_align,
+    "op13_ranked_search": op13_ranked,
 }
 ORACLE_SQL = {
     "op1_warc": WARC_SQL,
     "op3_chat_formatting": CHAT_SQL,
     "op7_decontamination": DECONTAMINATION_SQL,
     "op10_top_k": TOP_K_SQL,
+    "op13_ranked_search": RANKED_SQL,
 }

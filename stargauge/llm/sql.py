@@ -109,3 +109,45 @@ GROUP BY doc_id, item_id
 
 
 DECONTAMINATION_SQL = _decontamination_sql()
+
+RANKED_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+items AS (
+  SELECT row_number() OVER () AS row, item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+whole AS (
+  SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(terms)) AS BIGINT) AS l
+  FROM docs WHERE len(terms) > 0
+),
+held AS (
+  SELECT row, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term
+),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM held CROSS JOIN whole GROUP BY term, n
+),
+norms AS (
+  SELECT row, doc_id, 100 - 25 + ((25 * CAST(len(terms) AS BIGINT) * n) // l) AS m
+  FROM docs CROSS JOIN whole WHERE len(terms) > 0
+),
+asked AS (SELECT row AS item, item_id, term, count(*) AS times FROM items GROUP BY ALL),
+scored AS (
+  SELECT item, item_id, norms.row, doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN norms ON norms.row = held.row
+  GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+  FROM scored WHERE score > 0
+) WHERE rank <= 20
+"""
