@@ -166,6 +166,13 @@ def moments(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
+def fitted_scaling(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+    """Training mean and deviation of each feature; 1 for the deviation of a constant one. One
+    row reaches the driver."""
+    fitted = moments(train, features).first()
+    return {name: (fitted[f"{name}_mean"], fitted[f"{name}_std"] or 1.0) for name in features}
+
+
 def standardize(
     train: DataFrame, frames: list[DataFrame], features: list[str], suffix: str = "_scaled"
 ) -> list[DataFrame]:
@@ -173,10 +180,11 @@ def standardize(
 
     The moments, one row, are fitted when called.
     """
-    fitted = moments(train, features).first()
+    scaling = fitted_scaling(train, features)
 
     def scaled(name: str) -> Column:
-        return (F.col(name) - fitted[f"{name}_mean"]) / (fitted[f"{name}_std"] or 1.0)
+        mean, deviation = scaling[name]
+        return (F.col(name) - mean) / deviation
 
     return [df.withColumns({name + suffix: scaled(name) for name in features}) for df in frames]
 

@@ -7,21 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stargauge.concurrent import side_by_side
 from stargauge.functions.numeric import held_out, rmse
 from stargauge.operators.features import assemble
+from stargauge.operators.folded import (
+    LassoCV,
+    cross_validate_sums,
+    largest_penalty,
+    select_forward,
+)
+from stargauge.operators.gradient_fits import SparseLeastSquares, StochasticGradient, SupportVector
 from stargauge.operators.joins import union_all
+from stargauge.operators.trees import ExtraTrees
+from stargauge.sources.staging import stage
 
 KEY = "review_id"
 LABEL = "rev_stars"
@@ -73,47 +78,15 @@ def elastic_net(train: DataFrame, alpha: float = 1.0, l1_ratio: float = 0.5) ->
     return _linear(l1 + l2, l1 / (l1 + l2) if l1 + l2 else 0.0)
 
 
-def largest_penalty(train: DataFrame) -> float:
-    """The smallest lasso penalty that leaves no feature: ``max |cov(x, y)|``.
-
-    The covariances come from the plain feature means and those weighted by the label, which
-    is shifted to be positive.
-    """
-    low = train.agg(F.min(LABEL)).first()[0]
-    weight = (F.col(LABEL) - low + 1).cast("double")
-    row = train.agg(
-        Summarizer.mean(F.col(FEATURES)).alias("plain"),
-        Summarizer.mean(F.col(FEATURES), weight).alias("weighted"),
-        F.avg(weight).alias("weight"),
-    ).first()
-    gaps = zip(row["weighted"].toArray(), row["plain"].toArray(), strict=True)
-    return max(abs(row["weight"] * (weighted - plain)) for weighted, plain in gaps)
-
-
 def lasso_cv(
-    train: DataFrame,
-    folds: int = 3,
-    penalties: int = 100,
-    span: float = 1e-3,
-    fold_column: str = "",
-) -> CrossValidator:
-    """Lasso with the penalty picked by k-fold validation on a log grid below the largest.
+    folds: int = 3, penalties: int = 100, span: float = 1e-3, fold_column: str = ""
+) -> LassoCV:
+    """Lasso with the penalty picked by k-fold validation on a log grid below the largest, all
+    folds and penalties from one pass over the rows.
 
-    Folds are random unless a column of the training rows holds them.
+    A row's fold is a hash of its key unless a column of the training rows holds it.
     """
-    top = largest_penalty(train)
-    steps = max(penalties - 1, 1)
-    grid = [top * span ** (i / steps) for i in range(penalties)]
-    model = lasso()
-    return CrossValidator(
-        estimator=model,
-        estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, grid).build(),
-        evaluator=RegressionEvaluator(labelCol=LABEL, metricName="mse"),
-        numFolds=folds,
-        foldCol=fold_column,
-        seed=0,
-        parallelism=4,
-    )
+    return LassoCV(folds, penalties, span, fold_column)
 
 
 def forest(trees: int = 50, depth: int = 10) -> RandomForestRegressor:
@@ -137,6 +110,23 @@ def gradient_linear(
     return _linear(alpha * std, 0.0, solver="l-bfgs", tol=1e-6, maxIter=iterations)
 
 
+def extra_trees(trees: int = 30, depth: int = 10, seed: int = 0) -> ExtraTrees:
+    return ExtraTrees(trees, depth, seed)
+
+
+def stochastic_gradient(alpha: float = 0.001, epochs: int = 60, seed: int = 0) -> StochasticGradient:
+    return StochasticGradient(alpha, epochs, seed=seed)
+
+
+def support_vector(cost: float = 1.0, epsilon: float = 0.1) -> SupportVector:
+    return SupportVector(cost, epsilon)
+
+
+def sparse_least_squares(alpha: float = 0.0) -> SparseLeastSquares:
+    """Least squares, or ridge, for vectors too wide for ``least_squares``."""
+    return SparseLeastSquares(alpha)
+
+
 def univariate_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """Slope and intercept of the least-squares line through all rows."""
     return df.agg(
@@ -155,7 +145,7 @@ def fit_predict(
     """
     model = estimator.fit(train)
     known = F.col(FEATURES).isNotNull()
-    width = getattr(model, "bestModel", model).numFeatures
+    width = model.numFeatures
     stand_in = array_to_vector(F.array_repeat(F.lit(0.0), width))
     filled = test.withColumn("_given", F.col(FEATURES)).withColumn(
         FEATURES, F.when(known, F.col(FEATURES)).otherwise(stand_in)
@@ -176,35 +166,39 @@ def with_folds(df: DataFrame, folds: int, share: float, key: str = KEY) -> DataF
     return every.where(held_out(F.col(key), F.col("fold"), share))
 
 
+def _plain(estimator: Estimator) -> bool:
+    """Whether an estimator is least squares without a penalty, which sums of products give."""
+    return isinstance(estimator, LinearRegression) and not estimator.getRegParam()
+
+
 def cross_validate(
     df: DataFrame,
     estimator: Estimator,
     folds: int = 5,
     share: float = 0.15,
     parallelism: int = 4,
-    keep: bool = True,
 ) -> DataFrame:
-    """Hold-out size and RMSE of every fold. ``keep=False`` if the rows are already kept."""
+    """Hold-out size and RMSE of every fold.
+
+    Least squares take one pass over the rows for all folds. Other models are fitted fold by fold,
+    several at a time, on rows that are written once, so a lost executor costs a read.
+    """
+    if _plain(estimator):
+        return cross_validate_sums(df, folds, share)
     spark = df.sparkSession
-    rows = df.select(KEY, LABEL, FEATURES)
-    if keep:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = stage(df.select(KEY, LABEL, FEATURES), "validated-rows")
 
     def predictions(fold: int) -> DataFrame:
         out = held_out(F.col(KEY), F.lit(fold), share)
         scored = estimator.copy().fit(rows.where(~out)).transform(rows.where(out))
         return scored.select(F.lit(fold).alias("fold"), LABEL, "prediction")
 
-    try:
-        scores = (
-            union_all(side_by_side(spark, predictions, range(folds), parallelism))
-            .groupBy("fold")
-            .agg(F.count("*").alias("n"), rmse(F.col(LABEL), F.col("prediction")).alias("rmse"))
-            .collect()
-        )
-    finally:
-        if keep:
-            rows.unpersist()
+    scores = (
+        union_all(side_by_side(spark, predictions, range(folds), parallelism))
+        .groupBy("fold")
+        .agg(F.count("*").alias("n"), rmse(F.col(LABEL), F.col("prediction")).alias("rmse"))
+        .collect()
+    )
     return spark.createDataFrame(sorted(scores), "fold int, n bigint, rmse double")
 
 
@@ -266,29 +260,31 @@ def forward_selection(
     folds: int = 3,
     share: float = 0.2,
     parallelism: int = 4,
+    least_steps: int = 1,
 ) -> DataFrame:
-    """Add the feature that lowers the mean RMSE most, until no feature lowers it.
+    """Add the feature that lowers the mean RMSE most, until no feature lowers it, but for
+    ``least_steps`` steps at least.
 
-    Rows are kept once for all candidates and folds.
+    Least squares read the rows once for all steps, candidates and folds. Other models are fitted
+    for each of them, on rows that are written once.
     """
     spark = df.sparkSession
-    rows = df.select(KEY, LABEL, *candidates).persist(StorageLevel.MEMORY_AND_DISK)
+    if _plain(estimator()):
+        return select_forward(assemble(df, candidates), candidates, folds, share, least_steps)
+    rows = stage(df.select(KEY, LABEL, *candidates), "selection-rows")
     chosen: list[str] = []
     history: list[tuple[int, str, float]] = []
 
     def score(name: str) -> tuple[float, str]:
         frame = assemble(rows, [*chosen, name], FEATURES)
-        scores = cross_validate(frame, estimator(), folds, share, parallelism=1, keep=False)
+        scores = cross_validate(frame, estimator(), folds, share, parallelism=1)
         return mean_score(scores).first()["mean_rmse"], name
 
-    try:
-        while len(chosen) < len(candidates):
-            left = [name for name in candidates if name not in chosen]
-            best, name = min(side_by_side(spark, score, left, parallelism))
-            if history and best >= history[-1][2]:
-                break
-            chosen.append(name)
-            history.append((len(chosen), name, best))
-    finally:
-        rows.unpersist()
+    while len(chosen) < len(candidates):
+        left = [name for name in candidates if name not in chosen]
+        best, name = min(side_by_side(spark, score, left, parallelism))
+        if len(history) >= least_steps and best >= history[-1][2]:
+            break
+        chosen.append(name)
+        history.append((len(chosen), name, best))
     return spark.createDataFrame(history, "step int, feature string, mean_rmse double")

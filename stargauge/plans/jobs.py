@@ -5,21 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields
 
-from pyspark.ml.base import Estimator, Model
+from pyspark.ml import PipelineModel
+from pyspark.ml.base import Estimator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stargauge.frames import Split
 from stargauge.operators import benchmarks
 from stargauge.operators.cleaning import clean_splits
-from stargauge.operators.joins import attach_recommendation_ids, combine, union_all
-from stargauge.operators.models import cross_validate, least_squares
+from stargauge.operators.dimensions import category_vocabulary
+from stargauge.operators.joins import (
+    attach_recommendation_ids,
+    combine,
+    join_business,
+    union_all,
+)
+from stargauge.operators.models import cross_validate, least_squares, sparse_least_squares
 from stargauge.operators.subsets import SubsetSources, subset
 from stargauge.plans.dimensions import Dimensions, StagedDimensions
-from stargauge.plans.modelling import ReviewSets, model_frames, train_and_score
+from stargauge.plans.modelling import ReviewSets, model_frames, score, train_and_score
 from stargauge.sources.readers import SPLIT_PREFIXES, read_splits
 from stargauge.sources.staging import stage, stage_all
-from stargauge.sources.writers import save_model, write_benchmark, write_predictions
+from stargauge.sources.writers import (
+    load_model,
+    save_model,
+    saved_models,
+    write_benchmark,
+    write_predictions,
+)
 
 REQUIRED_PREFIXES = {name: SPLIT_PREFIXES[name] for name in ("train", "test")}
 
@@ -74,18 +87,35 @@ def fit_subset(
     name: str = "LinReg",
     features: list[str] | None = None,
     extra: list[str] | None = None,
-) -> tuple[DataFrame, Model]:
-    """Fit on one named subset and predict every row of another; also the fitted model."""
+    categorical: list[str] | None = None,
+    categories: bool = False,
+) -> tuple[DataFrame, PipelineModel]:
+    """Fit on one named subset and predict every row of another; also the model, for raw rows.
+
+    ``categorical`` names text columns such as ``bus_zip_code`` that become one-hot vectors, and
+    ``categories`` adds a vector of the categories most frequent among the test reviews. With
+    either, least squares are fitted on the sparse vectors.
+    """
+    vocabulary = category_words(workspace) if categories else []
+    plain = sparse_least_squares() if categorical or vocabulary else least_squares()
     return train_and_score(
         subset(workspace.subsets, train_subset),
         subset(workspace.subsets, test_subset),
-        estimator or least_squares(),
+        estimator or plain,
         name,
         features,
         extra,
+        categorical,
+        vocabulary,
     )
 
 
+def category_words(workspace: Workspace) -> list[str]:
+    """The vocabulary of the category vectors: at most 450 categories of the test reviews."""
+    reviews = join_business(workspace.test.review, workspace.everything.business, "left")
+    return [row["category"] for row in category_vocabulary(reviews).collect()]
+
+
 def validate_subset(
     workspace: Workspace,
     train_subset: str,
@@ -111,20 +141,36 @@ def predict_subset(
     name: str = "LinReg",
     features: list[str] | None = None,
     extra: list[str] | None = None,
+    categorical: list[str] | None = None,
+    categories: bool = False,
     model_folder: str | None = None,
 ) -> str:
     """Fit on one named subset, predict another, and write the predictions.
 
-    The fitted model is saved if a folder for it is given.
+    The fitted model is saved if a folder for it is given, with its scaling, so that
+    ``score_saved`` needs nothing else.
     """
     scored, model = fit_subset(
-        workspace, train_subset, test_subset, estimator, name, features, extra
-    )
+        workspace, train_subset, test_subset, estimator, name, features, extra,
+        categorical, categories,
+    )
     if model_folder:
         save_model(model, model_folder, name)
     return write_predictions(scored, folder, name, test_subset, submission)
 
 
+def score_saved(
+    workspace: Workspace, model_folder: str, test_subset: str, name: str = "LinReg"
+) -> DataFrame:
+    """Every row of a named subset with ``predictions_<name>`` by the last model of that name
+    that was saved below ``model_folder``."""
+    spark = workspace.test.review.sparkSession
+    paths = saved_models(spark, model_folder, name)
+    if not paths:
+        raise FileNotFoundError(f"no model {name} below {model_folder}")
+    return score(load_model(paths[-1]), subset(workspace.subsets, test_subset), name)
+
+
 def submit_benchmarks(workspace: Workspace, folder: str, submission: str) -> list[str]:
     """Write the predictions of the business, user and combined means."""
     means = benchmarks.all_means(workspace.test.review, workspace.train)
@@ -144,6 +190,8 @@ class Rule:
     features: list[str] | None = None
     extra: list[str] | None = None
     estimator: Estimator | None = None
+    categorical: list[str] | None = None
+    categories: bool = False
 
 
 def predict_all(workspace: Workspace, rules: list[Rule]) -> DataFrame:
@@ -153,7 +201,7 @@ def predict_all(workspace: Workspace, rules: list[Rule]) -> DataFrame:
     found = [
         fit_subset(
             workspace, rule.train_subset, rule.test_subset, rule.estimator, "rule",
-            rule.features, rule.extra,
+            rule.features, rule.extra, rule.categorical, rule.categories,
         )[0].select(key, F.lit(place).alias("place"), F.col("predictions_rule").alias("stars"))
         for place, rule in enumerate(rules)
     ]

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.ml.base import Estimator, Model
+from pyspark.ml import PipelineModel
+from pyspark.ml.base import Estimator, Transformer
+from pyspark.ml.feature import (
+    CountVectorizerModel,
+    OneHotEncoder,
+    SQLTransformer,
+    StringIndexer,
+    VectorAssembler,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +21,7 @@ from stargauge.functions.numeric import map_total
 from stargauge.operators import features as feats
 from stargauge.operators.cleaning import fill_null
 from stargauge.operators.joins import append_unseen_names, join_business, join_user
-from stargauge.operators.models import KEY, LABEL, fit_predict
+from stargauge.operators.models import FEATURES, KEY, LABEL
 from stargauge.plans.dimensions import Dimensions, StagedDimensions
 from stargauge.sources.staging import stage, stage_all
 
@@ -131,31 +139,111 @@ class ReviewSets:
         )
 
 
+def _numbers(df: DataFrame, extra: list[str]) -> DataFrame:
+    flags = [name for name in extra if dict(df.dtypes)[name] == "boolean"]
+    return df.withColumns({name: F.col(name).cast("double") for name in flags})
+
+
 def model_frames(
     train: DataFrame,
     test: DataFrame,
     features: list[str] | None = None,
     extra: list[str] | None = None,
+    places: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Standardised numeric features, and ``extra`` columns as they are, as one vector.
 
     ``extra`` may hold numbers, flags and vectors. Training rows must be complete in all of
     them; test rows that are not have no vector. Moments, fits and folds each read the training
-    rows again, so their columns are staged.
+    rows again, so their columns are staged. With ``places`` the scaled numbers are rounded, so
+    that distances between equal rows are equal to the last digit.
     """
     numeric = features or feats.QUANT_FEATURES
     extra = extra or []
-    flags = [name for name in extra if dict(train.dtypes)[name] == "boolean"]
-    train, test = (
-        df.withColumns({name: F.col(name).cast("double") for name in flags})
-        for df in (train, test)
-    )
+    train, test = (_numbers(df, extra) for df in (train, test))
     rows = stage(train.select(KEY, LABEL, *numeric, *extra), "training-rows")
-    columns = [f"{name}_scaled" for name in numeric] + extra
+    scaled = [f"{name}_scaled" for name in numeric]
     fitted, scored = feats.standardize(rows, [rows, test], numeric)
+    if places is not None:
+        rounded = {name: F.round(name, places) for name in scaled}
+        fitted, scored = fitted.withColumns(rounded), scored.withColumns(rounded)
+    columns = scaled + extra
     return feats.assemble(fitted, columns), feats.assemble(scored, columns, incomplete="null")
 
 
+def _encoding(train: DataFrame, categorical: list[str], vocabulary: list[str]) -> list[Transformer]:
+    """Stages that put a one-hot vector of each text column into ``<name>_vector`` and a binary one
+    of the category list into ``category_vector``. Unknown and missing values are all zeros."""
+    stages: list[Transformer] = []
+    for name in categorical:
+        # One place more than there are labels stands for all other values and has no slot.
+        index = StringIndexer(inputCol=name, outputCol=f"{name}_index", handleInvalid="keep").fit(train)
+        stages.append(index)
+        encoder = OneHotEncoder(inputCol=f"{name}_index", outputCol=f"{name}_vector")
+        stages.append(encoder.fit(index.transform(train.select(name))))
+    if vocabulary:
+        listed = "coalesce(bus_categories, cast(array() AS array<string>)) AS category_words"
+        stages.append(SQLTransformer(statement=f"SELECT *, {listed} FROM __THIS__"))
+        stages.append(
+            CountVectorizerModel.from_vocabulary(
+                vocabulary, inputCol="category_words", outputCol="category_vector"
+            ).setBinary(True)
+        )
+    return stages
+
+
+def scoring_model(
+    train: DataFrame,
+    estimator: Estimator,
+    features: list[str] | None = None,
+    extra: list[str] | None = None,
+    categorical: list[str] | None = None,
+    vocabulary: list[str] | None = None,
+) -> PipelineModel:
+    """A model that scores raw rows: scaling by the training moments, encoding of text columns and
+    of the category list, assembling and the fit, as one pipeline that can be saved.
+
+    Training rows must be complete in their numbers; ``extra`` may hold numbers, flags and vectors
+    that the rows to score have too. Labels of ``categorical`` columns and the vocabulary reach
+    the driver; for columns with very many labels ``features.one_hot`` makes a vector to pass in
+    ``extra``. Wide vectors need an estimator like ``models.sparse_least_squares``.
+    """
+    numeric = feats.QUANT_FEATURES if features is None else features
+    extra, categorical, vocabulary = extra or [], categorical or [], vocabulary or []
+    lists = ["bus_categories"] if vocabulary else []
+    wanted = dict.fromkeys([KEY, LABEL, *numeric, *extra, *categorical, *lists])
+    rows = stage(train.select(*wanted), "training-rows")
+    flags = [name for name in extra if dict(train.dtypes)[name] == "boolean"]
+    made = []
+    if numeric:
+        made += [
+            f"(`{name}` - {mean!r}D) / {deviation!r}D AS `{name}_scaled`"
+            for name, (mean, deviation) in feats.fitted_scaling(rows, numeric).items()
+        ]
+    made += [f"CAST(`{name}` AS DOUBLE) AS `{name}_number`" for name in flags]
+    columns = [f"{name}_scaled" for name in numeric]
+    columns += [f"{name}_number" if name in flags else name for name in extra]
+    columns += [f"{name}_vector" for name in categorical] + ["category_vector"] * bool(vocabulary)
+    stages: list[Transformer] = []
+    if made:
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__"))
+    stages += _encoding(rows, categorical, vocabulary)
+    prepared = PipelineModel(stages).transform(rows)
+    fitted = estimator.fit(feats.assemble(prepared, columns))
+    assembler = VectorAssembler(inputCols=columns, outputCol=FEATURES, handleInvalid="keep")
+    return PipelineModel([*stages, assembler, fitted])
+
+
+def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``predictions_<name>`` by a model of raw rows; a row without a value in one
+    of the features has no prediction. Every row is kept."""
+    assembler = next(part for part in model.stages if isinstance(part, VectorAssembler))
+    scored = model.transform(df)
+    complete = [F.col(column).isNotNull() for column in assembler.getInputCols()]
+    known = F.when(reduce(Column.__and__, complete), F.col("prediction"))
+    return scored.select(*df.columns, known.alias(f"predictions_{name}"))
+
+
 def train_and_score(
     train: DataFrame,
     test: DataFrame,
@@ -163,11 +251,13 @@ def train_and_score(
     name: str,
     features: list[str] | None = None,
     extra: list[str] | None = None,
-) -> tuple[DataFrame, Model]:
-    """Fit on one review set and predict every row of another.
+    categorical: list[str] | None = None,
+    vocabulary: list[str] | None = None,
+) -> tuple[DataFrame, PipelineModel]:
+    """Fit on one review set and predict every row of another; also the model, for raw rows.
 
     A test row without a value in one of the features has a NULL prediction: sets that lack an
     attribute by definition are predicted from ``features`` without it.
     """
-    fitted, scored = model_frames(train, test, features, extra)
-    return fit_predict(fitted, scored, estimator, name)
+    model = scoring_model(train, estimator, features, extra, categorical, vocabulary)
+    return score(model, test, name), model

@@ -77,6 +77,55 @@ def constant(w: Warehouse) -> DataFrame:
     return _shown(ops.constant(w.test.review), "constant")
 
 
+def _shrinkage_sql(users: str, by: str = "") -> str:
+    """Common mean and pull of groups of users from their n, total and squares."""
+    group = f"GROUP BY {by}" if by else ""
+    return f"""
+        SELECT {by + "," if by else ""} level, CASE WHEN spread > 0 THEN within / spread END AS pull
+        FROM (SELECT *, (between / nullif(users - 1, 0) - within) / size AS spread FROM (
+            SELECT {by + "," if by else ""} sum(total) / sum(n) AS level, count(*) AS users,
+                   sum(total * total / n) - sum(total) * sum(total) / sum(n) AS between,
+                   (sum(squares) - sum(total * total / n)) / nullif(sum(n) - count(*), 0) AS within,
+                   (sum(n) - sum(n * n) / sum(n)) / nullif(count(*) - 1, 0) AS size
+            FROM {users} {group}))"""
+
+
+_SUMS = """CAST(count(*) AS DOUBLE) AS n, CAST(sum(rev_stars) AS DOUBLE) AS total,
+           CAST(sum(rev_stars * rev_stars) AS DOUBLE) AS squares"""
+
+
+@query(
+    "b7_weighted_user_mean",
+    f"""WITH users AS (SELECT user_id, {_SUMS} FROM v_train_reviews GROUP BY user_id),
+        parts AS ({_shrinkage_sql("users")})
+        SELECT review_id, round(coalesce(
+            (coalesce(total, 0) + pull * level) / (coalesce(n, 0) + pull), level), 6)
+            AS benchmark_usr_wtd_mean
+        FROM v_test_reviews LEFT JOIN users USING (user_id) CROSS JOIN parts""",
+)
+def weighted_user_mean(w: Warehouse) -> DataFrame:
+    return _shown(ops.weighted_user_mean(w.test.review, w.train), "usr_wtd_mean")
+
+
+@query(
+    "m14_cv_weighted_user_mean",
+    f"""WITH marked AS (
+            SELECT fold, user_id, rev_stars, {held_out("fold", 0.15)} AS held
+            FROM v_train_reviews CROSS JOIN (SELECT unnest([0, 1, 2]) AS fold)),
+        users AS (SELECT fold, user_id, {_SUMS} FROM marked WHERE NOT held
+                  GROUP BY fold, user_id),
+        parts AS ({_shrinkage_sql("users", "fold")})
+        SELECT CAST(fold AS INT) AS fold, count(*) AS n,
+               round(sqrt(avg(pow(rev_stars - coalesce((coalesce(total, 0) + pull * level)
+                   / (coalesce(n, 0) + pull), level), 2))), 6) AS rmse
+        FROM marked LEFT JOIN users USING (fold, user_id) JOIN parts USING (fold)
+        WHERE held GROUP BY fold""",
+)
+def cv_weighted_user_mean(w: Warehouse) -> DataFrame:
+    scores = ops.cross_validate_weighted_user_mean(w.train.review, folds=3, share=0.15)
+    return scores.select("fold", "n", r6("rmse"))
+
+
 def _by_business(w: Warehouse) -> DataFrame:
     return join_business(w.train.review, w.train.business.select("business_id", "bus_stars"))
 

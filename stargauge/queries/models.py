@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stargauge.operators import models as ops
-from stargauge.operators.features import QUANT_FEATURES
+from stargauge.operators.features import QUANT_FEATURES, one_hot
 from stargauge.operators.joins import join_business
+from stargauge.operators.neighbours import nearest_mean
 from stargauge.operators.subsets import subset
 from stargauge.plans.modelling import model_frames, train_and_score
 from stargauge.queries.base_sql import held_out, least_squares
@@ -69,7 +73,7 @@ def elastic_net(w: Warehouse) -> DataFrame:
 @query("m8_lasso_cv")
 def lasso_cv(w: Warehouse) -> DataFrame:
     train, test = _both(w)
-    estimator = ops.lasso_cv(train)
+    estimator = ops.lasso_cv()
     return _shown(ops.fit_predict(train, test, estimator, "LassoCV")[0], "LassoCV")
 
 
@@ -389,6 +393,185 @@ def lasso_cv_one(w: Warehouse) -> DataFrame:
     train, test = model_frames(w.sets.train, w.sets.test, [_ONE])
     digits = F.conv(F.substring(F.md5("review_id"), 1, 8), 16, 10).cast("bigint")
     folded = train.withColumn("fold", (digits % _FOLDS).cast("int"))
-    estimator = ops.lasso_cv(folded, folds=_FOLDS, fold_column="fold")
+    estimator = ops.lasso_cv(folds=_FOLDS, fold_column="fold")
     scored, _ = ops.fit_predict(folded, test, estimator, "One")
     return scored.select("review_id", F.round("predictions_One", 5).alias("prediction"))
+
+
+def _subset_frames(w: Warehouse, **more) -> tuple[DataFrame, DataFrame]:
+    sources = w.subset_sources
+    return model_frames(subset(sources, "all_5_8_train"), subset(sources, "all_1_5_test"), **more)
+
+
+_PLACES = 6
+
+
+def _scaled_sql(rows: str) -> str:
+    scaled = ", ".join(
+        f"round(({name} - m_{i}) / s_{i}, {_PLACES}) AS x_{i}" for i, name in enumerate(QUANT_FEATURES)
+    )
+    return f"SELECT review_id, {scaled}, {{more}} FROM {rows} CROSS JOIN k"
+
+
+def _neighbours_sql(k: int) -> str:
+    """Mean stars of the nearest rows, by all distances. Squares are added in the order of the
+    features."""
+    moments = ", ".join(
+        f"avg({name}) AS m_{i}, stddev_pop({name}) AS s_{i}" for i, name in enumerate(QUANT_FEATURES)
+    )
+    far = " + ".join(
+        f"(te.x_{i} - tr.x_{i}) * (te.x_{i} - tr.x_{i})" for i in range(len(QUANT_FEATURES))
+    )
+    train = f"(SELECT * FROM v_train_set WHERE {_5_8})"
+    test = f"(SELECT * FROM v_test_set WHERE {_1_5})"
+    return f"""
+        WITH k AS (SELECT {moments} FROM {train}),
+        tr AS MATERIALIZED ({_scaled_sql(train).format(more="rev_stars")}),
+        te AS MATERIALIZED ({_scaled_sql(test).format(more="0 AS none")}),
+        near AS (SELECT te.review_id AS review_id, rev_stars, row_number() OVER (
+                     PARTITION BY te.review_id ORDER BY {far}, tr.review_id) AS place
+                 FROM te CROSS JOIN tr)
+        SELECT review_id, round(avg(rev_stars), 6) AS prediction
+        FROM near WHERE place <= {k} GROUP BY review_id"""
+
+
+@query("m12_knn_200", _neighbours_sql(200))
+def neighbours_200(w: Warehouse) -> DataFrame:
+    train, test = _subset_frames(w, places=_PLACES)
+    scored = nearest_mean(train, test, "KNN_200", k=200)
+    return scored.select("review_id", r6("predictions_KNN_200").alias("prediction"))
+
+
+@query(
+    "m6_sparse_users",
+    """SELECT review_id, round(coalesce(mean, (SELECT avg(rev_stars) FROM v_train_set)), 4)
+           AS prediction
+       FROM v_test_set LEFT JOIN (SELECT user_id, avg(rev_stars) AS mean FROM v_train_set
+                                  GROUP BY user_id) USING (user_id)""",
+)
+def sparse_users(w: Warehouse) -> DataFrame:
+    """One-hot vectors of all users: the fit is the mean of each."""
+    train, test = one_hot(w.sets.train, [w.sets.train, w.sets.test], "user_id")
+    train, test = (df.withColumnRenamed("user_id_vector", "features") for df in (train, test))
+    scored, _ = ops.fit_predict(train, test, ops.sparse_least_squares(), "Sparse")
+    return _shown(scored, "Sparse")
+
+
+@query(
+    "m6_zip_and_user_stars",
+    f"""WITH around AS (
+            SELECT bus_zip_code, avg({_ONE}) AS x, avg(rev_stars) AS y FROM v_train_set
+            GROUP BY bus_zip_code),
+        line AS (SELECT sum(({_ONE} - x) * (rev_stars - y)) / sum(pow({_ONE} - x, 2)) AS slope
+                 FROM v_train_set JOIN around USING (bus_zip_code))
+        SELECT review_id, round(y + slope * ({_ONE} - x), 4) AS prediction
+        FROM v_test_set JOIN around USING (bus_zip_code) CROSS JOIN line""",
+)
+def zip_and_stars(w: Warehouse) -> DataFrame:
+    """A slope within zip codes: one number and a one-hot vector, from raw rows."""
+    scored, _ = train_and_score(
+        w.sets.train, w.sets.test, ops.sparse_least_squares(), "Zip", [_ONE],
+        categorical=["bus_zip_code"],
+    )
+    return _shown(scored, "Zip")
+
+
+@query("m11_stochastic_gradient")
+def stochastic_gradient(w: Warehouse) -> DataFrame:
+    train, test = _subset_frames(w)
+    return _shown(ops.fit_predict(train, test, ops.stochastic_gradient(), "SGD")[0], "SGD")
+
+
+@query("m9_extra_trees")
+def extra_trees(w: Warehouse) -> DataFrame:
+    train, test = _subset_frames(w)
+    return _shown(ops.fit_predict(train, test, ops.extra_trees(30), "ExtraTrees")[0], "ExtraTrees")
+
+
+def _drawn_split_sql() -> str:
+    """One split of one tree: a cut per feature, drawn by a hash between its bounds."""
+    cuts = " UNION ALL ".join(
+        f"""SELECT {i} AS k, min({name}) + (max({name}) - min({name}))
+            * (CAST('0x' || substr(md5('0|0|0|{i}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) AS cut
+            FROM seen"""
+        for i, name in enumerate(QUANT_FEATURES)
+    )
+    long = " UNION ALL ".join(
+        f"SELECT {i} AS k, {name} AS x, rev_stars AS y FROM seen"
+        for i, name in enumerate(QUANT_FEATURES)
+    )
+    value = " ".join(f"WHEN {i} THEN {name}" for i, name in enumerate(QUANT_FEATURES))
+    return f"""
+        WITH seen AS (SELECT * FROM v_train_set WHERE {_5_8}),
+        cuts AS ({cuts}), long AS ({long}),
+        sides AS (SELECT k, cut, x > cut AS above, count(*) AS n, sum(y) AS total
+                  FROM long JOIN cuts USING (k) GROUP BY k, cut, x > cut),
+        best AS (SELECT k, cut FROM sides GROUP BY k, cut
+                 ORDER BY round(sum(CAST(total AS DOUBLE) * total / n), 6) DESC, k LIMIT 1),
+        leaves AS (SELECT above, total / n AS value FROM sides JOIN best USING (k, cut))
+        SELECT review_id, round(value, 6) AS prediction
+        FROM (SELECT review_id, CASE best.k {value} END > best.cut AS above
+              FROM v_test_set CROSS JOIN best WHERE {_1_5}) JOIN leaves USING (above)"""
+
+
+@query("m9_extra_tree_one_split", _drawn_split_sql())
+def extra_tree_one_split(w: Warehouse) -> DataFrame:
+    train, test = _subset_frames(w)
+    scored, _ = ops.fit_predict(train, test, ops.extra_trees(1, 1), "Stump")
+    return scored.select("review_id", r6("predictions_Stump").alias("prediction"))
+
+
+@query("m11_support_vector")
+def support_vector(w: Warehouse) -> DataFrame:
+    train, test = _subset_frames(w)
+    scored, _ = ops.fit_predict(train, test, ops.support_vector(0.01, 0.5), "SVR")
+    return scored.select("review_id", F.round("predictions_SVR", 2).alias("prediction"))
+
+
+def _selection_sql(steps: int) -> str:
+    """Greedy choice among all sets of up to ``steps`` features: a fit per set and fold, with the
+    features outside the set left out of it."""
+    names = QUANT_FEATURES
+    sets = [s for n in range(1, steps + 1) for s in combinations(range(len(names)), n)]
+    listed = ", ".join(f"({i}, {[int(k in s) for k in range(len(names))]})" for i, s in enumerate(sets))
+    columns = ", ".join(f"CASE WHEN used[{k + 1}] = 1 THEN {n} ELSE 0 END AS x_{k}" for k, n in enumerate(names))
+    rows = f"""SELECT review_id, rev_stars, used, fold, number, fold * 1000 + number AS fit_number,
+                      NOT ({held_out("fold", 0.2)}) AS fit, {columns}
+               FROM v_train_set CROSS JOIN (SELECT unnest([0, 1, 2]) AS fold)
+               CROSS JOIN (VALUES {listed}) AS s(number, used) WHERE {_5_8}"""
+    fits = least_squares(rows, [f"x_{k}" for k in range(len(names))], "rev_stars", "fit_number")
+    # A feature outside the set is a constant zero, whose slope is undefined: it has none.
+    fits = re.sub(r"covar_pop\((\w+), (\w+)\) / var_pop\(\2\)", r"coalesce(covar_pop(\1, \2) / nullif(var_pop(\2), 0), 0)", fits)
+    chain = [
+        "step_1 AS (SELECT 1 AS step, used, mean_rmse FROM scores WHERE list_sum(used) = 1"
+        " ORDER BY mean_rmse LIMIT 1)"
+    ] + [
+        f"""step_{n} AS (SELECT {n} AS step, s.used, s.mean_rmse FROM scores s, step_{n - 1} p
+            WHERE list_sum(s.used) = {n} AND list_dot_product(s.used, p.used) = {n - 1}
+            ORDER BY s.mean_rmse LIMIT 1)"""
+        for n in range(2, steps + 1)
+    ]
+    named = " ".join(f"WHEN {k + 1} THEN '{n}'" for k, n in enumerate(names))
+    every = " UNION ALL ".join(
+        [f"SELECT 1 AS step, list_position(used, 1) AS place, mean_rmse FROM step_1"]
+        + [
+            f"""SELECT {n} AS step, list_position(list_transform(range(1, {len(names) + 1}),
+                lambda i: a.used[i] - b.used[i]), 1) AS place, a.mean_rmse
+                FROM step_{n} a, step_{n - 1} b"""
+            for n in range(2, steps + 1)
+        ]
+    )
+    return f"""{fits},
+        errors AS (SELECT used, fold, sqrt(avg(pow(rev_stars - predicted, 2))) AS rmse
+                   FROM fitted WHERE NOT fit GROUP BY used, fold),
+        scores AS (SELECT used, avg(rmse) AS mean_rmse FROM errors GROUP BY used),
+        {", ".join(chain)}
+        SELECT CAST(step AS INT) AS step, CASE place {named} END AS feature,
+               round(mean_rmse, 6) AS mean_rmse FROM ({every})"""
+
+
+@query("m17_three_steps", _selection_sql(3))
+def three_steps(w: Warehouse) -> DataFrame:
+    train = subset(w.subset_sources, "all_5_8_train")
+    steps = ops.forward_selection(train, QUANT_FEATURES, least_steps=3)
+    return steps.where("step <= 3").select("step", "feature", r6("mean_rmse"))

@@ -117,6 +117,12 @@ def model_round_trip(w: Warehouse) -> DataFrame:
     return scored.select("review_id", F.round("prediction", 4).alias("prediction"))
 
 
+def _workspace(w: Warehouse) -> jobs.Workspace:
+    return jobs.Workspace(
+        w.train, w.test, w.everything, w.id_lookup, w.dimensions, w.sets, w.subset_sources
+    )
+
+
 _RULES = [
     jobs.Rule("all_5_8_train", "all_1_5_test"),
     jobs.Rule("names_1_train", "names_1_test", features=NAME_NUMBERS),
@@ -137,9 +143,24 @@ _RULES = [
         FROM rest LEFT JOIN first USING (review_id) LEFT JOIN second USING (review_id)""",
 )
 def whole_submission(w: Warehouse) -> DataFrame:
-    work = jobs.Workspace(
-        w.train, w.test, w.everything, w.id_lookup, w.dimensions, w.sets, w.subset_sources
-    )
-    path = jobs.submit_all(work, _RULES, scratch_path(w.spark, "submits"), submission="1")
+    path = jobs.submit_all(_workspace(w), _RULES, scratch_path(w.spark, "submits"), submission="1")
     read = _read(w, path, "review_id string, stars double")
     return read.select("review_id", F.round("stars", 4).alias("stars"))
+
+
+@query(
+    "k6_job_model",
+    _fit_sql(
+        f"(SELECT * FROM v_train_set WHERE {_5_8})", f"(SELECT * FROM v_test_set WHERE {_1_5})"
+    ),
+)
+def job_model(w: Warehouse) -> DataFrame:
+    """The model that a job saved, loaded again to score raw rows."""
+    work = _workspace(w)
+    models = scratch_path(w.spark, "models")
+    jobs.predict_subset(
+        work, "all_5_8_train", "all_1_5_test", scratch_path(w.spark, "submits"), submission="1",
+        model_folder=models,
+    )
+    scored = jobs.score_saved(work, models, "all_1_5_test")
+    return scored.select("review_id", F.round("predictions_LinReg", 4).alias("prediction"))

@@ -6,7 +6,7 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stargauge.functions.numeric import clamp
@@ -80,5 +80,14 @@ def save_model(model: PipelineModel, folder: str, name: str) -> str:
     return path
 
 
+def saved_models(spark: SparkSession, folder: str, name: str) -> list[str]:
+    """Paths of the saved models of a name, the oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.listStatus(path) if files.exists(path) else []
+    paths = [status.getPath().toString() for status in found]
+    return sorted(path for path in paths if path.endswith(f"--{name}"))
+
+
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)

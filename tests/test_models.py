@@ -80,8 +80,10 @@ def test_largest_penalty_empties_the_lasso(rows):
 
 
 def test_lasso_cv_picks_a_small_penalty_for_a_clear_signal(rows):
-    fitted = ops.lasso_cv(rows[0], folds=3, penalties=4).fit(rows[0])
-    assert fitted.bestModel.getRegParam() < ops.largest_penalty(rows[0]) / 50
+    estimator = ops.lasso_cv(folds=3, penalties=4)
+    estimator.fit(rows[0])
+    chosen = estimator.path.penalties[estimator.path.best]
+    assert chosen < ops.largest_penalty(rows[0]) / 50
 
 
 def test_prediction_column_and_tree_models(rows):
