@@ -9,6 +9,9 @@ from stargauge.llm import queries
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {
+    "op11_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op12_cross_tokenizer": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op13_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
     "op1_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
     "op3_chat_formatting": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op4_quality": "doc_id bigint, held_out boolean, score double, predicted int",
