@@ -6,6 +6,7 @@ import ctypes
 import ctypes.util
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,66 @@ def held_out(key: Column, parts: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % parts == remainder, F.lit(False))
 
 
+# Bits of a filter of wanted hashes: two megabytes, whatever there is to be found.
+FILTER_BITS = 1 << 24
+_WORD = 64
+
+
+def wanted_bits(hashes: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """A Bloom filter of the one column of ``hashes`` as one array value, for ``may_hold``.
+
+    It has the same size for any number of hashes; the more there are, the more others pass.
+    """
+    spark = hashes.sparkSession
+    (name,) = hashes.columns
+    places = hashes.select(F.explode(F.array(*_places(F.col(name), bits))).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), _inside(F.col("place")))
+    words = places.groupBy(_word(F.col("place")).alias("id")).agg(F.bit_or(bit).alias("word"))
+    every = spark.range(bits // _WORD).join(words, "id", "left")
+    filled = F.struct("id", F.coalesce("word", F.lit(0).cast("bigint")).alias("word"))
+    dense = every.agg(F.array_sort(F.collect_list(filled)).alias("words"))
+    return dense.select(F.col("words.word")).scalar()
+
+
+def may_hold(wanted: Column, value: Column, bits: int = FILTER_BITS) -> Column:
+    """False only where the hash is none of the wanted ones."""
+
+    def has(place: Column) -> Column:
+        word = F.get(wanted, _word(place).cast("int"))
+        return F.call_function("shiftright", word, _inside(place)).bitwiseAND(1) == 1
+
+    one, two = _places(value, bits)
+    return has(one) & has(two)
+
+
+def _places(value: Column, bits: int) -> tuple[Column, Column]:
+    size = F.lit(bits).cast("bigint")
+    return F.pmod(value, size), F.pmod(F.call_function("shiftrightunsigned", value, F.lit(32)), size)
+
+
+def _word(place: Column) -> Column:
+    return F.call_function("shiftright", place, F.lit(6))
+
+
+def _inside(place: Column) -> Column:
+    return place.bitwiseAND(_WORD - 1).cast("int")
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are no row of ``gone``, a table with the columns that
+    ``keys`` names. A null key is none.
+
+    One form at every size: rows that a filter of the keys rules out are passed on from the scan, and
+    only the others, texts included, are shuffled to be looked up.
+    """
+    wanted = wanted_bits(gone.select(F.xxhash64(*keys).alias("h")))
+    possible = may_hold(wanted, F.xxhash64(*keys.values()))
+    named = gone.select(*(F.col(name).alias(f"_gone_{name}") for name in keys))
+    same = [column == F.col(f"_gone_{name}") for name, column in keys.items()]
+    kept = docs.where(possible).join(named, reduce(Column.__and__, same), "left_anti")
+    return docs.where(~possible).unionByName(kept)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stargauge.operators.sizing import fits_broadcast
+from stargauge.llm.common import may_hold, wanted_bits, without
 from stargauge.sources.staging import stage
 
 # Positions of a window that a seed compares (1) and ignores (0). Any two replaced
@@ -24,32 +26,47 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda word: F.xxhash64(word))
 
 
-def _seeds(df: DataFrame) -> DataFrame:
-    """A row per window and mask of ``tokens``, with its ``place`` and ``seed``.
+def _seeds(df: DataFrame, lengths: list[int], wanted: Column | None = None) -> DataFrame:
+    """A row per window and mask of ``tokens``, with its ``place`` and ``seed``, and one per run of
+    each of the short ``lengths``; only such as ``wanted`` may hold.
 
     Positions are exploded, not tokens. What follows must stay in generated code up to an
     aggregate or a projection without ``tokens``: rows that leave it are copies, and a copy of the
     array for every window of a long text would fill the memory.
     """
-    every = F.sequence(F.lit(0), (F.size("tokens") - SPAN + 1) * len(MASKS) - 1)
-    rows = df.select("*", F.explode(F.when(F.size("tokens") >= SPAN, every)).alias("number"))
-    rows = rows.withColumn("place", F.expr(f"cast(number div {len(MASKS)} AS int)"))
-
-    def key(i: int) -> Column:
-        kept = [at for at in range(SPAN) if MASKS[i][at] == "1"]
-        return F.xxhash64(F.lit(i), *[F.get("tokens", F.col("place") + at) for at in kept])
-
-    which = F.col("number") % len(MASKS)
-    seed = F.when(which == 0, key(0)).when(which == 1, key(1)).otherwise(key(2))
-    return rows.withColumn("seed", seed).drop("number")
-
+    kinds = len(MASKS) + len(lengths)
+    least = min([SPAN, *lengths])
+    every = F.sequence(F.lit(0), (F.size("tokens") - least + 1) * kinds - 1)
+    rows = df.select("*", F.explode(F.when(F.size("tokens") >= least, every)).alias("number"))
+    rows = rows.withColumn("place", F.expr(f"cast(number div {kinds} AS int)"))
+
+    def key(i: int, kept: list[int], size: int) -> Column:
+        inside = F.col("place") + size <= F.size("tokens")
+        return F.when(
+            inside, F.xxhash64(F.lit(i), *[F.get("tokens", F.col("place") + at) for at in kept])
+        )
 
-def _item_seeds(items: DataFrame) -> DataFrame:
-    """Seeds of the items, and which of their words a hit compares: ``compared`` from ``start``."""
+    which = F.col("number") % kinds
+    masks = [[at for at in range(SPAN) if mask[at] == "1"] for mask in MASKS]
+    keys = [key(i, kept, SPAN) for i, kept in enumerate(masks)]
+    # The seed of a short item is all its words.
+    keys += [key(SPAN + size, list(range(size)), size) for size in lengths]
+    seed = keys[-1]
+    for i in reversed(range(kinds - 1)):
+        seed = F.when(which == i, keys[i]).otherwise(seed)
+    rows = rows.withColumn("seed", seed).drop("number").where("seed IS NOT NULL")
+    return rows if wanted is None else rows.where(may_hold(wanted, F.col("seed")))
+
+
+def _item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
+    """Seeds of the items, and which of their words a hit compares: ``compared`` from ``start``.
+    A short item has one, of all its words."""
     size = F.least(F.size("tokens"), F.lit(AROUND))
     last = F.size("tokens") - size
     start = F.greatest(F.lit(0), F.least(F.col("place") - (AROUND - SPAN) // 2, last))
-    return _seeds(items).select(
+    long = _seeds(items.where(F.size("tokens") >= SPAN), [])
+    parts = [long] + [_seeds(items.where(F.size("tokens") == n), [n]) for n in lengths]
+    return reduce(DataFrame.unionByName, parts).select(
         "item_id",
         F.col("tokens").alias("item"),
         F.col("place").alias("item_place"),
@@ -59,14 +76,14 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     )
 
 
-def _equal_around(tokens: Column, item: Column) -> Column:
-    """Words around a hit that are equal place by place, written out so that it stays in
-    generated code."""
-    shift = F.col("place") - F.col("item_place")
+def _equal_around() -> Column:
+    """Words around a hit that are equal place by place. ``near`` are the words of the text from
+    ``first`` on."""
+    shift = F.col("place") - F.col("item_place") - F.col("first")
     total = F.lit(0)
     for i in range(AROUND):
         at = F.col("start") + i
-        equal = (F.lit(i) < F.col("compared")) & (F.get(tokens, shift + at) == F.get(item, at))
+        equal = (F.lit(i) < F.col("compared")) & (F.get("near", shift + at) == F.get("item", at))
         total = total + F.when(equal, 1).otherwise(0)
     return total
 
@@ -84,45 +101,34 @@ def contaminated(
     A window of ``SPAN`` words hits if the words under one mask are equal. Around each hit
     ``AROUND`` words (a shorter item: all its words) are compared place by place, and at least
     ``LEAST_EQUAL`` of them must be equal, so replaced words do not hide a passage. ``equal`` is
-    the best count. Items and documents shorter than
-    ``SPAN`` words have no window and never match; null texts have no words. Null keys are keys
+    the best count. An item shorter than ``SPAN`` words has no window; it is found where all its
+    words stand in a row. Items without words, and null texts, match nothing. Null keys are keys
     like others, repeated rows add nothing. Other columns are not read.
 
-    Seeds of the benchmark are broadcast if they pass a check of their size; documents are then
-    neither shuffled nor joined again. Otherwise the seeds are joined by shuffle without the
-    texts, and only documents with a hit are read once more.
+    One form at every size: a filter of the items' seeds, of fixed size, is probed where the texts
+    are read. Windows that pass carry the words around them, so a hit is verified on the very text
+    it was found in; they meet the seeds in a shuffled join between written tables, which splits a
+    seed that very many texts share. Texts are read once and never shuffled.
     """
     items = benchmark.select(F.col(item_key).alias("item_id"), words(F.col(item_text)).alias("tokens"))
-    items = stage(items.where(F.size("tokens") >= SPAN).distinct(), "benchmark-items")
-    seeds = _item_seeds(items)
+    items = stage(items.where(F.size("tokens") > 0).distinct(), "benchmark-items")
+    short = items.where(F.size("tokens") < SPAN).select(F.size("tokens").alias("n")).distinct()
+    # As many lengths as are shorter than a window.
+    lengths = sorted(row["n"] for row in short.collect())
+    seeds = stage(_item_seeds(items, lengths), "benchmark-seeds")
     read = docs.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("tokens"))
-    windows = _seeds(read)
-    if fits_broadcast(seeds):
-        hits = windows.join(F.broadcast(seeds), "seed")
-    else:
-        found = stage(
-            windows.select("doc_id", "place", "seed")
-            .join(seeds.drop("item"), "seed")
-            .select("doc_id", "item_id", "place", "item_place", "start", "compared")
-            .distinct(),
-            "benchmark-hits",
-        )
-        ids = stage(found.select("doc_id").distinct(), "benchmark-hit-documents")
-        # Each text of a key once, so that rows that repeat it are not joined with each other's hits.
-        hit_docs = read.join(ids, read["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").distinct()
-        item_tokens = items.select("item_id", F.col("tokens").alias("item"))
-        hits = (
-            found.alias("f")
-            .join(hit_docs.alias("d"), F.expr("f.doc_id <=> d.doc_id"))
-            .select("f.*", "d.tokens")
-            .alias("h")
-            .join(item_tokens.alias("i"), F.expr("h.item_id <=> i.item_id"))
-            .select("h.*", "i.item")
-        )
-    equal = _equal_around(F.col("tokens"), F.col("item"))
-    checked = hits.select("doc_id", "item_id", "compared", equal.alias("equal"))
+    first = F.greatest(F.col("place") - AROUND, F.lit(0))
+    passed = _seeds(read, lengths, wanted_bits(seeds.select("seed"))).select(
+        "doc_id", "place", "seed", first.alias("first"),
+        F.slice("tokens", first + 1, F.lit(2 * AROUND)).alias("near"),
+    )
+    hits = stage(passed, "benchmark-windows").join(seeds, "seed")
+    checked = hits.select("doc_id", "item_id", "compared", _equal_around().alias("equal"))
+    enough = F.when(F.col("compared") < SPAN, F.col("compared")).otherwise(
+        F.ceil(F.col("compared") * LEAST_EQUAL)
+    )
     return (
-        checked.where(F.col("equal") >= F.ceil(F.col("compared") * LEAST_EQUAL))
+        checked.where(F.col("equal") >= enough)
         .groupBy("doc_id", "item_id")
         .agg(F.max("equal").alias("equal"), F.max("compared").alias("compared"))
     )
@@ -138,4 +144,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     marked = docs.select(mark(F.col(text)).alias("_leak"), F.col(text).alias("text"))
     leaks = contaminated(marked, benchmark, key="_leak").select(F.col("doc_id").alias("_leak"))
     found = stage(leaks.distinct(), "benchmark-leaks")
-    return docs.join(found, mark(docs[text]) == found["_leak"], "left_anti")
+    return without(docs, found, {"_leak": mark(F.col(text))})

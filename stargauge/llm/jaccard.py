@@ -11,7 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stargauge.llm.common import code_points, distinct_words, slices, small_batches
+from stargauge.llm.common import (
+    code_points,
+    distinct_words,
+    may_hold,
+    slices,
+    small_batches,
+    wanted_bits,
+    without,
+)
 from stargauge.llm.components import components
 from stargauge.sources.staging import stage
 
@@ -35,13 +43,17 @@ _B = np.uint64(0xD6E8FEB86659FD93)
 
 def bands_and_rows(similarity: float, recall: float, max_hashes: int) -> tuple[int, int]:
     """The most rows per band, within ``max_hashes`` in all, at which a pair of the given
-    similarity shares a band with probability ``recall``."""
-    best = (1, 1)
+    similarity shares a band with probability ``recall``; fails if there are none."""
+    best = None
     for rows in range(1, max_hashes + 1):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
         if bands * rows > max_hashes:
             break
         best = (max(1, bands), rows)
+    if not best:
+        raise ValueError(
+            f"{max_hashes} hashes do not find pairs of similarity {similarity} with recall {recall}"
+        )
     return best
 
 
@@ -255,9 +267,8 @@ def _linked(
         features.where("n > 0")
         .groupBy("high", "low", "n")
         .agg(
+            # The row that names the class, and whose text is read again.
             F.min(F.struct("id", "mark")).alias("first"),
-            # The key under which a text of the class is read again: a known one, if there is one.
-            F.min(F.when(F.col("id") != NO_KEY, F.col("id"))).alias("known"),
             F.count("*").alias("docs"),
             F.first("bands").alias("bands"),
         )
@@ -310,22 +321,21 @@ def _linked(
     )
     wanted = stage(
         classes.join(tasks.select("code").distinct(), "code", "left_semi").select(
-            "code", "high", "low", "n", F.coalesce("known", F.lit(NO_KEY)).alias("id")
+            "code", "high", "low", "n", F.xxhash64("first.id", "first.mark").alias("h")
         ),
         "jaccard-wanted",
     )
-    # Rows that share a wanted key are read along; the sets that no task names fall away below.
-    # The keys are a table of their own, whose small size the planner knows.
-    ids = stage(wanted.select("id").distinct(), "jaccard-wanted-keys")
-    texts = keyed.select("id", "text").join(ids, "id", "left_semi")
+    # One form at every size: a filter of the wanted rows is probed in the scan, and texts are
+    # turned into sets where they are read. Sets that no task names fall away in the join below.
+    possible = may_hold(wanted_bits(wanted.select("h")), F.xxhash64("id", "mark"))
     sets = (
-        small_batches(texts)
+        small_batches(keyed.where(possible).select("id", "text"))
         .mapInArrow(_sets, SETS)
         .groupBy("high", "low", "n")
         .agg(F.min("grams").alias("grams"))
     )
     found = stage(
-        tasks.join(wanted.drop("id"), "code")
+        tasks.join(wanted.drop("h"), "code")
         .join(sets, ["high", "low", "n"])
         .select("pivot", "i", "j", "code", "block", "docs", "pivots", "grams")
         .groupBy("pivot", "i", "j")
@@ -406,8 +416,8 @@ def link_documents(
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of linked documents, with all its columns: that of the smallest key,
-    a null key being the smallest. Rows without n-grams all stay. Where several rows have that key,
-    one of them stays. A row goes or stays by its key and text, never with others of its key."""
+    a null key being the smallest. Rows without n-grams all stay. Where several rows have that key and
+    text, that with the least other columns stays. A row goes or stays by its key and text, never with others of its key."""
     features, per_class = _linked(docs, key, text, SIMILARITY, RECALL)
     grouped = per_class.where("docs > 1 OR text_links > 0").select("high", "low", "n", "least")
     found = stage(
@@ -418,23 +428,29 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         ),
         "jaccard-grouped",
     )
-    same = (F.coalesce(docs[key].cast("bigint"), F.lit(NO_KEY)) == F.col("_id")) & (
-        _mark(docs[text]) == F.col("_mark")
+    keys = {
+        "_id": F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)),
+        "_mark": _mark(F.col(text)),
+    }
+    dropped = found.where("NOT first").select("_id", "_mark").distinct()
+    repeated = (
+        found.where("first").groupBy("_id", "_mark").agg(F.count("*").alias("n")).where("n > 1")
     )
-    dropped = stage(
-        found.where("NOT first").select("_id", "_mark").distinct(), "jaccard-dropped"
+    # Of rows that repeat the first key and text, the one with the least other columns stays.
+    decided = dropped.withColumn("several", F.lit(False)).unionByName(
+        repeated.select("_id", "_mark", F.lit(True).alias("several"))
     )
-    kept = docs.join(dropped, same, "left_anti")
-    repeated = stage(
-        found.where("first")
-        .groupBy("_id", "_mark")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .select("_id", "_mark"),
-        "jaccard-repeated",
+    decided = stage(decided, "jaccard-decided")
+    kept = without(docs, decided, keys)
+    others = [F.col(name) for name in docs.columns if name not in (key, text)]
+    marked = docs.where(may_hold(wanted_bits(
+        decided.where("several").select(F.xxhash64("_id", "_mark").alias("h"))
+    ), F.xxhash64(*keys.values()))).withColumns(keys)
+    several = (
+        marked.join(decided.where("several").drop("several"), ["_id", "_mark"], "left_semi")
+        .groupBy(key, text)
+        .agg(F.min(F.struct(F.lit(0).alias("_none"), *others)).alias("_row"))
+        .select(key, text, "_row.*")
+        .select(*docs.columns)
     )
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated, same, "left_anti")
-    several = kept.join(repeated, same, "left_semi")
-    return single.unionByName(several.dropDuplicates([key, text]))
+    return kept.unionByName(several)

@@ -146,3 +146,62 @@ def test_one_of_each_group_stays_where_keys_are_shared(spark):
     texts = [r["text"] for r in kept]
     assert sorted(text[0] for text in texts) == ["a", "b", "c", "d"]
     assert {(r["doc_id"], r["text"][0]) for r in kept} == {(3, "a"), (7, "b"), (None, "c"), (None, "d")}
+
+
+def shuffled_rows(df):
+    """Rows that the shuffles of a frame wrote, by the columns they carried."""
+    df.collect()
+    found = []
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(plan.executedPlan())
+        if "QueryStage" in name:
+            return walk(plan.plan())
+        if name == "Exchange":
+            columns = [c.name() for c in _items(plan.output())]
+            found.append((columns, plan.metrics().apply("shuffleRecordsWritten").value()))
+        for child in _items(plan.children()):
+            walk(child)
+
+    def _items(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_only_possible_hits_shuffle_their_text(spark):
+    rows = [(i, f"a text of its own with the number {i} in it and more words") for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.one_of_each(documents(spark, rows))
+        moved = shuffled_rows(kept)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept.count() == 400
+    with_text = [n for columns, n in moved if "text" in columns]
+    # The twenty copies, and what the filter lets pass by chance.
+    assert with_text and sum(with_text) <= 25
+
+
+def test_of_repeated_rows_the_least_other_columns_stay(spark):
+    text = "some text that stands in the table three times over in all"
+    df = spark.createDataFrame(
+        [(1, text, "b", 2), (1, text, "a", 3), (1, text, "a", 4), (2, "another text", None, 1), (None, text, "z", 0)],
+        "doc_id bigint, text string, source string, n_chars int",
+    )
+    for partitions in (1, 4):
+        rows = jaccard.one_of_each(df.repartition(partitions)).collect()
+        assert sorted(map(tuple, rows), key=str) == [(2, "another text", None, 1), (None, text, "z", 0)]
+    rows = jaccard.one_of_each(df.where("doc_id IS NOT NULL")).collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, text, "a", 3), (2, "another text", None, 1)]
+
+
+@pytest.mark.parametrize("similarity", [0.05, 0.1])
+def test_a_recall_out_of_reach_fails(similarity):
+    with pytest.raises(ValueError, match="recall"):
+        jaccard.bands_and_rows(similarity, 0.9999, jaccard.MAX_HASHES)
