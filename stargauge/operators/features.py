@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stargauge.functions.numeric import map_total
-from stargauge.operators.dimensions import VOCABULARY_SIZE, category_vocabulary
+from stargauge.operators.dimensions import VOCABULARY_SIZE, category_vocabulary, top_k
 from stargauge.operators.joins import users_without_average
 from stargauge.sources.staging import stage
 
@@ -78,6 +78,53 @@ def multi_hot_long(
     return df.select("review_id", F.explode(hot).alias("category"))
 
 
+def review_vocabulary(
+    reviews: DataFrame, business: DataFrame, k: int = VOCABULARY_SIZE
+) -> DataFrame:
+    """The ``k`` categories with the most reviews, as ``category_vocabulary`` of the joined rows.
+
+    Reviews are counted per business first, so each category list is met once per business.
+    """
+    counts = reviews.groupBy("business_id").agg(F.count("*").alias("reviews"))
+    listed = business.select("business_id", F.explode("bus_categories").alias("category"))
+    known = listed.where(F.col("category").isNotNull())
+    per_category = known.join(counts, "business_id").groupBy("category")
+    return top_k(per_category.agg(F.sum("reviews").alias("n")), "n", "category", k)
+
+
+def _listed(vocabulary: list[str]) -> Column:
+    """The words of a category list that the vocabulary has, each once."""
+    return F.array_distinct(F.filter("bus_categories", lambda word: word.isin(vocabulary)))
+
+
+def multi_hot_long_by_business(
+    reviews: DataFrame, business: DataFrame, vocabulary: DataFrame
+) -> DataFrame:
+    """``multi_hot_long`` of reviews (``review_id, business_id``) whose lists are those of
+    ``business``: a list is compared with the vocabulary once per business, not per review."""
+    words = [row["category"] for row in vocabulary.collect()]
+    hot = business.select("business_id", _listed(words).alias("hot"))
+    known = stage(hot.where(F.size("hot") > 0), "business-words")
+    joined = reviews.select("review_id", "business_id").join(known, "business_id")
+    return joined.select("review_id", F.explode("hot").alias("category"))
+
+
+def multi_hot_by_business(
+    reviews: DataFrame, business: DataFrame, vocabulary: DataFrame, output: str = "category_vector"
+) -> tuple[DataFrame, list[str]]:
+    """``multi_hot`` of reviews whose lists are those of ``business``: a vector is built once per
+    business. Every review is kept; one without a business, or without a list, has no words."""
+    words = [row["category"] for row in vocabulary.collect()]
+    model = CountVectorizerModel.from_vocabulary(
+        words, inputCol="_words", outputCol=output
+    ).setBinary(True)
+    lists = F.coalesce("bus_categories", F.array().cast("array<string>")).alias("_words")
+    vectors = model.transform(business.select("business_id", lists)).drop("_words")
+    joined = reviews.join(stage(vectors, "business-vectors"), "business_id", "left")
+    nothing = array_to_vector(F.array_repeat(F.lit(0.0), len(words)))
+    return joined.withColumn(output, F.coalesce(output, nothing)), words
+
+
 def multi_hot(
     df: DataFrame,
     vocabulary_from: DataFrame,

@@ -93,13 +93,16 @@ def attach_user_averages(df: DataFrame, averages: DataFrame) -> DataFrame:
     return df.join(stage(averages, "user-averages"), "user_id", "left")
 
 
-def attach_names(df: DataFrame, names: DataFrame, how: str = "left") -> DataFrame:
-    """Attach name averages; ``outer`` also appends the names that no row carries.
+def attach_names(
+    df: DataFrame, names: DataFrame, how: str = "left", carriers: DataFrame | None = None
+) -> DataFrame:
+    """Attach name averages; ``outer`` also appends the names that no row carries, which are
+    looked for among ``carriers``, a smaller frame with the same names.
 
     ``names`` should be a staged table.
     """
     if how == "outer":
-        return append_unseen_names(df.join(names, "bus_name", "left"), names)
+        return append_unseen_names(df.join(names, "bus_name", "left"), names, carriers)
     return df.join(names, "bus_name", how)
 
 

@@ -104,10 +104,13 @@ def computed_user_averages(w: Warehouse) -> DataFrame:
     return averages.select("user_id", "calc_user_rev_count", r6("calc_user_avg_stars"))
 
 
+A8_SQL = """SELECT business_id, coalesce(total, 0) AS calc_total_checkins
+       FROM v_all_business LEFT JOIN v_checkin USING (business_id)"""
+
+
 @query(
     "a8_total_checkins",
-    """SELECT business_id, coalesce(total, 0) AS calc_total_checkins
-       FROM v_all_business LEFT JOIN v_checkin USING (business_id)""",
+    A8_SQL,
 )
 def total_checkins(w: Warehouse) -> DataFrame:
     everything = w.everything
@@ -127,13 +130,16 @@ def category_average_per_review(w: Warehouse) -> DataFrame:
     return scored.select("review_id", r6("calc_cat_avg"))
 
 
-@query(
-    "a10_sentiment_score",
-    f"""SELECT doc_id AS review_id, CAST(coalesce(sum(score), 0) AS BIGINT) AS score
+A10_SQL = f"""SELECT doc_id AS review_id, CAST(coalesce(sum(score), 0) AS BIGINT) AS score
         FROM (SELECT doc_id, unnest(CASE WHEN len(words) > 0 THEN words ELSE [NULL] END) AS term
               FROM (SELECT doc_id, regexp_split_to_array(text, '{SPACE}') AS words
                     FROM documents))
-        LEFT JOIN v_lexicon USING (term) GROUP BY doc_id""",
+        LEFT JOIN v_lexicon USING (term) GROUP BY doc_id"""
+
+
+@query(
+    "a10_sentiment_score",
+    A10_SQL,
 )
 def sentiment_score(w: Warehouse) -> DataFrame:
     return sentiment_scores(w.review_text, w.lexicon)

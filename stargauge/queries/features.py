@@ -146,9 +146,9 @@ def boolean_flag(w: Warehouse) -> DataFrame:
        JOIN words USING (category)""",
 )
 def multi_hot_long(w: Warehouse) -> DataFrame:
-    master = join_business(w.test.review, w.everything.business, "left")
-    test = join_user(join_business(w.test.review, w.train.business), w.train.user)
-    return ops.multi_hot_long(test, master)
+    vocabulary = ops.review_vocabulary(w.test.review, w.everything.business)
+    known = join_user(w.test.review, w.train.user.select("user_id"))
+    return ops.multi_hot_long_by_business(known, w.train.business, vocabulary)
 
 
 @query(
@@ -164,8 +164,8 @@ def multi_hot_long(w: Warehouse) -> DataFrame:
        LEFT JOIN words USING (category) GROUP BY review_id""",
 )
 def multi_hot_vectors(w: Warehouse) -> DataFrame:
-    master = join_business(w.test.review, w.everything.business, "left")
-    encoded, _ = ops.multi_hot(master, master)
+    vocabulary = ops.review_vocabulary(w.test.review, w.everything.business)
+    encoded, _ = ops.multi_hot_by_business(w.test.review, w.everything.business, vocabulary)
     values = vector_to_array("category_vector")
     ones = F.aggregate(values, F.lit(0.0), lambda acc, value: acc + value)
     return encoded.select(

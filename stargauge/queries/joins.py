@@ -15,6 +15,7 @@ from stargauge.queries.base_sql import SPACE
 from stargauge.queries.columns import r6
 from stargauge.queries.registry import query
 from stargauge.queries.scans import _KEYED_SQL, keyed_reviews
+from stargauge.sources.staging import stage
 from stargauge.sources.warehouse import Warehouse
 
 c = F.col
@@ -147,11 +148,13 @@ def grouped_lookup(w: Warehouse) -> DataFrame:
        ON t.bus_name = n.bus_name""",
 )
 def names_outer(w: Warehouse) -> DataFrame:
-    train = ops.modelling_set(
-        w.train.review, w.train.business, w.train.user, w.everything.checkin
-    )
+    # The reviews are read once: what is looked up again are the businesses they are of.
+    known = ops.join_user(w.train.review, w.train.user.select("user_id"))
+    reviews = stage(known.select("review_id", "business_id"), "known-reviews")
+    business = w.train.business.select("business_id", "bus_name")
+    reviewed = business.join(reviews.select("business_id").distinct(), "business_id", "left_semi")
     shared = w.dimensions.names.where(c("bus_name_counts") > 1)
-    attached = ops.attach_names(train.select("review_id", "bus_name"), shared, "outer")
+    attached = ops.attach_names(ops.join_business(reviews, business), shared, "outer", reviewed)
     return attached.select("review_id", "bus_name_counts", r6("bus_name_avg"))
 
 

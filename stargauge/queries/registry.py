@@ -22,6 +22,7 @@ MODULES = (
     "features",
     "models",
     "sinks",
+    "streams",
 )
 
 

@@ -107,3 +107,52 @@ def test_training_mean_of_equal_labels_is_exact(spark):
     got = models.cross_validate_training_mean(same, 3, 0.2).collect()
     assert len(got) == 3
     assert all(row["rmse"] < 1e-6 for row in got)
+
+
+def shrunk_means(stars):
+    """Users' means drawn to the common one, by the table of mean squares, plainly."""
+    users = {}
+    for user, value in stars:
+        users.setdefault(user, []).append(value)
+    n, m = len(stars), len(users)
+    level = sum(value for _, value in stars) / n
+    between = sum(len(v) * (sum(v) / len(v) - level) ** 2 for v in users.values()) / (m - 1)
+    within = sum((x - sum(v) / len(v)) ** 2 for v in users.values() for x in v) / (n - m)
+    size = (n - sum(len(v) ** 2 for v in users.values()) / n) / (m - 1)
+    spread = (between - within) / size
+    if spread <= 0:
+        return {user: level for user in users}, level
+    pull = within / spread
+    return {u: (sum(v) + pull * level) / (len(v) + pull) for u, v in users.items()}, level
+
+
+STARS = [("a", 5), ("a", 5), ("a", 4), ("b", 1), ("b", 2), ("c", 3), ("d", 5), ("d", 3), ("d", 4), ("d", 5)]
+
+
+def weighted(spark, stars):
+    review = spark.createDataFrame(stars, "user_id string, rev_stars int")
+    asked = [("1", "a", "x"), ("2", "b", "x"), ("3", "c", "x"), ("4", "?", "x"), ("5", None, "x")]
+    rows = spark.createDataFrame(asked, "review_id string, user_id string, business_id string")
+    split = Split(review=review, business=spark.range(0), user=spark.range(0), checkin=spark.range(0))
+    return dict(values(ops.weighted_user_mean(rows, split), "review_id", "benchmark_usr_wtd_mean"))
+
+
+def test_weighted_user_mean(spark):
+    means, level = shrunk_means(STARS)
+    found = weighted(spark, STARS)
+    for key, user in (("1", "a"), ("2", "b"), ("3", "c")):
+        assert abs(found[key] - means[user]) < 1e-12
+    assert abs(found["4"] - level) < 1e-12 and abs(found["5"] - level) < 1e-12
+    # The fewer the reviews, the nearer to the common mean.
+    own = {"a": 14 / 3, "b": 1.5}
+    assert all(abs(means[u] - level) < abs(own[u] - level) for u in own)
+
+
+def test_weighted_user_mean_without_a_difference_between_users(spark):
+    stars = [("a", 1), ("a", 5), ("b", 1), ("b", 5)]
+    assert set(weighted(spark, stars).values()) == {3.0}
+
+
+def test_weighted_user_mean_of_single_reviews(spark):
+    """One review a user: what differs within users cannot be told; all have the common mean."""
+    assert set(weighted(spark, [("a", 1), ("b", 5)]).values()) == {3.0}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from conftest import values
 from stargauge import schemas
 from stargauge.plans import jobs
+from stargauge.operators.subsets import subset
 from stargauge.plans.dimensions import read_dimensions, write_dimensions
+from stargauge.plans.modelling import score
 from stargauge.queries import all_queries
 from stargauge.sources import readers, writers
 
@@ -85,7 +90,7 @@ def test_numbers_with_zip_and_category_vectors(workspace):
     )
     assert scored.count() == test.count()
     assert scored.where("predictions_Ridge IS NULL").count() == 0
-    assert model.numFeatures > len(ops.QUANT_FEATURES) + 1
+    assert model.stages[-1].numFeatures > len(ops.QUANT_FEATURES) + 1
 
 
 def test_validation_and_a_saved_model(spark, workspace, tmp_path):
@@ -96,3 +101,55 @@ def test_validation_and_a_saved_model(spark, workspace, tmp_path):
         model_folder=str(tmp_path / "models"),
     )
     assert len(list((tmp_path / "models").iterdir())) == 1
+
+
+def test_saved_model_scores_raw_rows(spark, workspace, tmp_path):
+    """What a job saved predicts what the job predicted, without anything else of the run."""
+    path = jobs.predict_subset(
+        workspace, "all_5_8_train", "all_1_5_test", str(tmp_path), submission="9",
+        extra=["bus_open"], categorical=["bus_zip_code"], categories=True,
+        model_folder=str(tmp_path / "models"),
+    )
+    written = spark.read.schema("review_id string, stars double").option("header", True).csv(path)
+    scored = jobs.score_saved(workspace, str(tmp_path / "models"), "all_1_5_test")
+    expected, got = values(written), values(scored, "review_id", "predictions_LinReg")
+    assert [key for key, _ in got] == [key for key, _ in expected]
+    for (_, a), (_, b) in zip(got, expected, strict=True):
+        assert a == b or abs(a - b) < 1e-9
+    # A row without a value has no prediction, one of an unseen zip code has one.
+    rows = scored.drop("predictions_LinReg").limit(1)
+    model = writers.load_model(writers.saved_models(spark, str(tmp_path / "models"), "LinReg")[-1])
+    odd = rows.withColumn("bus_zip_code", F.lit("unseen")).withColumn("bus_categories", F.lit(None).cast("array<string>"))
+    assert score(model, odd, "X").first()["predictions_X"] is not None
+    missing = rows.withColumn("bus_stars", F.lit(None).cast("double"))
+    assert score(model, missing, "X").first()["predictions_X"] is None
+
+
+def test_the_last_model_of_a_name_is_loaded(spark, workspace, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        jobs.score_saved(workspace, str(tmp_path), "all_1_5_test")
+    for features in (["bus_stars"], ["user_average_stars"]):
+        jobs.predict_subset(
+            workspace, "all_5_8_train", "all_1_5_test", str(tmp_path / "out"), submission="1",
+            features=features, model_folder=str(tmp_path / "models"),
+        )
+    paths = writers.saved_models(spark, str(tmp_path / "models"), "LinReg")
+    assert len(paths) == 2
+    last = writers.load_model(paths[-1])
+    assert last.stages[1].getInputCols() == ["user_average_stars_scaled"]
+
+
+def test_zip_and_category_vectors_in_a_job(workspace):
+    """Least squares on the sparse vectors against a dense solution of the same columns."""
+    train = subset(workspace.subsets, "all_5_8_train")
+    scored, model = jobs.fit_subset(
+        workspace, "all_5_8_train", "all_5_8_train", categorical=["bus_zip_code"], categories=True
+    )
+    columns = model.stages[-2].getInputCols()
+    assert columns[-2:] == ["bus_zip_code_vector", "category_vector"]
+    rows = model.transform(train).select(vector_to_array("features").alias("x"), "rev_stars", "prediction").collect()
+    x = np.column_stack([np.ones(len(rows)), np.array([row["x"] for row in rows])])
+    y = np.array([row["rev_stars"] for row in rows], float)
+    exact = x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    assert np.abs(exact - [row["prediction"] for row in rows]).max() < 1e-4
+    assert scored.count() == len(rows)
