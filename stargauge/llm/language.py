@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from stargauge.llm.common import (
     Words,
-    bounded_sample,
     code_points,
     distinct_words,
     held_out,
@@ -28,7 +27,6 @@ SMOOTHING = 0.1
 TRAINING_DOCS = 20_000
 ROUNDS = 12
 REFIT_ROUNDS = 6
-MAX_LANGUAGES = 4
 # Cost of one more language, in units of the logarithm of the number of words.
 PENALTY = 2.0
 # Proportions below this are not tried as languages of their own.
@@ -104,14 +102,15 @@ def fit(
         F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")
     )
     rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    whole = [name for name, n in rows.items() if n <= max_docs]
-    sample = labelled.where(F.col("lang").isin(whole)) if whole else None
-    for name in sorted(set(rows) - set(whole)):
-        of_one = labelled.where(F.col("lang") == name)
-        part = bounded_sample(of_one, F.col("key"), rows[name], max_docs)
-        sample = part if sample is None else sample.unionByName(part)
-    if sample is None:
+    if not rows:
         return Model([], np.zeros((1 << GRAM_BITS, 0)))
+    # One scan for all languages: a row is read by the share of its own.
+    share = F.lit(1 << 31)
+    for name, n in sorted(rows.items()):
+        if n > max_docs:
+            share = F.when(F.col("lang") == name, int(max_docs / n * (1 << 31))).otherwise(share)
+    chance = F.pmod(F.xxhash64(F.lit(0), F.col("key")), F.lit(1 << 31))
+    sample = labelled.where(chance < share)
     counted = small_batches(sample.select("lang", "text")).mapInArrow(_count, COUNTS)
     found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows)
@@ -138,14 +137,18 @@ def _mixture(
 def proportions(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the languages selected for each text, and its number of words with letters.
 
-    A word's likelihood is the product over its trigrams. All languages are mixed first; then the
-    first one, two, ... up to ``MAX_LANGUAGES`` by proportion are fitted alone, and the set with
-    the best log-likelihood, less ``PENALTY * log(words + 1)`` for each further language, stays.
+    A word's likelihood is the product over its trigrams; combining marks alone make no word. All
+    languages are mixed first; then the first one, two, ... by proportion are fitted alone, and the
+    set with the best log-likelihood, less ``PENALTY * log(words + 1)`` for each further language,
+    stays. Likelihoods are taken relative to the best language of each word, so no set has a
+    log-likelihood above 0: a text is done when the cost of its next language is more than that
+    leaves to be gained.
     """
     ids, starts = grams(letters_only(words.entries).to_pylist())
     ends = np.append(starts[1:], len(ids))
     per_word = segment_sums(model.log_probability[ids], np.append(starts, len(ids)))
-    with_letters = ends > starts
+    lettered = pc.match_substring_regex(words.entries, r"\p{L}").to_numpy(zero_copy_only=False)
+    with_letters = (ends > starts) & lettered.astype(bool)
     texts = len(words.offsets) - 1
     document = np.repeat(np.arange(texts), np.diff(words.offsets))
     used = with_letters[words.codes]
@@ -161,20 +164,22 @@ def proportions(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]:
     mixed = np.flatnonzero(np.sort(share, axis=1)[:, -2:-1].max(axis=1, initial=0) > LEAST)
     chosen = np.zeros_like(share)
     chosen[np.arange(texts), share.argmax(axis=1)] = 1.0
-    if len(mixed):
+    order = np.argsort(-share, axis=1, kind="stable")
+    value = np.full(texts, -np.inf)
+    for size in range(1, languages + 1):
+        cost = PENALTY * (size - 1) * np.log1p(counts)
+        mixed = mixed[-cost[mixed] > value[mixed]]
+        if not len(mixed):
+            break
         rows = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in mixed])
-        part, part_counts = likelihood[rows], counts[mixed]
-        part_offsets = np.concatenate([[0], np.cumsum(part_counts)])
-        order = np.argsort(-share[mixed], axis=1, kind="stable")
-        value = np.full(len(mixed), -np.inf)
-        for size in range(1, min(MAX_LANGUAGES, languages) + 1):
-            start = np.zeros((len(mixed), languages))
-            np.put_along_axis(start, order[:, :size], 1.0 / size, axis=1)
-            fitted, fit_value = _mixture(part, part_offsets, start, REFIT_ROUNDS)
-            fit_value = fit_value - PENALTY * (size - 1) * np.log1p(part_counts)
-            better = fit_value > value
-            value[better] = fit_value[better]
-            chosen[mixed[better]] = fitted[better]
+        part_offsets = np.concatenate([[0], np.cumsum(counts[mixed])])
+        start = np.zeros((len(mixed), languages))
+        np.put_along_axis(start, order[mixed, :size], 1.0 / size, axis=1)
+        fitted, fit_value = _mixture(likelihood[rows], part_offsets, start, REFIT_ROUNDS)
+        fit_value = fit_value - cost[mixed]
+        better = fit_value > value[mixed]
+        value[mixed[better]] = fit_value[better]
+        chosen[mixed[better]] = fitted[better]
     chosen[counts == 0] = 0.0
     return chosen, counts
 

@@ -86,3 +86,69 @@ def test_sampling_does_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     first, second = (language.fit(df, max_docs=20) for df in (docs, docs.repartition(5)))
     assert np.array_equal(first.log_probability, second.log_probability)
+
+
+def test_marks_alone_are_no_letters(model):
+    texts = pa.array(["́̂ ̈", "é", "́ fox"])
+    names, scores = language.predict_texts(model, texts)
+    assert names[0] == "und" and scores[0] == 0 and names[1] != "und" and names[2] == "en"
+    _, counts = language.proportions(model, distinct_words(texts))
+    assert counts.tolist() == [0, 1, 1]
+
+
+ALPHABETS = ["abc", "def", "ghi", "jkl", "mno", "pqr", "stu"]
+
+
+def word(alphabet, rng, n=6):
+    return "".join(rng.choice(list(alphabet), n))
+
+
+@pytest.fixture(scope="module")
+def seven(spark):
+    rng = np.random.default_rng(0)
+    rows = [
+        (i * 100 + j, " ".join(word(letters, rng) for _ in range(40)), f"l{i}")
+        for i, letters in enumerate(ALPHABETS)
+        for j in range(20)
+    ]
+    return language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+
+
+def plain_selection(model, text):
+    """The penalised choice with every number of languages tried, for one text."""
+    words = distinct_words(pa.array([text]))
+    ids, starts = language.grams(language.letters_only(words.entries).to_pylist())
+    bounds = np.append(starts, len(ids))
+    per_word = np.array([model.log_probability[ids[a:b]].sum(axis=0) for a, b in zip(bounds, bounds[1:])])
+    likelihood = np.exp(np.maximum(per_word - per_word.max(axis=1, keepdims=True), -60))[words.codes]
+    n, languages = likelihood.shape
+
+    def climb(share, rounds):
+        for _ in range(rounds):
+            joint = likelihood * share
+            share = (joint / joint.sum(axis=1, keepdims=True)).sum(axis=0) / n
+        return share, np.log((likelihood * share).sum(axis=1)).sum()
+
+    whole, _ = climb(np.full(languages, 1 / languages), language.ROUNDS)
+    order = np.argsort(-whole, kind="stable")
+    best = None
+    for size in range(1, languages + 1):
+        start = np.zeros(languages)
+        start[order[:size]] = 1 / size
+        share, value = climb(start, language.REFIT_ROUNDS)
+        value -= language.PENALTY * (size - 1) * np.log1p(n)
+        if best is None or value > best[0]:
+            best = value, share
+    return best[1]
+
+
+def test_any_number_of_languages(seven):
+    rng = np.random.default_rng(9)
+    texts = [
+        " ".join(word(ALPHABETS[i], rng) for i in range(used) for _ in range(30))
+        for used in (1, 2, 5, 7)
+    ]
+    share, _ = language.proportions(seven, distinct_words(pa.array(texts)))
+    assert (share > 0).sum(axis=1).tolist() == [1, 2, 5, 7]
+    for row, text in zip(share, texts, strict=True):
+        assert row == pytest.approx(plain_selection(seven, text), abs=1e-6)
