@@ -21,6 +21,7 @@ from stargauge.llm.common import (
     slices,
     small_batches,
 )
+from stargauge.sources.staging import stage
 
 CHUNK = 2048
 DICTIONARY_BYTES = 64 * 1024
@@ -126,16 +127,19 @@ def fit(
 ) -> Model | None:
     """Dictionaries and calibration from at most about ``docs_per_class`` documents of each label.
 
-    One half of them, by a hash, gives the dictionaries (at most about ``CHUNKS_PER_CLASS`` pieces
+    One half of them, by a hash and at every size, gives the dictionaries (at most about ``CHUNKS_PER_CLASS`` pieces
     of lines a class reach the driver), the other half the calibration, of which the driver sees
     ``CELLS ** 2`` cells of counts. None if a label has no document.
     """
-    sample = labelled_sample(docs, labels, label, eligible, docs_per_class, key, text)
+    # Bounded, and read several times.
+    sample = stage(
+        labelled_sample(docs, labels, label, eligible, docs_per_class, key, text), "quality-sample"
+    )
     pieces: dict[int, list[str]] = {}
-    # On small inputs every document teaches both.
-    whole = sample.groupBy("label").count().collect()
-    small = min((r["count"] for r in whole), default=0) < 200
-    teach = sample if small else sample.where("half = 0")
+    parts = {(r["label"], r["half"]) for r in sample.groupBy("label", "half").count().collect()}
+    # Only where a half has no document of a label does every document teach both.
+    whole = len(parts) < 4
+    teach = sample if whole else sample.where("half = 0")
     for value in (0, 1):
         own = _chunks(teach).where(F.col("label") == value)
         n = own.count()
@@ -156,7 +160,7 @@ def fit(
                 names=["label", "x", "y", "difference", "share"],
             )
 
-    check = sample if small else sample.where("half = 1")
+    check = sample if whole else sample.where("half = 1")
     measured = small_batches(check.select("text", "label")).mapInArrow(
         cells, "label int, x int, y int, difference double, share double"
     )
