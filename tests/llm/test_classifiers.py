@@ -7,6 +7,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from helpers import documents, no_documents
@@ -147,3 +148,49 @@ def test_quality_of_awkward_rows(spark, quality_model):
     by_key = {r["doc_id"]: r["score"] for r in rows}
     assert by_key[2] == by_key[3] and by_key[1] == by_key[5]
     assert quality.score(no_documents(spark), quality_model).count() == 0
+
+
+def measured_plainly(good, bad, text):
+    """Sizes of whole equal chunks with either dictionary, one compressor for each chunk."""
+    data = (text or "").encode()
+    if not data:
+        return 0.0, quality.MIXED_SHARE
+    chunks = -(-len(data) // quality.CHUNK)
+    size = -(-len(data) // chunks)
+    total = []
+    for dictionary in (good, bad):
+        known = zstandard.ZstdCompressionDict(dictionary)
+        made = [
+            zstandard.ZstdCompressor(
+                level=quality.LEVEL, dict_data=known, write_content_size=False, write_dict_id=False
+            ).compress(data[at : at + size])
+            for at in range(0, len(data), size)
+        ]
+        total.append(sum(map(len, made)) - quality.FRAME * len(made))
+    neutral = quality.MIXED_BYTES * quality.MIXED_SHARE
+    difference = (total[1] - total[0]) / (max(total) + neutral)
+    return difference, (min(total) + neutral) / (len(data) + quality.MIXED_BYTES)
+
+
+def test_quality_scores_by_definition(spark, quality_model):
+    texts = [clean_text(1, 400), noise(3), "short", "", None, "é" * 5000, clean_text(2, 3000) + noise(4)]
+    rows = quality.score(documents(spark, list(enumerate(texts))), quality_model).orderBy("doc_id").collect()
+    for row, text in zip(rows, texts, strict=True):
+        difference, share = measured_plainly(quality_model.good, quality_model.bad, text)
+        d, s = min(max(10 * difference, -5), 5), np.log(min(max(share, 1e-3), 2))
+        inputs = np.array([d, s, d * s, s * s, np.tanh(d), 1.0])
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-inputs @ quality_model.weights)), abs=0.01)
+
+
+def test_one_half_teaches_and_the_other_calibrates_at_every_size(spark, monkeypatch):
+    """What the dictionaries were taught is never measured for the calibration."""
+    taught, measured = [], []
+    monkeypatch.setattr(quality, "_dictionary", lambda pieces: taught.append(pieces) or b"some bytes " * 9)
+    docs, labels = tables(spark, noise)
+    seen = quality.stage
+    monkeypatch.setattr(quality, "stage", lambda df, label: measured.append(seen(df, label)) or measured[-1])
+    quality.fit(docs, labels, always())
+    halves = {r["text"]: r["half"] for r in measured[0].collect()}
+    pieces = {piece for part in taught for piece in part}
+    assert all(halves[text] == 0 for text in halves if any(piece in text for piece in pieces))
+    assert 0.3 < sum(halves.values()) / len(halves) < 0.7
