@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pytest
+import sentencepiece
 
 import corpus_pipeline as pipeline
 from helpers import documents, no_documents
+from stargauge.llm import language, toxicity
+from stargauge.llm.queries import tokenizer_path
+from test_decontaminate import brute_force
 from test_jaccard import grams
+from test_language import plain_selection
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -47,18 +55,74 @@ def test_near_duplicates_leave_one_of_each(stages):
             assert not any(linked(own, rows[k]) for k in kept if k != key)
 
 
-def test_decontamination_takes_effect(spark, stages):
-    from stargauge.llm.decontaminate import contaminated
-
+def texts_and_gone(before, after):
+    kept = {r["doc_id"] for r in after.collect()}
+    texts = {r["doc_id"]: r["text"] for r in before.collect()}
+    return texts, set(texts) - kept
+
+
+def test_language_decides_text_by_text(stages):
+    before, after = stages["language"]
+    texts, gone = texts_and_gone(before, after)
+    model = language.fit(language.training_rows(before))
+    for key, text in texts.items():
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert key in gone
+            continue
+        share = plain_selection(model, text)
+        # A share at the limit may fall on either side of it by rounding.
+        if abs(share.max() - 0.35) > 1e-6:
+            assert (share.max() < 0.35) == (key in gone)
+
+
+def test_toxicity_decides_text_by_text(spark, stages):
+    """Tokens judged one by one; the two worst of a text make its score."""
+    before, after = stages["toxicity"]
+    texts, gone = texts_and_gone(before, after)
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = toxicity.fit(before, labels, toxicity.teaching())
+
+    def judged(token):
+        parts = toxicity.windows(token)
+        return max(toxicity.token_margins(model.weights, model.bias, [part])[0] for part in parts)
+
+    known = {}
+    for key, text in texts.items():
+        tokens = [re.sub(r"[\W\d_]+", "", word) for word in (text or "").lower().split()]
+        values = [known.setdefault(t, judged(t)) if t not in known else known[t] for t in tokens if len(t) >= 3]
+        run = []
+        for token in [*tokens, "end"]:
+            if len(token) == 1:
+                run.append(token)
+                continue
+            if len(run) >= toxicity.SPELLED:
+                values.append(judged("".join(run)))
+            run = []
+        two = sorted([max(v, toxicity.NOTHING) for v in values], reverse=True)[:2]
+        two += [toxicity.NOTHING] * (2 - len(two))
+        inputs = np.array([*np.clip(two, toxicity.NOTHING, toxicity.SPREAD), *np.maximum(two, 0), 1.0])
+        value = 1 / (1 + np.exp(-inputs @ model.calibration))
+        if abs(value - 0.5) > 1e-3:
+            assert (value >= 0.5) == (key in gone)
+
+
+def test_decontamination_equals_brute_force(spark, stages):
     before, after = stages["decontamination"]
-    benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
-    gone = {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in after.collect()}
-    assert gone == {r["doc_id"] for r in contaminated(before, benchmark).collect()}
+    texts, gone = texts_and_gone(before, after)
+    items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
+    # All removed texts, and those short enough to compare every window in Python.
+    compared = [(k, t) for k, t in texts.items() if k in gone or len(t or "") < 700]
+    assert len(compared) > len(gone) + 10
+    assert gone == {key for key, _ in brute_force(compared, items)}
 
 
-def test_pieces_cover_what_is_left(stages):
+def test_pieces_are_those_of_the_library(stages):
     before, after = stages["pieces"]
-    assert after.count() == before.count() and after.where("NOT round_trip").count() == 0
+    texts, gone = texts_and_gone(before, after)
+    assert not gone and after.where("NOT round_trip").count() == 0
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    for row in after.collect():
+        assert list(row["ids"]) == library.encode(texts[row["doc_id"]] or "")
 
 
 def test_run_equals_the_stages(spark, stages):
