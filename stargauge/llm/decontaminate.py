@@ -34,11 +34,9 @@ def _seeds(df: DataFrame, lengths: list[int], wanted: Column | None = None) -> D
     aggregate or a projection without ``tokens``: rows that leave it are copies, and a copy of the
     array for every window of a long text would fill the memory.
     """
-    kinds = len(MASKS) + len(lengths)
     least = min([SPAN, *lengths])
-    every = F.sequence(F.lit(0), (F.size("tokens") - least + 1) * kinds - 1)
-    rows = df.select("*", F.explode(F.when(F.size("tokens") >= least, every)).alias("number"))
-    rows = rows.withColumn("place", F.expr(f"cast(number div {kinds} AS int)"))
+    places = F.sequence(F.lit(0), F.size("tokens") - least)
+    rows = df.select("*", F.explode(F.when(F.size("tokens") >= least, places)).alias("place"))
 
     def key(i: int, kept: list[int], size: int) -> Column:
         inside = F.col("place") + size <= F.size("tokens")
@@ -46,15 +44,12 @@ def _seeds(df: DataFrame, lengths: list[int], wanted: Column | None = None) -> D
             inside, F.xxhash64(F.lit(i), *[F.get("tokens", F.col("place") + at) for at in kept])
         )
 
-    which = F.col("number") % kinds
     masks = [[at for at in range(SPAN) if mask[at] == "1"] for mask in MASKS]
     keys = [key(i, kept, SPAN) for i, kept in enumerate(masks)]
     # The seed of a short item is all its words.
     keys += [key(SPAN + size, list(range(size)), size) for size in lengths]
-    seed = keys[-1]
-    for i in reversed(range(kinds - 1)):
-        seed = F.when(which == i, keys[i]).otherwise(seed)
-    rows = rows.withColumn("seed", seed).drop("number").where("seed IS NOT NULL")
+    # Exploded, a seed is computed once, however often what follows looks at it.
+    rows = rows.select("*", F.explode(F.array(*keys)).alias("seed")).where("seed IS NOT NULL")
     return rows if wanted is None else rows.where(may_hold(wanted, F.col("seed")))
 
 
