@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stargauge.operators import features as feats
 from stargauge.operators import models as ops
+from stargauge.operators import gradient_fits, neighbours
 from stargauge.operators.folded import fold_of, fold_sums, sweep
 from stargauge.operators.neighbours import grow, nearest_mean
 from stargauge.operators.trees import drawn
@@ -212,6 +213,31 @@ def test_support_vector_proves_its_gap(spark, rows_per_shard):
         assert value(weights + 0.05 * noise.normal(size=4)) >= best * (1 - 1e-3)
 
 
+def test_support_vector_takes_as_many_passes_for_more_rows(spark):
+    """Rounds of dual ascent grow with the shards: 40 of them took more than 10 rounds each."""
+    x, y = table(n=4000)
+    taken = []
+    for n in (400, 4000):
+        estimator = ops.SupportVector(0.01, 0.5, rows_per_shard=100)
+        estimator.fit(frame(spark, x[:n], y[:n]))
+        assert estimator.gap_left <= 1e-3
+        taken.append(estimator.rounds_taken)
+    assert max(taken) <= 25
+
+
+def test_wide_and_narrow_support_vectors_agree(spark, monkeypatch):
+    x, y = table(n=300)
+    fits = []
+    for width in (0, 512):
+        monkeypatch.setattr(gradient_fits, "NEWTON_WIDTH", width)
+        estimator = ops.SupportVector(0.05, 0.2)
+        model = estimator.fit(frame(spark, x, y))
+        assert estimator.gap_left <= 1e-3
+        fits.append([*model.coefficients, model.intercept])
+    # The gap bounds how far two such fits lie from each other.
+    assert np.allclose(*fits, rtol=0, atol=0.2)
+
+
 def test_support_vector_on_one_feature_by_brute_force(spark):
     x, y = table(n=120)
     df = spark.createDataFrame(
