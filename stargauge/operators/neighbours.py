@@ -2,7 +2,8 @@
 
 The space is cut into cells of bounded size. A test row first looks at its home cell; the distance
 of its k-th neighbour there, or a bound from the sizes of the cells around it, says which other
-cells can hold a nearer row, and only those are visited. The answer is exact.
+cells can hold a nearer row, and only those are visited. They are counted in before rows are sent,
+so that little more than the rows around the k-th distance travels. The answer is exact.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from stargauge.operators.vectors import Rows, entries, width_of
 from stargauge.sources.staging import stage
@@ -29,11 +30,14 @@ CELL_ROWS = 4_096
 MAX_CELLS = 65_536
 # Rows that one round of cuts is chosen from.
 SAMPLE_ROWS = 100_000
-# Test rows whose distances to a cell are computed at once.
-TEST_ROWS = 256
+# Test rows whose distances to a cell are computed at once; few, so that they stay in the cache.
+TEST_ROWS = 32
 # Visits of one cell that a task answers; more are dealt to further tasks.
 CELL_VISITS = 65_536
 ROUNDS = 40
+# Parts of a reach that rows are counted in before any is sent.
+STEPS = 32
+COUNTS = [f"n_{step}" for step in range(STEPS)]
 
 
 @dataclass(frozen=True)
@@ -80,10 +84,12 @@ class Cells:
                 high[node] = np.maximum(high[one], high[two])
         return low, high
 
-    def within(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def within(
+        self, x: np.ndarray, reach: np.ndarray, boxes: tuple[np.ndarray, np.ndarray]
+    ) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of a row of ``x`` and a cell whose box is not farther than the row's reach, by
-        descending the tree with the rows that still reach a node."""
-        low, high = self.boxes()
+        descending the tree with the rows that still reach a node. ``boxes`` are those of the nodes."""
+        low, high = boxes
         rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         pending = [(0, np.arange(len(x)))]
         while pending:
@@ -129,6 +135,16 @@ def distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearly(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances by one product of matrices, less than ``_slack`` from the true ones."""
+    return (x * x).sum(axis=1)[:, None] - 2 * (x @ points.T) + (points * points).sum(axis=1)
+
+
+def _slack(x: np.ndarray, points: np.ndarray) -> float:
+    largest = max(np.abs(x).max(initial=0.0), np.abs(points).max(initial=0.0))
+    return 1e-13 * (1 + x.shape[1]) * float(largest) ** 2
+
+
 # ---- cells --------------------------------------------------------------------------------
 
 
@@ -275,76 +291,133 @@ def grow(rows: DataFrame, width: int, cell_rows: int = CELL_ROWS) -> tuple[Cells
 # ---- search -------------------------------------------------------------------------------
 
 
+def _home_reach(test: pa.Table, train: pa.Table, width: int, k: int) -> pa.Table:
+    """Per test row the distance of its k-th row in its home, or the reach it came with."""
+    schema = pa.schema([("row", pa.int64()), ("reach", pa.float64())])
+    if not test.num_rows:
+        return schema.empty_table()
+    reach = test.column("reach").to_numpy().copy()
+    if train.num_rows >= k:
+        points, asked = (Rows.of(table).dense(width) for table in (train, test))
+        for start in range(0, len(asked), TEST_ROWS):
+            far = distances(asked[start : start + TEST_ROWS], points)
+            kth = np.partition(far, k - 1, axis=1)[:, k - 1]
+            reach[start : start + TEST_ROWS] = np.minimum(reach[start : start + TEST_ROWS], kth)
+    return pa.table([test.column("row"), reach], schema=schema)
+
+
+def _steps(reach: np.ndarray, width: int) -> np.ndarray:
+    """For each reach the squared distances up to which rows are counted, the reach itself last;
+    balls of equal shares of the volume."""
+    shares = (np.arange(1, STEPS + 1) / STEPS) ** (2 / width)
+    return reach[:, None] * shares
+
+
+def _counted(test: pa.Table, train: pa.Table, width: int) -> pa.Table:
+    """How many rows of one cell lie in each step of the reach of the test rows that visit it. Rows
+    closer to the end of a step than rounding may count to the next: ``_bounded`` allows for it."""
+    schema = pa.schema([("row", pa.int64()), *((name, pa.int32()) for name in COUNTS)])
+    if not test.num_rows or not train.num_rows:
+        return schema.empty_table()
+    points, asked = (Rows.of(table).dense(width) for table in (train, test))
+    reach = test.column("reach").to_numpy()
+    steps = _steps(reach, width)
+    counts = np.zeros((len(asked), STEPS), np.int32)
+    slack = _slack(asked, points)
+    for start in range(0, len(asked), TEST_ROWS):
+        far = _nearly(asked[start : start + TEST_ROWS], points)
+        for i, line in enumerate(far, start):
+            near = line[line <= reach[i] + slack]
+            found = np.searchsorted(steps[i], near)
+            counts[i] = np.bincount(np.minimum(found, STEPS - 1), minlength=STEPS)
+    some = np.flatnonzero(counts.any(axis=1))
+    rows = test.column("row").take(pa.array(some))
+    return pa.table([rows, *counts[some].T], schema=schema)
+
+
 def _search(test: pa.Table, train: pa.Table, width: int, k: int) -> pa.Table:
-    """The nearest rows of one cell for the test rows that visit it, at most ``k`` each and none
-    beyond their reach; at equal distances the smaller keys."""
+    """The rows of one cell near the test rows that visit it: those up to ``floor`` as one row with
+    their number and the sum of their labels, at distance -1, and each of those from there to
+    ``reach``, at most ``k``; at equal distances the smaller keys."""
     schema = pa.schema(
         [("row", pa.int64()), ("distance", pa.float64()),
-         ("key", train.schema.field("key").type), ("label", pa.float64())]
+         ("key", train.schema.field("key").type), ("label", pa.float64()), ("n", pa.int64())]
     )
     if not test.num_rows or not train.num_rows:
         return schema.empty_table()
     # In the order of the keys, so that a stable sort leaves ties to the smaller ones.
     train = train.sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
     points, asked = (Rows.of(table).dense(width) for table in (train, test))
-    reach, row = test.column("reach").to_numpy(), test.column("row").to_numpy()
+    labels = train.column("label").to_numpy()
+    reach, floor, row = (test.column(name).to_numpy() for name in ("reach", "floor", "row"))
     owners, places, found = [], [], []
+    sums = np.zeros((len(asked), 2))
+    slack = _slack(asked, points)
     for start in range(0, len(asked), TEST_ROWS):
-        far = distances(asked[start : start + TEST_ROWS], points)
+        far = _nearly(asked[start : start + TEST_ROWS], points)
         for i, line in enumerate(far, start):
-            near = np.flatnonzero(line <= reach[i])
+            # Surely below the floor; what may lie between is measured exactly.
+            below = line <= floor[i] - slack
+            sums[i] = below.sum(), labels[below].sum()
+            near = np.flatnonzero((line <= reach[i] + slack) & ~below)
+            exact = distances(asked[i : i + 1], points[near])[0]
+            near, exact = near[exact <= reach[i]], exact[exact <= reach[i]]
             if len(near) > k:
-                kth = np.partition(line[near], k - 1)[k - 1]
-                near = near[line[near] <= kth]
-                near = near[np.argsort(line[near], kind="stable")[:k]]
+                order = np.argsort(exact, kind="stable")[:k]
+                near, exact = near[order], exact[order]
             owners.append(np.full(len(near), row[i]))
             places.append(near)
-            found.append(line[near])
+            found.append(exact)
     at = pa.array(np.concatenate(places))
-    return pa.table(
+    singly = pa.table(
         [np.concatenate(owners), np.concatenate(found), train.column("key").take(at),
-         train.column("label").take(at)],
+         train.column("label").take(at), np.ones(len(at), np.int64)],
+        schema=schema,
+    )
+    some = np.flatnonzero(sums[:, 0])
+    summed = pa.table(
+        [row[some], np.full(len(some), -1.0), pa.nulls(len(some), schema.field("key").type),
+         sums[some, 1], sums[some, 0].astype(np.int64)],
         schema=schema,
     )
+    return pa.concat_tables([summed, singly])
 
 
 def _visits(test: DataFrame, cells: Cells, width: int, k: int, home: bool) -> DataFrame:
-    """Each test row with the cells it visits and its reach: its home, or all others whose box is
-    within the reach that the home has left it."""
+    """Each test row with the cells it visits: its home, with a bound of its reach, or all whose box
+    is within its reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes = None if home else cells.boxes()
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = Rows.of(batch).dense(width)
-            own = cells.tree.cell_of(x)
             if home:
+                to = cells.tree.cell_of(x)
                 # A home with k rows bounds the reach by itself.
-                small = cells.rows[own] < k
+                small = cells.rows[to] < k
                 reach = np.full(len(x), np.inf)
                 reach[small] = [cells.enough(point, k) for point in x[small]]
-                at, to = np.arange(len(x)), own
+                batch = batch.append_column("reach", pa.array(reach))
             else:
-                reach = batch.column("reach").to_numpy()
-                at, to = cells.within(x, reach)
-                other = to != own[at]
-                at, to = at[other], to[other]
-                reach = reach[at]
-            rows = batch.select(["row", "indices", "values"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(reach), pa.array(to.astype(np.int32))],
-                names=[*rows.schema.names, "reach", "cell"],
-            )
+                at, to = cells.within(x, batch.column("reach").to_numpy(), boxes)
+                batch = batch.take(pa.array(at))
+            yield batch.append_column("cell", pa.array(to.astype(np.int32)))
+
+    more = "reach double, cell int" if home else "cell int"
+    return test.mapInArrow(run, f"{_kinds(test)}, {more}")
 
-    kind = "row bigint, indices array<int>, values array<double>, reach double, cell int"
-    return test.mapInArrow(run, kind)
 
+def _kinds(df: DataFrame) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
 
-def _answered(visits: DataFrame, located: DataFrame, width: int, k: int) -> DataFrame:
-    """What the visited cells hold for each visit. A cell that very many rows visit is answered in
-    several tasks, each with a copy of the cell."""
+
+def _answered(visits: DataFrame, located: DataFrame, answer, kind: str) -> DataFrame:
+    """``answer`` of each visited cell and the rows that visit it. A cell that very many rows visit
+    is answered in several tasks, each with a copy of the cell."""
     spark = visits.sparkSession
-    visits = stage(visits, "neighbour-visits")
+    # Visits are made twice rather than written.
     counts = visits.groupBy("cell").count().where(F.col("count") > CELL_VISITS).collect()
     # One row for each cell at most.
     parts = spark.createDataFrame(
@@ -357,30 +430,65 @@ def _answered(visits: DataFrame, located: DataFrame, width: int, k: int) -> Data
 
     one = F.pmod(F.xxhash64("row"), F.col("parts")).alias("part")
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
-    left = dealt(visits).select("cell", one, "row", "indices", "values", "reach")
+    left = dealt(visits).select(*visits.columns, one)
     right = dealt(located).select("cell", every, "key", "label", "indices", "values")
-    key_type = located.schema["key"].dataType.simpleString()
-
-    def search(test: pa.Table, train: pa.Table) -> pa.Table:
-        return _search(test, train, width, k)
-
     return (
-        left.groupBy("cell", "part")
-        .cogroup(right.groupBy("cell", "part"))
-        .applyInArrow(search, f"row bigint, distance double, key {key_type}, label double")
+        left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(answer, kind)
     )
 
 
-def _nearest_of(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("row").orderBy("distance", "key", "label")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+def _bounded(asked: DataFrame, cells: Cells, located: DataFrame, width: int, k: int) -> DataFrame:
+    """``asked`` with ``reach``, within which lie at least ``k`` rows (or all, if there are fewer)
+    and few more, and ``floor``, within which lie fewer than ``k``.
 
+    The home of a test row gives a first reach. Rows within it are counted by steps of it, over all
+    cells: the step with the k-th row has the two bounds. What travels is a row of counts per visit.
+    """
+    home = _answered(
+        _visits(asked, cells, width, k, True), located,
+        lambda test, train: _home_reach(test, train, width, k), "row bigint, reach double",
+    )
+    reaching = stage(asked.join(home, "row"), "neighbour-reach")
+    visited = _answered(
+        _visits(reaching, cells, width, k, False), located,
+        lambda test, train: _counted(test, train, width),
+        f"row bigint, {', '.join(f'{name} int' for name in COUNTS)}",
+    )
+    boxed = cells.rows > 0
+    wide = _slack(cells.low[boxed], cells.high[boxed])
+    counts = visited.groupBy("row").agg(*(F.sum(name).alias(name) for name in COUNTS))
 
-def nearest(
-    train: DataFrame, test: DataFrame, k: int = 200, cell_rows: int = CELL_ROWS
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            room = 2 * max(_slack(Rows.of(batch).dense(width), np.zeros((0, width))), wide)
+            reach = batch.column("reach").to_numpy()
+            within = np.cumsum([batch.column(name).to_numpy() for name in COUNTS], axis=0).T
+            steps = np.column_stack([np.full(len(reach), -1.0), _steps(reach, width)])
+            # Fewer rows than k in all: each is near.
+            at = np.where(within[:, -1] >= k, (within < k).sum(axis=1), STEPS - 1)
+            lines = np.arange(len(reach))
+            # Counts may be one step off for rows at its very end: both bounds give way to them.
+            high = np.where(np.isinf(reach), np.inf, np.minimum(steps[lines, at + 1] + room, reach))
+            low = np.where(np.isinf(reach), -1.0, steps[lines, at] - room)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(["row", "indices", "values"]).columns, pa.array(high), pa.array(low)],
+                names=["row", "indices", "values", "reach", "floor"],
+            )
+
+    kinds = _kinds(asked)
+    return stage(
+        reaching.join(counts, "row").mapInArrow(bound, f"{kinds}, reach double, floor double"),
+        "neighbour-bounds",
+    )
+
+
+def _found(
+    train: DataFrame, test: DataFrame, k: int, cell_rows: int, each: bool
 ) -> DataFrame:
-    """``row, place, distance, key, label``: the ``k`` training rows nearest to every row of
-    ``test`` (``row`` and a vector), by squared distance, ties to the smaller key.
+    """``row, distance, key, label, n`` of rows that hold the ``k`` nearest of every row of ``test``,
+    no less; without ``each`` most are summed, at distance -1.
 
     Of training rows with equal vectors only the ``k`` with the smallest keys can be among the
     nearest. Only those are kept, which every task does before it shuffles, so a point that holds a
@@ -397,37 +505,30 @@ def nearest(
     kept = stage(kept.select("key", "label", "indices", "values"), "neighbour-points")
     cells, located = grow(kept, width, cell_rows)
     located = stage(located, "neighbour-cells")
-    known = test.where(F.col(FEATURES).isNotNull()).select("row", *entries(FEATURES))
-    asked = stage(known.select("row", "indices", "values"), "neighbour-test")
-
-    home = _answered(_visits(asked, cells, width, k, True), located, width, k)
-    home = stage(home, "neighbours-home")
-    whole = home.groupBy("row").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
-    # A row whose home holds fewer than k keeps the reach that the sizes of the cells give it.
-    bounded = asked.join(whole, "row", "left").withColumn(
-        "reach", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(None).cast("double"))
-    )
-    away = _visits(
-        _with_reach(bounded.select("row", "indices", "values", "reach"), cells, width, k),
-        cells, width, k, False,
+    bounds = _bounded(test.select("row", "indices", "values"), cells, located, width, k)
+    if each:
+        bounds = bounds.withColumn("floor", F.lit(-1.0))
+    key_type = located.schema["key"].dataType.simpleString()
+    return _answered(
+        _visits(bounds, cells, width, k, False), located,
+        lambda test, train: _search(test, train, width, k),
+        f"row bigint, distance double, key {key_type}, label double, n bigint",
     )
-    return _nearest_of(home.unionByName(_answered(away, located, width, k)), k)
 
 
-def _with_reach(rows: DataFrame, cells: Cells, width: int, k: int) -> DataFrame:
-    """Fills in the reach that the sizes of the cells give, where there is none."""
+def _by_distance() -> WindowSpec:
+    return Window.partitionBy("row").orderBy("distance", "key", "label")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reach = batch.column("reach").to_numpy(zero_copy_only=False).copy()
-            open_ = np.flatnonzero(np.isnan(reach))
-            if len(open_):
-                x = Rows.of(batch).dense(width)
-                reach[open_] = [cells.enough(point, k) for point in x[open_]]
-            yield batch.set_column(batch.schema.get_field_index("reach"), "reach", pa.array(reach))
 
-    kind = "row bigint, indices array<int>, values array<double>, reach double"
-    return rows.mapInArrow(run, kind)
+def nearest(
+    train: DataFrame, test: DataFrame, k: int = 200, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """``row, place, distance, key, label``: the ``k`` training rows nearest to every row of
+    ``test`` (``row`` and a vector), by squared distance, ties to the smaller key."""
+    known = test.where(F.col(FEATURES).isNotNull()).select("row", *entries(FEATURES))
+    asked = stage(known.select("row", "indices", "values"), "neighbour-test")
+    found = _found(train, asked, k, cell_rows, True).drop("n")
+    return found.withColumn("place", F.row_number().over(_by_distance())).where(F.col("place") <= k)
 
 
 def nearest_mean(
@@ -438,10 +539,23 @@ def nearest_mean(
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """``test`` with ``predictions_<name>``, the mean label of the ``k`` nearest training rows (of
-    all, if there are fewer). Every row is kept; one without a vector has no prediction."""
-    # A row's number holds once it is written.
-    numbered = stage(test.withColumn("row", F.monotonically_increasing_id()), "neighbour-rows")
-    found = nearest(train, numbered.select("row", FEATURES), k, cell_rows)
+    all, if there are fewer). Every row is kept; one without a vector has no prediction.
+
+    Equal vectors have equal neighbours and are asked for once. Rows that are surely among the
+    nearest are summed per cell, only those around the k-th distance travel one by one.
+    """
+    rows = stage(test, "neighbour-rows")
+    known = rows.where(F.col(FEATURES).isNotNull()).select(*entries(FEATURES))
+    vectors = known.select("indices", "values").distinct()
+    # A vector's number holds once it is written.
+    asked = stage(vectors.withColumn("row", F.monotonically_increasing_id()), "neighbour-test")
+    found = _found(train, asked, k, cell_rows, False)
+    # The summed rows come first; they are fewer than k.
+    before = _by_distance().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = found.withColumn("taken", F.sum("n").over(before)).where(F.col("taken") <= k)
     column = f"predictions_{name}"
-    means = found.groupBy("row").agg(F.avg("label").alias(column))
-    return numbered.join(means, "row", "left").select(*test.columns, column)
+    means = first.groupBy("row").agg((F.sum("label") / F.sum("n")).alias(column))
+    answers = stage(asked.join(means, "row").select("indices", "values", column), "neighbour-means")
+    parts = F.unwrap_udt(FEATURES)
+    same = parts["indices"].eqNullSafe(answers["indices"]) & (parts["values"] == answers["values"])
+    return rows.join(answers, same, "left").select(*(rows[c] for c in test.columns), column)

@@ -379,3 +379,38 @@ def test_wide_vectors_are_not_widened(spark):
     assert width_of(df, "features") == 10**6
     with pytest.raises(ValueError, match="too many"):
         ops.cross_validate(df, ops.least_squares())
+
+
+@pytest.mark.parametrize("k", [20, 100])
+def test_few_rows_travel_to_a_mean(spark, k, monkeypatch):
+    noise = np.random.default_rng(9)
+    x, y = noise.normal(size=(3000, 3)), noise.integers(1, 6, 3000).astype(float)
+    train, test = frame(spark, x, y), frame(spark, x[:200], np.zeros(200))
+    sent, plain = [], neighbours._found
+
+    def counted(*given):
+        found = plain(*given)
+        sent.append(found.count())
+        return found
+
+    monkeypatch.setattr(neighbours, "_found", counted)
+    scored = neighbours.nearest_mean(train, test, "K", k=k, cell_rows=500)
+    keys = [str(i) for i in range(3000)]
+    found = {row["review_id"]: row["predictions_K"] for row in scored.collect()}
+    for i in range(0, 200, 10):
+        assert abs(found[str(i)] - by_all_distances(x, y, keys, x[i], k)) < 1e-12
+    # Every one of the nearest rows would be 200 * k at least.
+    assert sent[0] < 200 * k
+
+
+def test_equal_test_rows_keep_their_own_answer(spark):
+    x = np.random.default_rng(4).normal(size=(300, 3))
+    y = np.arange(300) % 5 + 1.0
+    asked = np.concatenate([x[:5]] * 8)
+    test = frame(spark, asked, np.zeros(40))
+    found = nearest_mean(frame(spark, x, y), test, "K", k=9, cell_rows=40).collect()
+    keys = [str(i) for i in range(300)]
+    assert len(found) == 40
+    for row in found:
+        expected = by_all_distances(x, y, keys, asked[int(row["review_id"])], 9)
+        assert abs(row["predictions_K"] - expected) < 1e-12
