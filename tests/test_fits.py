@@ -214,7 +214,7 @@ def test_support_vector_proves_its_gap(spark, rows_per_shard):
 
 
 def test_support_vector_takes_as_many_passes_for_more_rows(spark):
-    """Rounds of dual ascent grow with the shards: 40 of them took more than 10 rounds each."""
+    """Rounds of dual ascent grow with the shards; Newton steps know none."""
     x, y = table(n=4000)
     taken = []
     for n in (400, 4000):
