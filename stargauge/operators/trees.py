@@ -1,8 +1,9 @@
 """Extremely randomised regression trees, grown level by level.
 
 The cut of a feature in a node is drawn by a hash between the least and the greatest value the node
-has, so no bins or quantiles are needed. One aggregate a level gives, for every drawn cut, the sums of
-both sides and the bounds of all features there, from which the next level's cuts are drawn.
+has, so no bins or quantiles are needed. One aggregate a level gives the sums on both sides of every
+drawn cut, a second one the bounds of all features in the nodes that the best cuts make, from which
+the next level's cuts are drawn.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -41,13 +43,19 @@ class Tree:
     value: np.ndarray
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        leaf = self.feature < 0
+        # A leaf leads to itself.
+        feature = np.where(leaf, 0, self.feature)
+        cut = np.where(leaf, np.inf, self.cut)
+        first = np.where(leaf, np.arange(len(leaf)), self.first)
+        values, begins = x.ravel(), np.arange(len(x)) * x.shape[1]
         node = np.zeros(len(x), np.int64)
         while True:
-            inner = np.flatnonzero(self.feature[node] >= 0)
-            if not len(inner):
+            above = values.take(begins + feature.take(node)) > cut.take(node)
+            after = first.take(node) + above
+            if np.array_equal(after, node):
                 return node
-            at = node[inner]
-            node[inner] = self.first[at] + (x[inner, self.feature[at]] > self.cut[at])
+            node = after
 
 
 class TreesModel(Model):
@@ -76,8 +84,7 @@ class TreesModel(Model):
 
 
 class _Growing:
-    """A tree while it grows: its open nodes are the last level, with the sums and bounds of their
-    rows."""
+    """A tree while it grows: its open nodes are those of the last level that can be cut."""
 
     def __init__(self, number: int) -> None:
         self.number = number
@@ -114,14 +121,57 @@ class _Growing:
 _SIDES = "place bigint, n bigint, total double, squares double, low array<double>, high array<double>"
 
 
+# Bytes of a cell of packed rows, so that a batch of cells stays small, and rows worked on at a time.
+_CELL = 4096
+_ROWS = 10_000
+
+
+def _packed(dataset: DataFrame, width: int) -> DataFrame:
+    """Rows as cells of some dozen feature vectors and their labels. They are read many times, and
+    a vector of its own would cost more on the way to Python than the work on it."""
+    together = max(1, _CELL // (8 * width))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = Rows.of(batch).dense(width)
+            y = batch.column("label").to_numpy(zero_copy_only=False)
+            cells = range(0, len(y), together)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([column[i : i + together].tobytes() for i in cells], pa.binary())
+                    for column in (x, y)
+                ],
+                names=["features", "labels"],
+            )
+
+    columns = [F.col(LABEL).cast("double").alias("label"), *entries(FEATURES)]
+    cells = dataset.select(*columns).mapInArrow(pack, "features binary, labels binary")
+    return stage(cells, "tree-rows")
+
+
+def _unpacked(
+    batches: Iterator[pa.RecordBatch], width: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        x, y = (
+            np.frombuffer(b"".join(batch.column(name).to_pylist()))
+            for name in ("features", "labels")
+        )
+        x = x.reshape(-1, width)
+        for i in range(0, len(y), _ROWS):
+            yield x[i : i + _ROWS], y[i : i + _ROWS]
+
+
 class ExtraTrees(Estimator):
     """The mean of ``trees`` trees of at most ``depth`` levels. In each node one cut per feature is
     drawn, and that with the least squared error is taken, the first feature of equal ones.
 
-    Rows are staged once and read once a level, and once to begin with. Tasks find the node of a row
-    from the trees so far, so nothing is kept per row; they send sums and bounds per open node,
-    feature and side. Cuts come from a hash of seed, tree, node and feature, so a fit repeats for
-    any partitioning.
+    Rows are staged once and read twice a level, and once to begin with: for the sums on both sides
+    of every drawn cut, and for the bounds of the nodes that the best cuts make. Tasks find the node
+    of a row from the trees so far, so nothing is kept per row. Cuts come from a hash of seed, tree,
+    node and feature, so a fit repeats for any partitioning.
     """
 
     def __init__(self, trees: int = 30, depth: int = 10, seed: int = 0) -> None:
@@ -132,88 +182,123 @@ class ExtraTrees(Estimator):
         width = width_of(dataset, FEATURES)
         if not width:
             raise ValueError("no training rows")
-        columns = [F.col(LABEL).cast("double").alias("label"), *entries(FEATURES)]
-        rows = stage(dataset.select(*columns), "tree-rows")
+        rows = _packed(dataset, width)
         growing = [_Growing(t) for t in range(self._trees)]
-        # One place for the root; the trees share it.
-        root = _sides(rows, None, width)[0]
+        # Without cuts yet, the trees share the bounds of all rows.
+        root = _bounds(rows, growing[:1], [[0]], width)[0]
         for tree in growing:
-            tree.offer([(0, *root[1:])], self._seed)
-        for _ in range(self._depth):
+            tree.offer(root, self._seed)
+        for level in range(self._depth):
             wanted = [tree for tree in growing if tree.open]
             if not wanted:
                 break
-            found = {side[0]: side for side in _sides(rows, wanted, width)}
-            start = 0
-            for tree in wanted:
-                places = len(tree.cuts) * width * 2
-                self._grow(tree, found, start, width)
-                start += places
+            found = _sums(rows, wanted, width)
+            children = [_cut(tree, *sums) for tree, sums in zip(wanted, found, strict=True)]
+            if level + 1 < self._depth:
+                for tree, nodes in zip(wanted, _bounds(rows, wanted, children, width), strict=True):
+                    tree.offer(nodes, self._seed)
         return TreesModel([tree.tree() for tree in growing], width)
 
-    def _grow(self, tree: _Growing, found: dict, start: int, width: int) -> None:
-        """Cuts the open nodes at their best cut and offers the children."""
-        children = []
-        for i, place in enumerate(tree.open):
-            best, gain = -1, -np.inf
-            for k in range(width):
-                sides = [found.get(start + (i * width + k) * 2 + side) for side in (0, 1)]
-                if None not in sides:
-                    kept = sum(total * total / n for _, n, total, *_ in sides)
-                    if kept > gain:
-                        best, gain = k, kept
-            tree.feature[place], tree.cut[place] = best, float(tree.cuts[i, best])
-            tree.first[place] = len(tree.feature)
-            for side in (0, 1):
-                children.append((len(tree.feature), *found[start + (i * width + best) * 2 + side][1:]))
-                tree.feature.append(-1)
-                tree.cut.append(0.0)
-                tree.first.append(0)
-                tree.value.append(0.0)
-        tree.offer(children, self._seed)
-
-
-def _sides(rows: DataFrame, growing: list[_Growing] | None, width: int) -> list[tuple]:
-    """Sums and bounds of the rows on each side of every cut, numbered along trees, open nodes,
-    features and sides; without trees, of all rows, as number 0."""
+
+def _cut(tree: _Growing, n: np.ndarray, total: np.ndarray) -> list[int]:
+    """Cuts the open nodes at their best cut, by the rows and labels per open node, feature and side;
+    returns the children."""
+    children = []
+    for i, place in enumerate(tree.open):
+        best, gain = -1, -np.inf
+        for k in range(n.shape[1]):
+            if n[i, k].all():
+                kept = sum(total[i, k, side] * total[i, k, side] / n[i, k, side] for side in (0, 1))
+                if kept > gain:
+                    best, gain = k, kept
+        tree.feature[place], tree.cut[place] = best, float(tree.cuts[i, best])
+        tree.first[place] = len(tree.feature)
+        for side in (0, 1):
+            children.append(len(tree.feature))
+            tree.feature.append(-1)
+            tree.cut.append(0.0)
+            tree.first.append(0)
+            tree.value.append(total[i, best, side] / n[i, best, side])
+    return children
+
+
+def _numbered(growing: list[_Growing], nodes: list[list[int]]) -> list[tuple[Tree, np.ndarray]]:
+    """Each tree with the number of a node among those named, -1 for the others."""
     plans = []
-    total_places = 1 if growing is None else 0
-    for tree in growing or []:
+    for tree, named in zip(growing, nodes, strict=True):
         where = np.full(len(tree.feature), -1)
-        where[tree.open] = np.arange(len(tree.open))
-        plans.append((tree.tree(), where, tree.cuts, total_places))
-        total_places += len(tree.cuts) * width * 2
+        where[named] = np.arange(len(named))
+        plans.append((tree.tree(), where))
+    return plans
+
+
+def _sums(rows: DataFrame, growing: list[_Growing], width: int) -> list[tuple]:
+    """For each tree the rows, and the sum of their labels, per open node, feature and side of the
+    cut."""
+    plans = _numbered(growing, [tree.open for tree in growing])
+    cuts = [tree.cuts for tree in growing]
+    sizes = [drawn_cuts.size * 2 for drawn_cuts in cuts]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, total_places))
-        low, high = np.full((total_places, width), np.inf), np.full((total_places, width), -np.inf)
-
-        def add(place: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-            order = np.argsort(place, kind="stable")
-            place, x, y = place[order], x[order], y[order]
-            starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            at = place[starts]
-            sums[0, at] += np.diff(np.r_[starts, len(place)])
-            sums[1, at] += np.add.reduceat(y, starts)
-            sums[2, at] += np.add.reduceat(y * y, starts)
-            low[at] = np.minimum(low[at], np.minimum.reduceat(x, starts))
-            high[at] = np.maximum(high[at], np.maximum.reduceat(x, starts))
+        sums = np.zeros((2, starts[-1]))
+        features = np.arange(width)
+        for x, y in _unpacked(batches, width):
+            for (tree, where), drawn_cuts, start, size in zip(plans, cuts, starts, sizes, strict=False):
+                node = where[tree.leaf_of(x)]
+                inside = np.flatnonzero(node >= 0)
+                node = node[inside]
+                side = x[inside] > drawn_cuts[node]
+                at = ((node[:, None] * width + features) * 2 + side).ravel()
+                sums[0, start : start + size] += np.bincount(at, minlength=size)
+                labels = np.repeat(y[inside], width)
+                sums[1, start : start + size] += np.bincount(at, labels, size)
+        given = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(given), pa.array(sums[0, given].astype(np.int64)), pa.array(sums[1, given])],
+            names=["place", "n", "total"],
+        )
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = Rows.of(batch).dense(width)
-            y = batch.column("label").to_numpy(zero_copy_only=False)
-            if not plans:
-                add(np.zeros(len(y), np.int64), x, y)
-            for tree, where, cuts, start in plans:
+    parts = rows.mapInArrow(gather, "place bigint, n bigint, total double")
+    merged = parts.groupBy("place").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    # As many rows as the trees have open cuts, whatever the number of rows.
+    sums = np.zeros((2, starts[-1]))
+    for row in merged.collect():
+        sums[:, row["place"]] = row["n"], row["total"]
+    parted = [sums[:, start:end].reshape(2, -1, width, 2) for start, end in pairwise(starts)]
+    return [tuple(part) for part in parted]
+
+
+def _bounds(
+    rows: DataFrame, growing: list[_Growing], nodes: list[list[int]], width: int
+) -> list[list[tuple]]:
+    """For each tree its named nodes as ``place, n, total, squares, low, high``: sums of the labels
+    and bounds of the features of their rows."""
+    plans = _numbered(growing, nodes)
+    starts = np.concatenate([[0], np.cumsum([len(named) for named in nodes])])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, starts[-1]))
+        low = np.full((starts[-1], width), np.inf)
+        high = np.full((starts[-1], width), -np.inf)
+        for x, y in _unpacked(batches, width):
+            for (tree, where), start in zip(plans, starts, strict=False):
                 node = where[tree.leaf_of(x)]
-                open_ = node >= 0
-                if open_.any():
-                    node, inside, labels = node[open_], x[open_], y[open_]
-                    for k in range(width):
-                        side = inside[:, k] > cuts[node, k]
-                        add(start + (node * width + k) * 2 + side, inside, labels)
+                inside = np.flatnonzero(node >= 0)
+                if not len(inside):
+                    continue
+                # Small numbers are sorted by their digits.
+                node = node[inside].astype(np.min_scalar_type(len(where)))
+                order = np.argsort(node, kind="stable")
+                node, inside = node[order], inside[order]
+                begins = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+                at = start + node[begins].astype(np.int64)
+                labels, values = y[inside], x[inside]
+                sums[0, at] += np.diff(np.r_[begins, len(node)])
+                sums[1, at] += np.add.reduceat(labels, begins)
+                sums[2, at] += np.add.reduceat(labels * labels, begins)
+                low[at] = np.minimum(low[at], np.minimum.reduceat(values, begins))
+                high[at] = np.maximum(high[at], np.maximum.reduceat(values, begins))
         given = np.flatnonzero(sums[0])
         kind = pa.list_(pa.float64())
         yield pa.RecordBatch.from_arrays(
@@ -234,8 +319,12 @@ def _sides(rows: DataFrame, growing: list[_Growing] | None, width: int) -> list[
         F.array(*(F.min(F.get("low", F.lit(k))) for k in range(width))).alias("low"),
         F.array(*(F.max(F.get("high", F.lit(k))) for k in range(width))).alias("high"),
     )
-    # As many rows as the trees have open cuts, whatever the number of rows.
-    return [
-        (row["place"], row["n"], row["total"], row["squares"], np.array(row["low"]), np.array(row["high"]))
+    # As many rows as the trees have open nodes, whatever the number of rows.
+    found = {
+        row["place"]: (row["n"], row["total"], row["squares"], np.array(row["low"]), np.array(row["high"]))
         for row in merged.collect()
+    }
+    return [
+        [(place, *found[start + i]) for i, place in enumerate(named)]
+        for named, start in zip(nodes, starts.tolist(), strict=False)
     ]

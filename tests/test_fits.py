@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stargauge.operators import features as feats
 from stargauge.operators import models as ops
-from stargauge.operators import gradient_fits, neighbours
+from stargauge.operators import gradient_fits, neighbours, trees
 from stargauge.operators.folded import fold_of, fold_sums, sweep
 from stargauge.operators.neighbours import grow, nearest_mean
 from stargauge.operators.trees import drawn
@@ -319,6 +319,25 @@ def test_extra_trees_fit_better_with_depth(spark):
     assert errors[1] < errors[0] / 4
 
 
+def spied(seen, run):
+    def spy(rows, *more):
+        seen.append(rows.count())
+        return run(rows, *more)
+
+    return spy
+
+
+def test_extra_trees_read_packed_rows(spark, monkeypatch):
+    """Vectors go to Python once; the passes over the levels read some dozen of them as one cell."""
+    cells = []
+    for name in ("_bounds", "_sums"):
+        monkeypatch.setattr(trees, name, spied(cells, getattr(trees, name)))
+    x, y = table(n=900)
+    ops.extra_trees(2, 3).fit(frame(spark, x, y, partitions=2))
+    assert len(cells) == 6
+    assert max(cells) < 20
+
+
 # ---- nearest neighbours -------------------------------------------------------------------
 
 
