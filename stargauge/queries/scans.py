@@ -62,8 +62,9 @@ def csv_table(w: Warehouse) -> DataFrame:
 
 
 def _write_split(w: Warehouse, split: Split, prefix: str) -> None:
+    # Lines repeat all field names, so packed files are a small part of plain ones.
     for entity in schemas.ENTITIES:
-        getattr(split, entity).write.json(f"{prefix}_{entity}.json")
+        getattr(split, entity).write.json(f"{prefix}_{entity}.json", compression="gzip")
 
 
 _SPLIT_COUNTS = """

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
 
 from conftest import values
 from stargauge import schemas
@@ -9,6 +10,7 @@ from stargauge.operators import models
 from stargauge.operators.features import assemble
 from stargauge.plans.sentiment import score_reviews
 from stargauge.queries import features as feature_queries
+from stargauge.queries import scans as scan_queries
 from stargauge.sources import readers, scratch, writers
 
 
@@ -28,6 +30,17 @@ def test_json_lines_fill_absent_fields(spark, tmp_path):
     assert values(got) == [("b", {"9-5": 2, "10-1": 1}, None), ("c", None, None)]
 
 
+def test_written_splits_are_packed_and_whole(spark, warehouse, tmp_path):
+    scan_queries._write_split(warehouse, warehouse.raw_old_test, f"{tmp_path}/old")
+    files = [path.name for path in tmp_path.glob("*.json/part-*")]
+    assert files and all(name.endswith(".json.gz") for name in files)
+    got = readers.read_split(spark, str(tmp_path), "old")
+    for entity, key in (("review", "review_id"), ("business", "business_id"), ("user", "user_id")):
+        assert values(getattr(got, entity), key) == values(
+            getattr(warehouse.raw_old_test, entity).select(F.col(key).cast("string")), key
+        )
+
+
 def test_csv_rows_keep_the_header_as_a_row(spark, tmp_path):
     path = put(tmp_path, "t.csv", 'category,n\n"Food, Drink",2\n')
     got = values(readers.read_csv_rows(spark, path))
