@@ -208,12 +208,12 @@ def predict_all(workspace: Workspace, rules: list[Rule]) -> DataFrame:
     fallback = benchmarks.business_user_mean(workspace.test.review, workspace.train).select(
         key, F.lit(len(rules)).alias("place"), F.col("benchmark_bus_usr_mean").alias("stars")
     )
-    ranked = union_all([*found, fallback]).where("stars IS NOT NULL")
-    # By columns that a hash aggregate takes: the first place, then its prediction.
-    first = stage(ranked, "ranked-predictions")
-    best = first.groupBy("review_id").agg(F.min("place").alias("place"))
-    chosen = first.join(best, ["review_id", "place"])
-    return chosen.groupBy("review_id").agg(F.min("stars").alias("stars"))
+    known = union_all([*found, fallback]).where("stars IS NOT NULL AND review_id IS NOT NULL")
+    # One column a place, so that one hash aggregate finds the first place with its prediction.
+    by_place = [
+        F.min(F.when(F.col("place") == place, F.col("stars"))) for place in range(len(rules) + 1)
+    ]
+    return known.groupBy("review_id").agg(F.coalesce(*by_place).alias("stars"))
 
 
 def submit_all(workspace: Workspace, rules: list[Rule], folder: str, submission: str) -> str:

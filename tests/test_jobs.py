@@ -153,3 +153,26 @@ def test_zip_and_category_vectors_in_a_job(workspace):
     exact = x @ np.linalg.lstsq(x, y, rcond=None)[0]
     assert np.abs(exact - [row["prediction"] for row in rows]).max() < 1e-4
     assert scored.count() == len(rows)
+
+
+def test_first_rule_with_a_prediction_wins_in_one_pass(spark, warehouse, monkeypatch):
+    reviews = [row[0] for row in warehouse.test.review.select("review_id").limit(3).collect()]
+    made = {
+        "a": [(reviews[0], 2.5), (reviews[0], 2.0), (reviews[1], None)],
+        "b": [(reviews[0], 1.0), (reviews[1], 4.5), (None, 3.0)],
+    }
+    frames = {
+        name: spark.createDataFrame(rows, "review_id string, predictions_rule double")
+        for name, rows in made.items()
+    }
+    staged = []
+    monkeypatch.setattr(jobs, "fit_subset", lambda work, train, *more: (frames[train], None))
+    monkeypatch.setattr(jobs, "stage", lambda df, label: staged.append(label) or df)
+    work = jobs.Workspace(
+        warehouse.train, warehouse.test, warehouse.everything, None, None, None, None
+    )
+    found = jobs.predict_all(work, [jobs.Rule("a", "t"), jobs.Rule("b", "t")])
+    stars = {row["review_id"]: row["stars"] for row in found.collect()}
+    assert stars[reviews[0]] == 2.0 and stars[reviews[1]] == 4.5
+    assert None not in stars and len(stars) == warehouse.test.review.count()
+    assert "ranked-predictions" not in staged
