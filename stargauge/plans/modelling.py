@@ -150,18 +150,21 @@ def model_frames(
     features: list[str] | None = None,
     extra: list[str] | None = None,
     places: int | None = None,
+    keyed: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Standardised numeric features, and ``extra`` columns as they are, as one vector.
 
     ``extra`` may hold numbers, flags and vectors. Training rows must be complete in all of
     them; test rows that are not have no vector. Moments, fits and folds each read the training
     rows again, so their columns are staged. With ``places`` the scaled numbers are rounded, so
-    that distances between equal rows are equal to the last digit.
+    that distances between equal rows are equal to the last digit. ``keyed=False`` leaves the key,
+    the widest of the columns, out of the training rows, for fits that do not read it.
     """
     numeric = features or feats.QUANT_FEATURES
     extra = extra or []
     train, test = (_numbers(df, extra) for df in (train, test))
-    rows = stage(train.select(KEY, LABEL, *numeric, *extra), "training-rows")
+    keys = [KEY] if keyed else []
+    rows = stage(train.select(*keys, LABEL, *numeric, *extra), "training-rows")
     scaled = [f"{name}_scaled" for name in numeric]
     fitted, scored = feats.standardize(rows, [rows, test], numeric)
     if places is not None:

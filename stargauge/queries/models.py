@@ -484,7 +484,7 @@ def stochastic_gradient(w: Warehouse) -> DataFrame:
 
 @query("m9_extra_trees")
 def extra_trees(w: Warehouse) -> DataFrame:
-    train, test = _subset_frames(w)
+    train, test = _subset_frames(w, keyed=False)
     return _shown(ops.fit_predict(train, test, ops.extra_trees(30), "ExtraTrees")[0], "ExtraTrees")
 
 
@@ -516,7 +516,7 @@ def _drawn_split_sql() -> str:
 
 @query("m9_extra_tree_one_split", _drawn_split_sql())
 def extra_tree_one_split(w: Warehouse) -> DataFrame:
-    train, test = _subset_frames(w)
+    train, test = _subset_frames(w, keyed=False)
     scored, _ = ops.fit_predict(train, test, ops.extra_trees(1, 1), "Stump")
     return scored.select("review_id", r6("predictions_Stump").alias("prediction"))
 
