@@ -127,6 +127,11 @@ def sparse_least_squares(alpha: float = 0.0) -> SparseLeastSquares:
     return SparseLeastSquares(alpha)
 
 
+def reads_key(estimator: Estimator) -> bool:
+    """Whether a fit may read the key of its rows, as folds and shards by a hash of it do."""
+    return not isinstance(estimator, LinearRegression | ExtraTrees)
+
+
 def univariate_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """Slope and intercept of the least-squares line through all rows."""
     return df.agg(

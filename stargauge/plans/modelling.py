@@ -21,7 +21,7 @@ from stargauge.functions.numeric import map_total
 from stargauge.operators import features as feats
 from stargauge.operators.cleaning import fill_null
 from stargauge.operators.joins import append_unseen_names, join_business, join_user
-from stargauge.operators.models import FEATURES, KEY, LABEL
+from stargauge.operators.models import FEATURES, KEY, LABEL, reads_key
 from stargauge.plans.dimensions import Dimensions, StagedDimensions
 from stargauge.sources.staging import stage, stage_all
 
@@ -214,7 +214,9 @@ def scoring_model(
     numeric = feats.QUANT_FEATURES if features is None else features
     extra, categorical, vocabulary = extra or [], categorical or [], vocabulary or []
     lists = ["bus_categories"] if vocabulary else []
-    wanted = dict.fromkeys([KEY, LABEL, *numeric, *extra, *categorical, *lists])
+    # The key is the widest column and would be shuffled with every row.
+    keys = [KEY] if reads_key(estimator) else []
+    wanted = dict.fromkeys([*keys, LABEL, *numeric, *extra, *categorical, *lists])
     rows = stage(train.select(*wanted), "training-rows")
     flags = [name for name in extra if dict(train.dtypes)[name] == "boolean"]
     made = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from conftest import values
+from stargauge.operators import models as ops
 from stargauge.operators.features import QUANT_FEATURES
 from stargauge.plans import modelling
 
@@ -29,6 +30,22 @@ def staged(monkeypatch):
     return found
 
 
+@pytest.mark.parametrize("make", [ops.least_squares, lambda: ops.extra_trees(3, 3)])
+def test_a_fit_stages_no_key_it_does_not_read(rows, staged, make):
+    scored, _ = modelling.train_and_score(rows, rows, make(), "X", extra=["bus_open"])
+    assert staged["training-rows"] == ["rev_stars", *QUANT_FEATURES, "bus_open"]
+    train, test = modelling.model_frames(rows, rows, extra=["bus_open"])
+    expected, _ = ops.fit_predict(train, test, make(), "X")
+    rounded = "review_id", "round(predictions_X, 6) AS x"
+    assert values(scored.selectExpr(*rounded)) == values(expected.selectExpr(*rounded))
+
+
+def test_folds_and_shards_keep_the_key(rows, staged):
+    for estimator in (ops.lasso_cv(), ops.stochastic_gradient(epochs=2)):
+        modelling.scoring_model(rows, estimator)
+        assert staged["training-rows"][0] == "review_id"
+
+
 def test_frames_without_a_key_have_the_same_rows(rows, staged):
     keyed, _ = modelling.model_frames(rows, rows)
     assert staged["training-rows"][0] == "review_id"
