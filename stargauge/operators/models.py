@@ -10,12 +10,13 @@ from collections.abc import Callable
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stargauge.concurrent import side_by_side
 from stargauge.functions.numeric import held_out, rmse
+from stargauge.operators.boosting import BoostedTrees
 from stargauge.operators.features import assemble
 from stargauge.operators.folded import (
     LassoCV,
@@ -97,8 +98,8 @@ def forest_classifier(trees: int = 50, depth: int = 10) -> RandomForestClassifie
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=0, **COLUMNS)
 
 
-def boosted_trees(rounds: int = 100, depth: int = 3, rate: float = 0.1) -> GBTRegressor:
-    return GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=0, **COLUMNS)
+def boosted_trees(rounds: int = 100, depth: int = 3, rate: float = 0.1) -> BoostedTrees:
+    return BoostedTrees(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=0, **COLUMNS)
 
 
 def gradient_linear(
