@@ -17,7 +17,15 @@ from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stargauge.operators.vectors import Rows, entries, linear_model, summed, width_of
+from stargauge.operators.vectors import (
+    Rows,
+    entries,
+    linear_model,
+    packed,
+    summed,
+    unpacked,
+    width_of,
+)
 from stargauge.sources.staging import stage
 
 KEY = "review_id"
@@ -266,6 +274,49 @@ class StochasticGradient(Estimator):
 
 # Features whose matrix of products every task can sum.
 NEWTON_WIDTH = 512
+# Rounds of Newton steps, and those in a row without descent, after which planes take over.
+NEWTON_ROUNDS, NEWTON_FAILS = 50, 2
+# Weights tried in one pass: a whole step and its halves.
+_HALVES = 2.0 ** -np.arange(12)[:, None]
+
+
+def _lowest(slopes: np.ndarray, gains: np.ndarray, enough: float) -> tuple[float, np.ndarray]:
+    """The least of ``|w|^2 / 2`` plus the greatest of the planes ``gains - slopes w``, from below,
+    and its weights.
+
+    Steps of an interior point; any mean of the planes gives a bound, that of the best is returned.
+    """
+    planes, size = slopes.shape
+    share = np.full(planes, 1 / planes)
+    w = share @ slopes
+    level = (gains - slopes @ w).max() + 0.01 * max(np.abs(gains).max(), 1.0)
+    room = slopes @ w + level - gains
+    bound, at = -np.inf, w
+    border = np.column_stack([slopes, np.ones(planes)])
+    ridge = np.diag(np.r_[np.ones(size), 0.0])
+    for _ in range(80):
+        mean = share / share.sum()
+        point = mean @ slopes
+        value = gains @ mean - point @ point / 2
+        if value > bound:
+            bound, at = float(value), point
+        if w @ w / 2 + (gains - slopes @ w).max() - bound <= enough:
+            break
+        aim = 0.1 * (share @ room) / planes
+        lack = slopes @ w + level - gains - room
+        weight = share / room
+        pull = (aim - share * room - share * lack) / room
+        rest = np.r_[w - share @ slopes, 1 - share.sum()]
+        step = np.linalg.solve(border.T @ (weight[:, None] * border) + ridge, border.T @ pull - rest)
+        if not np.isfinite(step).all():
+            break
+        more = border @ step + lack
+        moved = (aim - share * room - share * more) / room
+        ratio = max(float((-moved / share).max()), float((-more / room).max()))
+        length = min(1.0, 0.99 / ratio) if ratio > 0 else 1.0
+        w, level = w + length * step[:-1], level + length * step[-1]
+        share, room = share + length * moved, room + length * more
+    return bound, at
 
 
 class SupportVector(Estimator):
@@ -282,7 +333,9 @@ class SupportVector(Estimator):
     Up to ``NEWTON_WIDTH`` features, whose matrix of products is small, take Newton steps on a loss
     with rounded corners instead: a pass sums slopes and curves, nothing is kept per row, and the
     number of passes does not grow with the rows. The corners are sharpened until the gap of the
-    loss as it is, with the multipliers that the slopes are, is small enough.
+    loss as it is, with the multipliers that the slopes are, is small enough. Where sharp corners
+    leave no curve to step by, planes below the loss end the fit: each pass gives one for every
+    weights tried, the lowest point above all of them is tried next, and its value bounds the gap.
     """
 
     def __init__(
@@ -308,8 +361,7 @@ class SupportVector(Estimator):
         return self._fit_wide(dataset)
 
     def _fit_narrow(self, dataset: DataFrame, width: int) -> LinearRegressionModel:
-        columns = [F.col(LABEL).cast("double").alias("label"), *entries(FEATURES)]
-        rows = stage(dataset.select(*columns).drop("size"), "support-rows")
+        rows = packed(dataset, width, FEATURES, LABEL, "support-rows")
         cost, epsilon = self._cost, self._epsilon
         size = width + 1
 
@@ -320,12 +372,8 @@ class SupportVector(Estimator):
             def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 round_loss, ends = np.zeros(len(places)), np.zeros(2)
                 slope, curve = np.zeros(size), np.zeros((size, size))
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    x = Rows.of(batch).dense(size)
-                    x[:, -1] = 1.0
-                    y = batch.column("label").to_numpy(zero_copy_only=False)
+                for x, y in unpacked(batches, width):
+                    x = np.column_stack([x, np.ones(len(y))])
                     lack = y[:, None] - x @ places.T
                     over = np.maximum(np.abs(lack) - epsilon, 0.0)
                     edge = np.minimum(over, corner)
@@ -337,6 +385,28 @@ class SupportVector(Estimator):
                     curve += cost / corner * (bent.T @ bent)
                 yield _part(round_loss, ends, slope, curve.ravel())
 
+            return added(gather)
+
+        def planes(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """For each of some weights the loss, and the plane that touches it there: its value at
+            zero weights and its slopes."""
+
+            def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                losses, touching = np.zeros(len(places)), np.zeros((len(places), size + 1))
+                for x, y in unpacked(batches, width):
+                    x = np.column_stack([x, np.ones(len(y))])
+                    lack = y[:, None] - x @ places.T
+                    over = np.maximum(np.abs(lack) - epsilon, 0.0)
+                    beta = cost * np.sign(lack) * (over > 0)
+                    losses += cost * over.sum(axis=0)
+                    touching[:, 0] += beta.T @ y - epsilon * np.abs(beta).sum(axis=0)
+                    touching[:, 1:] += beta.T @ x
+                yield _part(losses, touching.ravel())
+
+            losses, touching = np.split(added(gather), [len(places)])
+            return losses, touching.reshape(len(places), -1)
+
+        def added(gather) -> np.ndarray:
             parts = rows.mapInArrow(gather, "part array<double>")
             # One short vector per task; longer ones are added up in tasks first.
             if size * size <= 4_096:
@@ -345,8 +415,26 @@ class SupportVector(Estimator):
 
         weights = best = np.zeros(size)
         least, most = np.inf, -np.inf
-        corner, told = 1.0, None
+        corner, told, fails, known = 1.0, None, 0, []
         for number in range(self._rounds):
+            self.rounds_taken = number
+            if number >= NEWTON_ROUNDS or fails >= NEWTON_FAILS:
+                bound, lowest = _lowest(
+                    np.array([plane[1:] for plane in known]),
+                    np.array([plane[0] for plane in known]),
+                    0.01 * self._gap * abs(least),
+                )
+                most = max(most, bound)
+                self.gap_left = (least - most) / max(abs(least), 1e-300)
+                if self.gap_left <= self._gap:
+                    break
+                tried = best + _HALVES * (lowest - best)
+                losses, touching = planes(tried)
+                known += list(touching)
+                values = losses + (tried * tried).sum(axis=1) / 2
+                if values.min() < least:
+                    least, best = float(values.min()), tried[int(np.argmin(values))]
+                continue
             if told is None:
                 told = sums(corner, weights[None, :])
             length = weights @ weights / 2
@@ -356,8 +444,8 @@ class SupportVector(Estimator):
             if primal < least:
                 least, best = primal, weights
             most = max(most, dual)
+            known.append(np.r_[gain, summed_rows])
             self.gap_left = (least - most) / max(abs(least), 1e-300)
-            self.rounds_taken = number
             if self.gap_left <= self._gap:
                 break
             slope = weights - summed_rows
@@ -368,13 +456,15 @@ class SupportVector(Estimator):
                 corner /= 8
                 continue
             # The whole step mostly wins, and its sums are the next round's.
-            tried = weights - 2.0 ** -np.arange(12)[:, None] * step
+            tried = weights - _HALVES * step
             found = sums(corner, tried)
             values = found[: len(tried)] + (tried * tried).sum(axis=1) / 2
             if values.min() >= here:
-                # Rounding hides the descent.
+                # Rounding hides the descent, or next to no row is in a corner.
                 corner /= 8
+                fails += 1
                 continue
+            fails = 0
             weights = tried[int(np.argmin(values))]
             told = found if values.argmin() == 0 else None
         return linear_model(dataset.sparkSession, best[:-1], best[-1], FEATURES, LABEL)

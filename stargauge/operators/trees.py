@@ -20,8 +20,7 @@ from pyspark.ml.base import Estimator, Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stargauge.operators.vectors import Rows, entries, width_of
-from stargauge.sources.staging import stage
+from stargauge.operators.vectors import Rows, entries, packed, unpacked, width_of
 
 LABEL = "rev_stars"
 FEATURES = "features"
@@ -121,49 +120,6 @@ class _Growing:
 _SIDES = "place bigint, n bigint, total double, squares double, low array<double>, high array<double>"
 
 
-# Bytes of a cell of packed rows, so that a batch of cells stays small, and rows worked on at a time.
-_CELL = 4096
-_ROWS = 10_000
-
-
-def _packed(dataset: DataFrame, width: int) -> DataFrame:
-    """Rows as cells of some dozen feature vectors and their labels. They are read many times, and
-    a vector of its own would cost more on the way to Python than the work on it."""
-    together = max(1, _CELL // (8 * width))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = Rows.of(batch).dense(width)
-            y = batch.column("label").to_numpy(zero_copy_only=False)
-            cells = range(0, len(y), together)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([column[i : i + together].tobytes() for i in cells], pa.binary())
-                    for column in (x, y)
-                ],
-                names=["features", "labels"],
-            )
-
-    columns = [F.col(LABEL).cast("double").alias("label"), *entries(FEATURES)]
-    cells = dataset.select(*columns).mapInArrow(pack, "features binary, labels binary")
-    return stage(cells, "tree-rows")
-
-
-def _unpacked(
-    batches: Iterator[pa.RecordBatch], width: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        x, y = (
-            np.frombuffer(b"".join(batch.column(name).to_pylist()))
-            for name in ("features", "labels")
-        )
-        x = x.reshape(-1, width)
-        for i in range(0, len(y), _ROWS):
-            yield x[i : i + _ROWS], y[i : i + _ROWS]
-
-
 class ExtraTrees(Estimator):
     """The mean of ``trees`` trees of at most ``depth`` levels. In each node one cut per feature is
     drawn, and that with the least squared error is taken, the first feature of equal ones.
@@ -182,7 +138,7 @@ class ExtraTrees(Estimator):
         width = width_of(dataset, FEATURES)
         if not width:
             raise ValueError("no training rows")
-        rows = _packed(dataset, width)
+        rows = packed(dataset, width, FEATURES, LABEL, "tree-rows")
         growing = [_Growing(t) for t in range(self._trees)]
         # Without cuts yet, the trees share the bounds of all rows.
         root = _bounds(rows, growing[:1], [[0]], width)[0]
@@ -243,7 +199,7 @@ def _sums(rows: DataFrame, growing: list[_Growing], width: int) -> list[tuple]:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, starts[-1]))
         features = np.arange(width)
-        for x, y in _unpacked(batches, width):
+        for x, y in unpacked(batches, width):
             for (tree, where), drawn_cuts, start, size in zip(plans, cuts, starts, sizes, strict=False):
                 node = where[tree.leaf_of(x)]
                 inside = np.flatnonzero(node >= 0)
@@ -281,7 +237,7 @@ def _bounds(
         sums = np.zeros((3, starts[-1]))
         low = np.full((starts[-1], width), np.inf)
         high = np.full((starts[-1], width), -np.inf)
-        for x, y in _unpacked(batches, width):
+        for x, y in unpacked(batches, width):
             for (tree, where), start in zip(plans, starts, strict=False):
                 node = where[tree.leaf_of(x)]
                 inside = np.flatnonzero(node >= 0)

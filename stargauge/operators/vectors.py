@@ -7,6 +7,7 @@ so a wide sparse vector is never widened.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stargauge.sources.staging import stage
+
+# Bytes of a cell of packed rows, so that a batch of cells stays small, and rows worked on at a time.
+_CELL = 4096
+_ROWS = 10_000
+
 
 def entries(vector: str) -> list[Column]:
     """``size``, ``indices`` and ``values`` of a vector; a dense one has no indices."""
@@ -78,6 +85,45 @@ def width_of(df: DataFrame, vector: str) -> int:
     return first["size"] if first else 0
 
 
+def packed(dataset: DataFrame, width: int, vector: str, label: str, name: str) -> DataFrame:
+    """Rows as cells of some dozen feature vectors and their labels. They are read many times, and
+    a vector of its own would cost more on the way to Python than the work on it."""
+    together = max(1, _CELL // (8 * width))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = Rows.of(batch).dense(width)
+            y = batch.column("label").to_numpy(zero_copy_only=False)
+            cells = range(0, len(y), together)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([column[i : i + together].tobytes() for i in cells], pa.binary())
+                    for column in (x, y)
+                ],
+                names=["features", "labels"],
+            )
+
+    columns = [F.col(label).cast("double").alias("label"), *entries(vector)]
+    cells = dataset.select(*columns).mapInArrow(pack, "features binary, labels binary")
+    return stage(cells, name)
+
+
+def unpacked(
+    batches: Iterator[pa.RecordBatch], width: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of packed rows, some thousand rows at a time."""
+    for batch in batches:
+        x, y = (
+            np.frombuffer(b"".join(batch.column(name).to_pylist()))
+            for name in ("features", "labels")
+        )
+        x = x.reshape(-1, width)
+        for i in range(0, len(y), _ROWS):
+            yield x[i : i + _ROWS], y[i : i + _ROWS]
+
+
 def summed(parts: DataFrame, by: list[str] | None = None, fan_in: int = 64) -> DataFrame:
     """Element-wise sums of the arrays ``part``, per ``by``, in two steps: no task adds up the
     arrays of all tasks. Sums depend on the order in the last digits only."""

@@ -225,6 +225,48 @@ def test_support_vector_takes_as_many_passes_for_more_rows(spark):
     assert max(taken) <= 25
 
 
+def test_support_vector_ends_where_no_row_is_in_a_corner(spark):
+    """Labels that the features say nothing of, and few different rows: sharp corners are empty."""
+    noise = np.random.default_rng(0)
+    x = np.column_stack([noise.integers(0, 3, 1000), noise.integers(0, 9, 1000) / 4, noise.integers(0, 2, 1000)])
+    y = noise.integers(1, 6, 1000).astype(float)
+    estimator = ops.SupportVector(20.0, 0.5)
+    model = estimator.fit(frame(spark, x - 1.0, y))
+    assert estimator.gap_left <= 1e-3 and estimator.rounds_taken <= 30
+    weights = np.r_[model.coefficients.toArray(), model.intercept]
+    full = np.column_stack([x - 1.0, np.ones(1000)])
+
+    def value(w):
+        return w @ w / 2 + 20 * np.maximum(np.abs(y - full @ w) - 0.5, 0).sum()
+
+    for size in (0.02, 0.5):
+        for moved in noise.normal(size=(300, 4)) * size:
+            assert value(weights + moved) >= value(weights) * (1 - 1e-3)
+
+
+def test_the_lowest_point_above_planes(spark):
+    noise = np.random.default_rng(1)
+    slopes, gains = noise.normal(size=(30, 2)), noise.normal(size=30)
+    bound, at = gradient_fits._lowest(slopes, gains, 1e-9)
+    grid = np.stack(np.meshgrid(*[np.linspace(-3, 3, 601)] * 2), -1).reshape(-1, 2)
+    values = (grid**2).sum(axis=1) / 2 + (gains - grid @ slopes.T).max(axis=1)
+    assert bound <= values.min() <= bound + 0.02
+    assert np.abs(at - grid[values.argmin()]).max() < 0.05
+
+
+def test_support_vector_reads_packed_rows(spark, monkeypatch):
+    seen, pack = [], gradient_fits.packed
+
+    def spy(*given):
+        seen.append(pack(*given))
+        return seen[-1]
+
+    monkeypatch.setattr(gradient_fits, "packed", spy)
+    x, y = table(n=900)
+    ops.SupportVector(0.05, 0.2).fit(frame(spark, x, y, partitions=2))
+    assert seen[0].count() < 20
+
+
 def test_wide_and_narrow_support_vectors_agree(spark, monkeypatch):
     x, y = table(n=300)
     fits = []
