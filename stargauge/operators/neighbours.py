@@ -3,7 +3,8 @@
 The space is cut into cells of bounded size. A test row first looks at its home cell; the distance
 of its k-th neighbour there, or a bound from the sizes of the cells around it, says which other
 cells can hold a nearer row, and only those are visited. They are counted in before rows are sent,
-so that little more than the rows around the k-th distance travels. The answer is exact.
+so that little more than the rows around the k-th distance travels. Cells side by side make a region,
+to which a test row travels once, and which answers once for all its cells. The answer is exact.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
-from stargauge.operators.vectors import Rows, entries, width_of
+from stargauge.operators.vectors import Rows, as_bytes, entries, width_of
 from stargauge.sources.staging import stage
 
 KEY = "review_id"
@@ -32,11 +33,16 @@ MAX_CELLS = 65_536
 SAMPLE_ROWS = 100_000
 # Test rows whose distances to a cell are computed at once; few, so that they stay in the cache.
 TEST_ROWS = 32
-# Visits of one cell that a task answers; more are dealt to further tasks.
-CELL_VISITS = 65_536
+# Regions that the rows should make at least, and rows of a region at most, as a task holds one.
+REGIONS = 64
+REGION_ROWS = 131_072
+# Visits of one region that a task answers; more are dealt to further tasks.
+REGION_VISITS = 262_144
 ROUNDS = 40
-# Parts of a reach that rows are counted in before any is sent.
+# Parts of a reach that rows are counted in before any is sent, and how often: each time within the
+# part that the last one found.
 STEPS = 32
+COUNTINGS = 2
 COUNTS = [f"n_{step}" for step in range(STEPS)]
 
 
@@ -84,25 +90,47 @@ class Cells:
                 high[node] = np.maximum(high[one], high[two])
         return low, high
 
+    def regions(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each node the number of the region it is the top of, else -1, and for each cell its
+        region. A region is all that lies below a node, if that is not too many rows, or a cell."""
+        below, above = self.tree.below, self.tree.above
+        leaf = self.tree.axis < 0
+        rows = np.zeros(len(leaf), np.int64)
+        for node in range(len(leaf) - 1, -1, -1):
+            rows[node] = self.rows[below[node]] if leaf[node] else rows[below[node]] + rows[above[node]]
+        limit = min(REGION_ROWS, int(rows[0]) // REGIONS)
+        tops, of_cell = np.full(len(leaf), -1), np.full(len(self.rows), -1)
+        pending = [(0, -1)]
+        while pending:
+            node, inside = pending.pop()
+            if inside < 0 and (leaf[node] or rows[node] <= limit):
+                inside = tops[node] = tops.max() + 1
+            if leaf[node]:
+                of_cell[below[node]] = inside
+            else:
+                pending += [(below[node], inside), (above[node], inside)]
+        return tops, of_cell
+
     def within(
-        self, x: np.ndarray, reach: np.ndarray, boxes: tuple[np.ndarray, np.ndarray]
+        self, x: np.ndarray, reach: np.ndarray, boxes: tuple[np.ndarray, np.ndarray], tops: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of a row of ``x`` and a cell whose box is not farther than the row's reach, by
-        descending the tree with the rows that still reach a node. ``boxes`` are those of the nodes."""
+        """All pairs of a row of ``x`` and a region whose box is not farther than the row's reach, by
+        descending the tree with the rows that still reach a node. ``boxes`` and ``tops`` are those
+        of the nodes."""
         low, high = boxes
-        rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rows, regions = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         pending = [(0, np.arange(len(x)))]
         while pending:
             node, near = pending.pop()
             near = near[_gap(x[near], low[node], high[node]) <= reach[near]]
             if not len(near):
                 continue
-            if self.tree.axis[node] < 0:
+            if tops[node] >= 0:
                 rows.append(near)
-                cells.append(np.full(len(near), self.tree.below[node]))
+                regions.append(np.full(len(near), tops[node]))
             else:
                 pending += [(self.tree.below[node], near), (self.tree.above[node], near)]
-        return np.concatenate(rows), np.concatenate(cells)
+        return np.concatenate(rows), np.concatenate(regions)
 
     def enough(self, x: np.ndarray, k: int) -> float:
         """A squared distance from a point within which at least ``k`` rows lie, if there are as
@@ -213,6 +241,17 @@ def _located(rows: DataFrame, tree: Tree, width: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _regional(located: DataFrame, of_cell: np.ndarray) -> DataFrame:
+    """The rows with their region, by their cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regions = of_cell[batch.column("cell").to_numpy()].astype(np.int32)
+            yield batch.append_column("region", pa.array(regions))
+
+    return located.mapInArrow(run, f"{_kinds(located)}, region int")
+
+
 def _boxes(located: DataFrame, width: int) -> DataFrame:
     """Per cell: number of rows, and least and greatest value of each feature, combined in the
     tasks first."""
@@ -291,6 +330,28 @@ def grow(rows: DataFrame, width: int, cell_rows: int = CELL_ROWS) -> tuple[Cells
 # ---- search -------------------------------------------------------------------------------
 
 
+def _cells_of(train: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """The cells of a region, each with the places of its rows."""
+    cell = train.column("cell").to_numpy()
+    order = np.argsort(cell, kind="stable")
+    starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+    for places in np.split(order, starts[1:]):
+        yield int(cell[places[0]]), places
+
+
+def _blocks(
+    asked: np.ndarray, reach: np.ndarray, train: pa.Table, points: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For every cell of a region, a few of the test rows that reach it at a time: their places, the
+    places of the cell's rows, and the nearly exact distances."""
+    for _, places in _cells_of(train):
+        held = points[places]
+        near = np.flatnonzero(_gap(asked, held.min(axis=0), held.max(axis=0)) <= reach)
+        for start in range(0, len(near), TEST_ROWS):
+            some = near[start : start + TEST_ROWS]
+            yield some, places, _nearly(asked[some], held)
+
+
 def _home_reach(test: pa.Table, train: pa.Table, width: int, k: int) -> pa.Table:
     """Per test row the distance of its k-th row in its home, or the reach it came with."""
     schema = pa.schema([("row", pa.int64()), ("reach", pa.float64())])
@@ -299,44 +360,60 @@ def _home_reach(test: pa.Table, train: pa.Table, width: int, k: int) -> pa.Table
     reach = test.column("reach").to_numpy().copy()
     if train.num_rows >= k:
         points, asked = (Rows.of(table).dense(width) for table in (train, test))
-        for start in range(0, len(asked), TEST_ROWS):
-            far = distances(asked[start : start + TEST_ROWS], points)
-            kth = np.partition(far, k - 1, axis=1)[:, k - 1]
-            reach[start : start + TEST_ROWS] = np.minimum(reach[start : start + TEST_ROWS], kth)
+        homes = test.column("cell").to_numpy()
+        for cell, places in _cells_of(train):
+            if len(places) < k:
+                continue
+            held, at = points[places], np.flatnonzero(homes == cell)
+            for start in range(0, len(at), TEST_ROWS):
+                some = at[start : start + TEST_ROWS]
+                far = distances(asked[some], held)
+                reach[some] = np.minimum(reach[some], np.partition(far, k - 1, axis=1)[:, k - 1])
     return pa.table([test.column("row"), reach], schema=schema)
 
 
-def _steps(reach: np.ndarray, width: int) -> np.ndarray:
+def _steps(reach: np.ndarray, floor: np.ndarray, width: int) -> np.ndarray:
     """For each reach the squared distances up to which rows are counted, the reach itself last;
-    balls of equal shares of the volume."""
-    shares = (np.arange(1, STEPS + 1) / STEPS) ** (2 / width)
-    return reach[:, None] * shares
+    balls of equal shares of the volume, or of that beyond the floor, which is the first then."""
+    inner = np.divide(floor, reach, out=np.zeros(len(reach)), where=(floor > 0) & (reach > 0))
+    inner = np.minimum(inner, 1.0)[:, None] ** (width / 2)
+    whole, beyond = np.arange(1, STEPS + 1) / STEPS, np.arange(STEPS) / (STEPS - 1)
+    shares = inner + (1 - inner) * np.where(floor[:, None] > 0, beyond, whole)
+    steps = reach[:, None] * shares ** (2 / width)
+    steps[:, -1] = reach
+    return steps
 
 
 def _counted(test: pa.Table, train: pa.Table, width: int) -> pa.Table:
-    """How many rows of one cell lie in each step of the reach of the test rows that visit it. Rows
+    """How many rows of one region lie in each step of the reach of the test rows that visit it. Rows
     closer to the end of a step than rounding may count to the next: ``_bounded`` allows for it."""
     schema = pa.schema([("row", pa.int64()), *((name, pa.int32()) for name in COUNTS)])
     if not test.num_rows or not train.num_rows:
         return schema.empty_table()
     points, asked = (Rows.of(table).dense(width) for table in (train, test))
     reach = test.column("reach").to_numpy()
-    steps = _steps(reach, width)
+    steps = _steps(reach, test.column("floor").to_numpy(), width)
     counts = np.zeros((len(asked), STEPS), np.int32)
     slack = _slack(asked, points)
-    for start in range(0, len(asked), TEST_ROWS):
-        far = _nearly(asked[start : start + TEST_ROWS], points)
-        for i, line in enumerate(far, start):
+    for some, _, far in _blocks(asked, reach, train, points):
+        for i, line in zip(some, far, strict=True):
             near = line[line <= reach[i] + slack]
             found = np.searchsorted(steps[i], near)
-            counts[i] = np.bincount(np.minimum(found, STEPS - 1), minlength=STEPS)
+            counts[i] += np.bincount(np.minimum(found, STEPS - 1), minlength=STEPS)
     some = np.flatnonzero(counts.any(axis=1))
     rows = test.column("row").take(pa.array(some))
     return pa.table([rows, *counts[some].T], schema=schema)
 
 
+def _nearest(owner: np.ndarray, far: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` nearest of every owner, of equally near ones those of the first places."""
+    order = np.lexsort((place, far, owner))
+    sorted_owner = owner[order]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_owner, sorted_owner) < k]
+
+
 def _search(test: pa.Table, train: pa.Table, width: int, k: int) -> pa.Table:
-    """The rows of one cell near the test rows that visit it: those up to ``floor`` as one row with
+    """The rows of one region near the test rows that visit it: those up to ``floor`` as one row with
     their number and the sum of their labels, at distance -1, and each of those from there to
     ``reach``, at most ``k``; at equal distances the smaller keys."""
     schema = pa.schema(
@@ -350,27 +427,30 @@ def _search(test: pa.Table, train: pa.Table, width: int, k: int) -> pa.Table:
     points, asked = (Rows.of(table).dense(width) for table in (train, test))
     labels = train.column("label").to_numpy()
     reach, floor, row = (test.column(name).to_numpy() for name in ("reach", "floor", "row"))
-    owners, places, found = [], [], []
+    none = np.zeros(0, np.int64)
+    owners, places, found = [none], [none], [np.zeros(0)]
     sums = np.zeros((len(asked), 2))
     slack = _slack(asked, points)
-    for start in range(0, len(asked), TEST_ROWS):
-        far = _nearly(asked[start : start + TEST_ROWS], points)
-        for i, line in enumerate(far, start):
-            # Surely below the floor; what may lie between is measured exactly.
-            below = line <= floor[i] - slack
-            sums[i] = below.sum(), labels[below].sum()
-            near = np.flatnonzero((line <= reach[i] + slack) & ~below)
-            exact = distances(asked[i : i + 1], points[near])[0]
-            near, exact = near[exact <= reach[i]], exact[exact <= reach[i]]
-            if len(near) > k:
-                order = np.argsort(exact, kind="stable")[:k]
-                near, exact = near[order], exact[order]
-            owners.append(np.full(len(near), row[i]))
-            places.append(near)
-            found.append(exact)
-    at = pa.array(np.concatenate(places))
+    for some, held, far in _blocks(asked, reach, train, points):
+        # Surely below the floor; what may lie between is measured exactly.
+        below = far <= (floor[some] - slack)[:, None]
+        sums[some, 0] += below.sum(axis=1)
+        sums[some, 1] += below @ labels[held]
+        i, j = np.nonzero((far <= (reach[some] + slack)[:, None]) & ~below)
+        i, j = some[i], held[j]
+        exact = _summed(asked[i] - points[j])
+        near = np.flatnonzero(exact <= reach[i])
+        if len(near) > k:
+            near = near[_nearest(i[near], exact[near], j[near], k)]
+        owners.append(i[near])
+        places.append(j[near])
+        found.append(exact[near])
+    owner, place, exact = (np.concatenate(parts) for parts in (owners, places, found))
+    # Of all cells of the region.
+    order = _nearest(owner, exact, place, k)
+    at = pa.array(place[order])
     singly = pa.table(
-        [np.concatenate(owners), np.concatenate(found), train.column("key").take(at),
+        [row[owner[order]], exact[order], train.column("key").take(at),
          train.column("label").take(at), np.ones(len(at), np.int64)],
         schema=schema,
     )
@@ -384,8 +464,9 @@ def _search(test: pa.Table, train: pa.Table, width: int, k: int) -> pa.Table:
 
 
 def _visits(test: DataFrame, cells: Cells, width: int, k: int, home: bool) -> DataFrame:
-    """Each test row with the cells it visits: its home, with a bound of its reach, or all whose box
-    is within its reach."""
+    """Each test row with the regions it visits: that of its home, which is named, with a bound of
+    its reach, or all whose box is within its reach."""
+    tops, of_cell = cells.regions()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boxes = None if home else cells.boxes()
@@ -400,12 +481,14 @@ def _visits(test: DataFrame, cells: Cells, width: int, k: int, home: bool) -> Da
                 reach = np.full(len(x), np.inf)
                 reach[small] = [cells.enough(point, k) for point in x[small]]
                 batch = batch.append_column("reach", pa.array(reach))
+                batch = batch.append_column("cell", pa.array(to.astype(np.int32)))
+                to = of_cell[to]
             else:
-                at, to = cells.within(x, batch.column("reach").to_numpy(), boxes)
+                at, to = cells.within(x, batch.column("reach").to_numpy(), boxes, tops)
                 batch = batch.take(pa.array(at))
-            yield batch.append_column("cell", pa.array(to.astype(np.int32)))
+            yield batch.append_column("region", pa.array(to.astype(np.int32)))
 
-    more = "reach double, cell int" if home else "cell int"
+    more = "reach double, cell int, region int" if home else "region int"
     return test.mapInArrow(run, f"{_kinds(test)}, {more}")
 
 
@@ -414,27 +497,27 @@ def _kinds(df: DataFrame) -> str:
 
 
 def _answered(visits: DataFrame, located: DataFrame, answer, kind: str) -> DataFrame:
-    """``answer`` of each visited cell and the rows that visit it. A cell that very many rows visit
-    is answered in several tasks, each with a copy of the cell."""
+    """``answer`` of each visited region and the rows that visit it. A region that very many rows
+    visit is answered in several tasks, each with a copy of the region."""
     spark = visits.sparkSession
     # Visits are made twice rather than written.
-    counts = visits.groupBy("cell").count().where(F.col("count") > CELL_VISITS).collect()
-    # One row for each cell at most.
+    counts = visits.groupBy("region").count().where(F.col("count") > REGION_VISITS).collect()
+    # One row for each region at most.
     parts = spark.createDataFrame(
-        [(row["cell"], -(-row["count"] // CELL_VISITS)) for row in counts], "cell int, parts bigint"
+        [(row["region"], -(-row["count"] // REGION_VISITS)) for row in counts],
+        "region int, parts bigint",
     )
 
     def dealt(df: DataFrame) -> DataFrame:
-        known = df.join(F.broadcast(parts), "cell", "left")
+        known = df.join(F.broadcast(parts), "region", "left")
         return known.withColumn("parts", F.coalesce("parts", F.lit(1)))
 
     one = F.pmod(F.xxhash64("row"), F.col("parts")).alias("part")
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
     left = dealt(visits).select(*visits.columns, one)
-    right = dealt(located).select("cell", every, "key", "label", "indices", "values")
-    return (
-        left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(answer, kind)
-    )
+    right = dealt(located).select(*located.columns, every)
+    by = ["region", "part"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(answer, kind)
 
 
 def _bounded(asked: DataFrame, cells: Cells, located: DataFrame, width: int, k: int) -> DataFrame:
@@ -442,15 +525,24 @@ def _bounded(asked: DataFrame, cells: Cells, located: DataFrame, width: int, k:
     and few more, and ``floor``, within which lie fewer than ``k``.
 
     The home of a test row gives a first reach. Rows within it are counted by steps of it, over all
-    cells: the step with the k-th row has the two bounds. What travels is a row of counts per visit.
+    cells: the step with the k-th row has the two bounds, and is counted by finer steps in turn. What
+    travels is a row of counts per region.
     """
     home = _answered(
         _visits(asked, cells, width, k, True), located,
         lambda test, train: _home_reach(test, train, width, k), "row bigint, reach double",
     )
-    reaching = stage(asked.join(home, "row"), "neighbour-reach")
+    bounds = asked.join(home, "row").withColumn("floor", F.lit(-1.0))
+    bounds = stage(bounds, "neighbour-reach")
+    for _ in range(COUNTINGS):
+        bounds = _narrowed(bounds, cells, located, width, k)
+    return bounds
+
+
+def _narrowed(bounds: DataFrame, cells: Cells, located: DataFrame, width: int, k: int) -> DataFrame:
+    """``bounds`` with a closer ``reach`` and ``floor``, by one counting."""
     visited = _answered(
-        _visits(reaching, cells, width, k, False), located,
+        _visits(bounds, cells, width, k, False), located,
         lambda test, train: _counted(test, train, width),
         f"row bigint, {', '.join(f'{name} int' for name in COUNTS)}",
     )
@@ -463,9 +555,9 @@ def _bounded(asked: DataFrame, cells: Cells, located: DataFrame, width: int, k:
             if not batch.num_rows:
                 continue
             room = 2 * max(_slack(Rows.of(batch).dense(width), np.zeros((0, width))), wide)
-            reach = batch.column("reach").to_numpy()
+            reach, floor = (batch.column(name).to_numpy() for name in ("reach", "floor"))
             within = np.cumsum([batch.column(name).to_numpy() for name in COUNTS], axis=0).T
-            steps = np.column_stack([np.full(len(reach), -1.0), _steps(reach, width)])
+            steps = np.column_stack([np.full(len(reach), -1.0), _steps(reach, floor, width)])
             # Fewer rows than k in all: each is near.
             at = np.where(within[:, -1] >= k, (within < k).sum(axis=1), STEPS - 1)
             lines = np.arange(len(reach))
@@ -477,11 +569,8 @@ def _bounded(asked: DataFrame, cells: Cells, located: DataFrame, width: int, k:
                 names=["row", "indices", "values", "reach", "floor"],
             )
 
-    kinds = _kinds(asked)
-    return stage(
-        reaching.join(counts, "row").mapInArrow(bound, f"{kinds}, reach double, floor double"),
-        "neighbour-bounds",
-    )
+    named = bounds.select("row", "indices", "values", "reach", "floor")
+    return stage(named.join(counts, "row").mapInArrow(bound, _kinds(named)), "neighbour-bounds")
 
 
 def _found(
@@ -502,10 +591,11 @@ def _found(
     )
     equal = Window.partitionBy("indices", "values").orderBy("key", "label")
     kept = rows.withColumn("place", F.row_number().over(equal)).where(F.col("place") <= k)
-    kept = stage(kept.select("key", "label", "indices", "values"), "neighbour-points")
+    kept = stage(as_bytes(kept.select("key", "label", "indices", "values")), "neighbour-points")
     cells, located = grow(kept, width, cell_rows)
-    located = stage(located, "neighbour-cells")
-    bounds = _bounded(test.select("row", "indices", "values"), cells, located, width, k)
+    located = stage(_regional(located, cells.regions()[1]), "neighbour-cells")
+    asked = stage(as_bytes(test.select("row", "indices", "values")), "neighbour-asked")
+    bounds = _bounded(asked, cells, located, width, k)
     if each:
         bounds = bounds.withColumn("floor", F.lit(-1.0))
     key_type = located.schema["key"].dataType.simpleString()
@@ -542,7 +632,7 @@ def nearest_mean(
     all, if there are fewer). Every row is kept; one without a vector has no prediction.
 
     Equal vectors have equal neighbours and are asked for once. Rows that are surely among the
-    nearest are summed per cell, only those around the k-th distance travel one by one.
+    nearest are summed per region, only those around the k-th distance travel one by one.
     """
     rows = stage(test, "neighbour-rows")
     known = rows.where(F.col(FEATURES).isNotNull()).select(*entries(FEATURES))

@@ -13,7 +13,7 @@ from stargauge.operators import gradient_fits, neighbours, trees
 from stargauge.operators.folded import fold_of, fold_sums, sweep
 from stargauge.operators.neighbours import grow, nearest_mean
 from stargauge.operators.trees import drawn
-from stargauge.operators.vectors import entries, width_of
+from stargauge.operators.vectors import Rows, as_bytes, entries, width_of
 
 SCHEMA = "review_id string, rev_stars double, a double, b double, c double"
 NAMES = ["a", "b", "c"]
@@ -464,6 +464,59 @@ def test_few_rows_travel_to_a_mean(spark, k, monkeypatch):
     assert sent[0] < 200 * k
 
 
+@pytest.mark.parametrize("k", [5, 60])
+def test_a_row_travels_once_to_a_region(spark, k, monkeypatch):
+    """Cells side by side answer together, and what is sent are a few rows around the k-th."""
+    monkeypatch.setattr(neighbours, "REGIONS", 4)
+    noise = np.random.default_rng(11)
+    x, y = noise.normal(size=(3000, 3)).round(2), noise.integers(1, 6, 3000).astype(float)
+    train, test = frame(spark, x, y), frame(spark, x[:200], np.zeros(200))
+    sent, visits = [], []
+    find, visit = neighbours._found, neighbours._visits
+    monkeypatch.setattr(neighbours, "_found", lambda *given: sent.append(find(*given)) or sent[-1])
+    monkeypatch.setattr(neighbours, "_visits", lambda *given: visits.append(visit(*given)) or visits[-1])
+    scored = neighbours.nearest_mean(train, test, "K", k=k, cell_rows=60)
+    keys = [str(i) for i in range(3000)]
+    found = {row["review_id"]: row["predictions_K"] for row in scored.collect()}
+    for i in range(200):
+        assert abs(found[str(i)] - by_all_distances(x, y, keys, x[i], k)) < 1e-12
+    for made in visits:
+        assert made.count() == made.select("row", "region").distinct().count() <= 200 * 8
+    # One row for each region, and few more.
+    assert sent[0].where("key IS NOT NULL").count() < 200 * 4
+
+
+def test_regions_are_cells_side_by_side(spark):
+    x = np.random.default_rng(3).normal(size=(4000, 3))
+    rows = frame(spark, x, np.ones(4000)).select(
+        F.col("review_id").alias("key"), F.col("rev_stars").alias("label"), *entries("features")
+    )
+    cells, _ = grow(as_bytes(rows.drop("size")), 3, 20)
+    tops, of_cell = cells.regions()
+    held = np.bincount(of_cell, cells.rows)
+    assert len(held) >= neighbours.REGIONS and held.sum() == 4000
+    assert max(held) <= 4000 // neighbours.REGIONS and len(held) < len(cells.rows) / 2
+    assert sorted(tops[tops >= 0]) == list(range(len(held)))
+    # A row is near all regions if its reach is, and near that of its cell at least.
+    every, regions = cells.within(x[:5], np.full(5, np.inf), cells.boxes(), tops)
+    assert len(every) == 5 * len(held)
+    own, regions = cells.within(x, np.zeros(4000), cells.boxes(), tops)
+    assert set(zip(range(4000), of_cell[cells.tree.cell_of(x)])) <= set(zip(own, regions))
+
+
+def test_vectors_as_bytes_are_the_same_rows(spark):
+    vectors = [Vectors.dense([1.0, 0.0, -2.5]), Vectors.sparse(3, [2], [4.0]), Vectors.sparse(3, [], [])] * 5
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], ["n", "features"]).coalesce(1)
+    listed = df.select("n", *entries("features")).drop("size")
+    for made in (listed, as_bytes(listed)):
+        table = made.orderBy("n").toArrow()
+        for part in (table, table.slice(4, 7)):
+            x = Rows.of(part).dense(3)
+            expected = [vectors[i].toArray() for i in part.column("n").to_pylist()]
+            assert np.array_equal(x, expected)
+    assert as_bytes(listed).schema["values"].dataType.simpleString() == "binary"
+
+
 def test_equal_test_rows_keep_their_own_answer(spark):
     x = np.random.default_rng(4).normal(size=(300, 3))
     y = np.arange(300) % 5 + 1.0
