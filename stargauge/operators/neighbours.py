@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,11 @@ REGION_ROWS = 131_072
 # Visits of one region that a task answers; more are dealt to further tasks.
 REGION_VISITS = 262_144
 ROUNDS = 40
-# Parts of a reach that rows are counted in before any is sent, and how often: each time within the
-# part that the last one found.
+# Parts of a reach that rows are counted in before any is sent, and how often at most: each time within
+# the part that the last one found, as long as that holds more than a few rows.
 STEPS = 32
-COUNTINGS = 2
+COUNTINGS = 4
+FEW = 32
 COUNTS = [f"n_{step}" for step in range(STEPS)]
 
 
@@ -534,13 +536,19 @@ def _bounded(asked: DataFrame, cells: Cells, located: DataFrame, width: int, k:
     )
     bounds = asked.join(home, "row").withColumn("floor", F.lit(-1.0))
     bounds = stage(bounds, "neighbour-reach")
+    columns, done = bounds.columns, []
     for _ in range(COUNTINGS):
-        bounds = _narrowed(bounds, cells, located, width, k)
-    return bounds
+        found = _narrowed(bounds, cells, located, width, k)
+        done.append(found.where(F.col("between") <= FEW).select(columns))
+        bounds = found.where(F.col("between") > FEW).select(columns)
+        if bounds.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done, bounds)
 
 
 def _narrowed(bounds: DataFrame, cells: Cells, located: DataFrame, width: int, k: int) -> DataFrame:
-    """``bounds`` with a closer ``reach`` and ``floor``, by one counting."""
+    """``bounds`` with a closer ``reach`` and ``floor``, by one counting, and how many rows lie
+    ``between`` them."""
     visited = _answered(
         _visits(bounds, cells, width, k, False), located,
         lambda test, train: _counted(test, train, width),
@@ -564,13 +572,17 @@ def _narrowed(bounds: DataFrame, cells: Cells, located: DataFrame, width: int, k
             # Counts may be one step off for rows at its very end: both bounds give way to them.
             high = np.where(np.isinf(reach), np.inf, np.minimum(steps[lines, at + 1] + room, reach))
             low = np.where(np.isinf(reach), -1.0, steps[lines, at] - room)
+            # Without k rows in any reach there is nothing to narrow.
+            between = np.where(np.isinf(reach), 0, np.diff(within, axis=1, prepend=0)[lines, at])
+            known = batch.select(["row", "indices", "values"])
             yield pa.RecordBatch.from_arrays(
-                [*batch.select(["row", "indices", "values"]).columns, pa.array(high), pa.array(low)],
-                names=["row", "indices", "values", "reach", "floor"],
+                [*known.columns, pa.array(high), pa.array(low), pa.array(between)],
+                names=[*known.schema.names, "reach", "floor", "between"],
             )
 
     named = bounds.select("row", "indices", "values", "reach", "floor")
-    return stage(named.join(counts, "row").mapInArrow(bound, _kinds(named)), "neighbour-bounds")
+    kinds = f"{_kinds(named)}, between bigint"
+    return stage(named.join(counts, "row").mapInArrow(bound, kinds), "neighbour-bounds")
 
 
 def _found(

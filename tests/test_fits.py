@@ -468,6 +468,7 @@ def test_few_rows_travel_to_a_mean(spark, k, monkeypatch):
 def test_a_row_travels_once_to_a_region(spark, k, monkeypatch):
     """Cells side by side answer together, and what is sent are a few rows around the k-th."""
     monkeypatch.setattr(neighbours, "REGIONS", 4)
+    monkeypatch.setattr(neighbours, "FEW", 1)
     noise = np.random.default_rng(11)
     x, y = noise.normal(size=(3000, 3)).round(2), noise.integers(1, 6, 3000).astype(float)
     train, test = frame(spark, x, y), frame(spark, x[:200], np.zeros(200))
@@ -486,6 +487,24 @@ def test_a_row_travels_once_to_a_region(spark, k, monkeypatch):
     assert sent[0].where("key IS NOT NULL").count() < 200 * 4
 
 
+def test_rows_close_together_are_counted_until_few_are_left(spark, monkeypatch):
+    """The k-th row lies in a clump whose rows are almost equally far."""
+    noise = np.random.default_rng(12)
+    centres = noise.normal(size=(40, 3))
+    x = np.repeat(centres, 100, axis=0) + 1e-4 * noise.normal(size=(4000, 3))
+    y = noise.integers(1, 6, 4000).astype(float)
+    sent, find = [], neighbours._found
+    monkeypatch.setattr(neighbours, "_found", lambda *given: sent.append(find(*given)) or sent[-1])
+    test = frame(spark, centres, np.zeros(40))
+    scored = neighbours.nearest_mean(frame(spark, x, y), test, "K", k=150, cell_rows=300)
+    found = {row["review_id"]: row["predictions_K"] for row in scored.collect()}
+    keys = [str(i) for i in range(4000)]
+    for i, point in enumerate(centres):
+        assert abs(found[str(i)] - by_all_distances(x, y, keys, point, 150)) < 1e-12
+    # The clump would be a hundred for each.
+    assert sent[0].where("key IS NOT NULL").count() <= 40 * neighbours.FEW
+
+
 def test_regions_are_cells_side_by_side(spark):
     x = np.random.default_rng(3).normal(size=(4000, 3))
     rows = frame(spark, x, np.ones(4000)).select(
